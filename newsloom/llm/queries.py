@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from newsloom.llm import classifier, quality
+from newsloom.llm import bpe, classifier, packing, quality, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op3_quality_classifier": classifier.query,
+    "op4_token_files": tokens.query,
+    "op6_packing": packing.query,
+    "op7_byte_bpe": bpe.query,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE_SQL,
