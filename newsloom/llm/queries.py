@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, classifier, packing, quality, tokens
+from newsloom.llm import bpe, chat, classifier, media, packing, quality, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_media_columns": media.query,
     "op3_quality_classifier": classifier.query,
     "op4_token_files": tokens.query,
+    "op5_preference_format": chat.query,
     "op6_packing": packing.query,
     "op7_byte_bpe": bpe.query,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE_SQL,
+    "op5_preference_format": chat.ORACLE_SQL,
 }
