@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, chat, classifier, media, packing, quality, tokens
+from newsloom.llm import bpe, chat, classifier, media, packing, quality, substring, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -12,8 +12,10 @@ QUERIES = {
     "op5_preference_format": chat.query,
     "op6_packing": packing.query,
     "op7_byte_bpe": bpe.query,
+    "op8_substring_dedup": substring.query,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE_SQL,
     "op5_preference_format": chat.ORACLE_SQL,
+    "op8_substring_dedup": substring.ORACLE_SQL,
 }
