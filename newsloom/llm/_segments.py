@@ -133,23 +133,27 @@ def edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
 def sent(seg: int, kind: int, buckets: int, sorted_hashes: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
     """The rows of one segment for an exchange: per hash range the hashes, followed by
     the same slices of further arrays."""
+    return sent_as(seg, kind, buckets, sorted_hashes, sorted_hashes, *more)
+
+
+def sent_as(seg: int, kind: int, buckets: int, sorted_hashes: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
+    """The same, with only ``arrays`` in the blobs."""
     cut = edges(sorted_hashes, buckets).tolist()
-    rows = [(k, b"".join([sorted_hashes[s:e].tobytes(), *[m[s:e].tobytes() for m in more]])) for k, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
+    rows = [(k, b"".join([m[s:e].tobytes() for m in arrays])) for k, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([seg] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=to_arrow_schema(_SENT))
 
 
-def exchange(rows: DataFrame, buckets: int, reply: Callable[[int, list[bytes]], list[bytes]], folder: str, more: Callable[[int, list[bytes]], list[tuple[int, bytes]]] | None = None) -> DataFrame:
-    """``reply(kind, blobs)`` for what all segments sent to a (kind, bucket), as rows
-    (kind, bucket, seg, blob), written to ``folder``.  ``more`` adds rows (kind, blob) of
-    the bucket's own, with seg -1."""
+def exchange(rows: DataFrame, buckets: int, reply: Callable[[int, list[bytes], list[int]], tuple[list[bytes | None], list[tuple[int, bytes]]]], folder: str) -> DataFrame:
+    """``reply(kind, blobs, segs)`` answers what all segments sent to a (kind, bucket):
+    a blob (or None) for each sender and further (kind, blob) rows of the bucket's own,
+    which get seg -1.  Returns rows (kind, bucket, seg, blob), written to ``folder``."""
     schema = to_arrow_schema(_SENT)
 
     def run(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         segs = table.column("seg").to_pylist()
-        blobs = [x.as_buffer().to_pybytes() for x in table.column("blob")]
-        out = [(kind, bucket, s, r) for s, r in zip(segs, reply(kind, blobs), strict=True)]
-        out += [(k, bucket, -1, r) for k, r in (more(kind, blobs) if more else [])]
+        answers, own = reply(kind, [x.as_buffer().to_pybytes() for x in table.column("blob")], segs)
+        out = [(kind, bucket, s, r) for s, r in zip(segs, answers, strict=True) if r is not None] + [(k, bucket, -1, r) for k, r in own]
         return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return written(rows.repartition(buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, _SENT), folder)
@@ -158,11 +162,11 @@ def exchange(rows: DataFrame, buckets: int, reply: Callable[[int, list[bytes]],
 SENT = _SENT
 
 
-def seen_twice(width: int = 8) -> Callable[[int, list[bytes]], list[bytes]]:
+def seen_twice(width: int = 8) -> Callable:
     """A bit for each sent hash: whether another segment sent it too.  With ``width`` 12
     a second 32-bit hash must agree as well."""
 
-    def reply(kind: int, blobs: list[bytes]) -> list[bytes]:
+    def reply(kind: int, blobs: list[bytes], segs: list[int]) -> tuple[list[bytes], list]:
         n = [len(b) // width for b in blobs]
         h = np.concatenate([np.frombuffer(b, np.uint64, k) for b, k in zip(blobs, n, strict=True)])
         order = np.argsort(h)
@@ -177,7 +181,7 @@ def seen_twice(width: int = 8) -> Callable[[int, list[bytes]], list[bytes]]:
         out = np.empty(len(s), bool)
         out[order] = flag
         cut = np.cumsum([0, *n])
-        return [np.packbits(out[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+        return [np.packbits(out[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], []
 
     return reply
 
@@ -200,4 +204,4 @@ def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[at], group, np.diff(np.append(at, len(s)))
 
 
-__all__ = ["BLOCK_BYTES", "SENT", "Segments", "buckets_for", "edges", "exchange", "free_name", "grouped", "map_segments", "read", "seen_twice", "sent", "stage", "unpack_bits"]
+__all__ = ["BLOCK_BYTES", "SENT", "Segments", "buckets_for", "edges", "exchange", "free_name", "grouped", "map_segments", "read", "seen_twice", "sent", "sent_as", "stage", "unpack_bits"]

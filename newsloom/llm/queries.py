@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, chat, classifier, media, packing, quality, substring, tokens
+from newsloom.llm import bpe, chat, classifier, lm, media, packing, quality, substring, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.query,
     "op7_byte_bpe": bpe.query,
     "op8_substring_dedup": substring.query,
+    "op9_lm_scores": lm.query,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE_SQL,

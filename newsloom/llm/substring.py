@@ -157,7 +157,7 @@ def repeats(segments: G.Segments, window: int, folder: str) -> tuple[dict[int, D
 
     twice = G.seen_twice(12)
     first = G.exchange(G.map_segments(segments, symbols, G.SENT), n1, G.seen_twice(8), f"{folder}/symbols")
-    second = G.exchange(G.map_segments(segments, verify, G.SENT, {1: first}), n2, lambda kind, blobs: blobs if kind == 3 else twice(kind, blobs), f"{folder}/windows")
+    second = G.exchange(G.map_segments(segments, verify, G.SENT, {1: first}), n2, lambda kind, blobs, segs: (blobs, []) if kind == 3 else twice(kind, blobs, segs), f"{folder}/windows")
     return {2: second, 3: second}, n2
 
 
