@@ -77,7 +77,7 @@ def stage(docs: DataFrame, columns: list[str], text: str, name: str, segment_byt
                     sink = fs.open_output_stream(f"{inner}/{stem}-{n:06d}.arrow")
                     to = pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                 to.write_batch(piece)
-                size, rows, words = size + len(b.data), rows + b.n, words + len(b.starts)
+                size, rows, words = size + len(b.data) + 64 * b.n, rows + b.n, words + len(b.starts)
                 if size >= segment_bytes:
                     yield close()
                     n, to, size, rows, words = n + 1, None, 0, 0, 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, chat, classifier, lm, media, packing, quality, substring, tokens
+from newsloom.llm import bpe, chat, classifier, lm, media, neardup, packing, quality, substring, tokens
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -14,9 +14,11 @@ QUERIES = {
     "op7_byte_bpe": bpe.query,
     "op8_substring_dedup": substring.query,
     "op9_lm_scores": lm.query,
+    "op10_near_duplicates": neardup.query,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE_SQL,
     "op5_preference_format": chat.ORACLE_SQL,
     "op8_substring_dedup": substring.ORACLE_SQL,
+    "op10_near_duplicates": neardup.ORACLE_SQL,
 }
