@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import classifier, quality
+from newsloom.llm import classifier, neardup, packing, quality, substring
 from newsloom.llm._shared import run_dir, written
 
 STAGES = [
     ("quality rules", quality.stage),
     ("quality classifier", classifier.stage),
+    ("near-duplicates", neardup.stage),
+    ("substring dedup", substring.stage),
+    ("packing", packing.stage),
 ]
 
 #: A learned classifier has no SQL; the tests hold the pipeline against brute force.
