@@ -14,8 +14,9 @@ from tokenizers import Tokenizer
 from newsloom.llm._text import _LOWER, _SPACE, TextBlock
 
 END_ID = 2
-MEMO_WORDS = 250_000
+MEMO_WORDS = 500_000
 _MARK = "\x01"
+_CALL_WORDS = 1_500  # per call of the library; longer texts leave the processor's cache
 _POINT = np.zeros(256, bool)
 _POINT[list(b".,!?;:")] = True
 _ALNUM = np.zeros(256, bool)
@@ -72,8 +73,8 @@ class WordEncoder:
             else:
                 (letters if text.isalpha() else plain).append(w)
         size = self.dtype.itemsize
-        for a in range(0, len(letters), 20_000):  # a word of letters ends with the one token that closes a word
-            part = letters[a : a + 20_000]
+        for a in range(0, len(letters), _CALL_WORDS):  # a word of letters ends with the one token that closes a word
+            part = letters[a : a + _CALL_WORDS]
             ids = np.array(self.tok.encode(" ".join(w.decode() for w in part), add_special_tokens=False).ids, self.dtype)
             cut = ((np.flatnonzero(self.closes[ids]) + 1) * size).tolist()
             if len(cut) != len(part):
@@ -81,8 +82,8 @@ class WordEncoder:
                 continue
             raw = ids.tobytes()
             self.young.update(zip(part, [raw[s:e] for s, e in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
-        for a in range(0, len(plain), 20_000):
-            part = plain[a : a + 20_000]
+        for a in range(0, len(plain), _CALL_WORDS):
+            part = plain[a : a + _CALL_WORDS]
             ids = np.array(self.tok.encode(f" {_MARK} ".join(w.decode() for w in part), add_special_tokens=False).ids, self.dtype)
             cut = np.flatnonzero(ids == self.mark)
             if len(cut) != len(part) - 1:  # some word has the marker's token

@@ -33,6 +33,8 @@ from newsloom.llm._text import TextBlock, blocks
 from newsloom.llm._wordtok import default_file, encoder
 
 ROW_GROUP_TOKENS, PAGE_BYTES, BLOCK = 1 << 20, 64 << 10, 4 << 20
+#: Files whose bases (some 30 bytes each) may be broadcast; beyond, they are joined by shuffle.
+BROADCAST_FILES = 100_000
 MANIFEST = "part int, docs long, tokens long"
 
 
@@ -98,6 +100,8 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, columns:
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
     rows = files.select(*[c for c in columns if c != "start"], F.col("start").alias("_at"), part.alias("_part"))
     bases = manifest.select(F.col("part").alias("_part"), "base")
+    if manifest.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        bases = F.broadcast(bases)
     out = {c: F.col(c) for c in columns} | {"start": F.col("_at") + F.col("base")}
     return rows.join(bases, "_part").select(*[out[c].alias(c) for c in columns])
 
