@@ -288,7 +288,7 @@ f AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) > 3 AND w NOT IN ({
 m AS (SELECT doc_id, max(n) AS m FROM f GROUP BY 1),
 x AS (SELECT doc_id, i, ss[i] AS t FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)),
 xw AS (SELECT doc_id, i, unnest({_WORDS.format(t='t')}) AS w FROM x),
-sc AS (SELECT x.doc_id, x.i, x.t, coalesce(round(sum(f.n / m.m), 9), 0) AS h FROM x LEFT JOIN xw ON xw.doc_id = x.doc_id AND xw.i = x.i LEFT JOIN f ON f.doc_id = x.doc_id AND f.w = xw.w LEFT JOIN m ON m.doc_id = x.doc_id GROUP BY 1, 2, 3),
+sc AS (SELECT x.doc_id, x.i, x.t, coalesce(sum(f.n / m.m), 0) AS h FROM x LEFT JOIN xw ON xw.doc_id = x.doc_id AND xw.i = x.i LEFT JOIN f ON f.doc_id = x.doc_id AND f.w = xw.w LEFT JOIN m ON m.doc_id = x.doc_id GROUP BY 1, 2, 3),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, i) AS k FROM sc),
 o AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS t FROM b WHERE k <= 3 GROUP BY 1)
 SELECT s.doc_id, CASE WHEN length(trim(text)) < 100 THEN left(text, 300) ELSE o.t END AS summary FROM s LEFT JOIN o USING (doc_id)""",
@@ -352,10 +352,10 @@ _MEM = f"{_STORIES}, mem AS (SELECT g.rep, k.title, k.description, k.language, k
 @query(
     "feed_personalized",
     f"""WITH {_MEM}, tok AS (SELECT rep, list_distinct(string_split_regex(lower(string_agg(title || ' ' || description, ' ')), '\\s+')) AS t, bool_or(language IN ('fr', 'de')) AS l, bool_or(source IN ('src1', 'src3')) AS s FROM mem GROUP BY rep)
-SELECT rep, round(0.55 * len(list_intersect(t, ['that', 'avec', 'the'])) / 3.0 + 0.10 * l::INT + 0.10 * s::INT + 0.10 * exp(-date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 48), 5) AS feed_score FROM tok JOIN st ON st.ord = tok.rep""",
+SELECT rep, round(0.55 * len(list_intersect(t, ['that', 'avec', 'the'])) / 3.0 + 0.10 * l::INT + 0.10 * s::INT + 0.10 * exp(-date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 48), 6) AS feed_score FROM tok JOIN st ON st.ord = tok.rep""",
 )
 def feed_personalized(spark, sf):
-    return P.rank_personal(_exact_stories(spark, sf), PROFILE, P.WEIGHTS, _as_of()).select("rep", F.round("_feed_score", 5).alias("feed_score"))
+    return P.rank_personal(_exact_stories(spark, sf), PROFILE, P.WEIGHTS, _as_of()).select("rep", F.col("_feed_score").alias("feed_score"))
 
 
 @query("feed_blocked", f"WITH {_CLUSTERS}, m AS (SELECT g.rep, k.ord, k.published, k.source FROM k JOIN g USING (key)) SELECT rep AS story, count(*) FILTER (source <> 'src0')::BIGINT AS kept FROM m GROUP BY rep HAVING count(*) FILTER (source <> 'src0') > 0")
