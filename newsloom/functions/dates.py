@@ -98,7 +98,7 @@ def valid_date(c: Column, as_of: Column) -> Column:
 def freshness(c: Column, as_of: Column, half: float = 48.0) -> Column:
     """exp(-age in hours / 48): 0 without a date, 1 for a future one."""
     age = (F.unix_micros(as_of) - F.unix_micros(c)) / 3_600_000_000
-    return F.coalesce(F.exp(-F.greatest(age, F.lit(0.0)) / half), F.lit(0.0))
+    return F.coalesce(F.exp(-F.when(age < 0, 0.0).otherwise(age) / half), F.lit(0.0))
 
 
 def display(c: Column) -> Column:

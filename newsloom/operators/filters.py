@@ -96,7 +96,7 @@ def has_search_text(df: DataFrame, search_in: list[str] | None = None) -> Column
     return field_text(df, search_in) != ""
 
 
-#: Beyond so many listed domains the predicate becomes a join on domain suffixes.
+#: Beyond so many listed domains each row's domain suffixes are looked up in the list.
 DOMAIN_LITERALS = 200
 
 
@@ -107,10 +107,10 @@ def filter_by_domain(df: DataFrame, whitelist: list[str] | None = None, blacklis
         return df
     names = sorted({U.listed_domain(d) for d in listed})
     if len(names) > DOMAIN_LITERALS:
-        table = df.sparkSession.createDataFrame([(n,) for n in names], "_listed string")
-        suffixes = F.transform(F.sequence(F.lit(1), F.size(F.split(U.domain(F.col(url)), r"\."))), lambda i: F.substring_index(U.domain(F.col(url)), ".", -i))
-        hit = F.array_contains(F.transform(suffixes, lambda s: s), F.col("_listed"))
-        return df.join(F.broadcast(table), hit, "left_semi" if whitelist else "left_anti")
+        parts = F.split(U.domain(F.col(url)), r"\.")
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+        hit = F.arrays_overlap(suffixes, F.lit(names))  # one literal array, looked up by hash
+        return df.where(hit if whitelist else ~hit)
     host = U.domain(F.col(url))
     hit = reduce(lambda a, b: a | b, [U.under_domain(host, n) for n in names])
     return df.where(hit if whitelist else ~hit)
