@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsloom.llm._shared import free_name, open_fs, run_dir, small_batches, written
+from newsloom.llm._shared import enter_stage, free_name, open_fs, run_dir, small_batches, written
 from newsloom.llm._text import BLOCK_BYTES, TextBlock, blocks
 
 SEGMENT_BYTES = 8 << 20
@@ -57,6 +57,7 @@ def stage(docs: DataFrame, columns: list[str], text: str, name: str, segment_byt
     manifest_schema = to_arrow_schema(MANIFEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_stage()
         fs, inner = open_fs(f"{folder}/segments")
         fs.create_dir(inner, recursive=True)
         part, n = TaskContext.get().partitionId(), 0
@@ -107,6 +108,7 @@ def map_segments(segments: Segments, fn: Callable[[int, str, dict[int, list[byte
     out = to_arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
+        enter_stage()
         seg, path, kind, bucket = (table.column(c).to_pylist() for c in columns[:4])
         blob = table.column("blob")
         where = next((p for p in path if p is not None), None)
@@ -186,6 +188,17 @@ def seen_twice(width: int = 8) -> Callable:
     return reply
 
 
+def pack48(h: np.ndarray) -> np.ndarray:
+    """The low 48 bits of each hash, six bytes each; the bucket stands for the high ones."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def unpack48(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.reshape(-1).view(np.uint64)
+
+
 def unpack_bits(replies: list[bytes], cut: np.ndarray) -> np.ndarray:
     """The bits of a segment's replies, for its sorted hashes cut at ``cut``."""
     sizes = np.diff(cut)
@@ -204,4 +217,4 @@ def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[at], group, np.diff(np.append(at, len(s)))
 
 
-__all__ = ["BLOCK_BYTES", "SENT", "Segments", "buckets_for", "edges", "exchange", "free_name", "grouped", "map_segments", "read", "seen_twice", "sent", "sent_as", "stage", "unpack_bits"]
+__all__ = ["BLOCK_BYTES", "SENT", "Segments", "buckets_for", "edges", "exchange", "free_name", "grouped", "map_segments", "pack48", "read", "seen_twice", "sent", "sent_as", "stage", "unpack48", "unpack_bits"]

@@ -7,10 +7,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: What workers keep between the tasks of one stage, such as tokenizers with their memos.
+CACHES: list[dict] = []
+_STAGE: list[int | None] = [None]
+
+
+def enter_stage() -> None:
+    """Called by code that runs in a task: a worker outlives its stage, so what it kept
+    for another stage goes before new work starts."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _STAGE[0]:
+        _STAGE[0] = stage
+        for c in CACHES:
+            c.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:

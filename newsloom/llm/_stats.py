@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsloom.llm._shared import free_name, small_batches
+from newsloom.llm._shared import enter_stage, free_name, small_batches
 from newsloom.llm._text import SYMBOLS, TextBlock, blocks, join2
 
 _SYMBOL = np.zeros(256, bool)
@@ -77,6 +77,7 @@ def map_texts(docs: DataFrame, text: str, keep: list[str], new: T.StructType, fn
     n_keep, text_at = len(keep), list(dict.fromkeys([*keep, text])).index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_stage()
         for batch in batches:
             for a, b in blocks(batch.column(text_at)):
                 part = batch.slice(a, b - a)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
+from newsloom.llm._shared import CACHES
 from newsloom.llm._text import _LOWER, _SPACE, TextBlock
 
 END_ID = 2
@@ -119,6 +120,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> WordEncoder:

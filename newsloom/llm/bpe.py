@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from newsloom.llm import _stats as S
+from newsloom.llm._shared import CACHES
 from newsloom.llm._text import TextBlock, mix
 
 GAMMA, MEMO = 1.5, 250_000
@@ -171,6 +172,7 @@ class ByteBPE:
 
 
 _ENCODERS: dict[tuple[str, str], ByteBPE] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str, pattern: str) -> ByteBPE:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.llm import _stats as S
-from newsloom.llm._shared import free_name, run_dir, written
+from newsloom.llm._shared import enter_stage, free_name, run_dir, written
 from newsloom.llm._text import TextBlock
 
 SHRINKAGE, THRESHOLD, WINDOW = 0.05, 0.3, 8
@@ -161,6 +161,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", d
         names.append(free_name([*table.columns, *names], c))
 
     def score(column: pa.Array) -> pa.Array:
+        enter_stage()
         return pa.array(model.score(_vectors(column)))
 
     scorer = F.arrow_udf(score, T.DoubleType())

@@ -64,16 +64,6 @@ class Tokens:
         self.held_out = np.array([x is not None and zlib.crc32(str(x).encode()) % 10 == 0 for x in ids], bool)
 
 
-def pack48(h: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6]
-
-
-def unpack48(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.reshape(-1).view(U)
-
-
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
@@ -165,7 +155,7 @@ def _count_reply(kind: int, blobs: list[bytes], segs: list[int]) -> tuple[list[b
         keep = counts >= MIN_COUNT[1]
         return [counts[group[a:b]].tobytes() for a, b in zip(cut, cut[1:], strict=False)], [(TOTALS, totals), (11, build_shard(distinct[keep] & _LOW48, counts[keep]))]
     n = [len(b) // 7 for b in blobs]
-    low = np.concatenate([unpack48(np.frombuffer(b, np.uint8, 6 * k).reshape(-1, 6)) for b, k in zip(blobs, n, strict=True)])
+    low = np.concatenate([G.unpack48(np.frombuffer(b, np.uint8, 6 * k).reshape(-1, 6)) for b, k in zip(blobs, n, strict=True)])
     c = np.concatenate([np.frombuffer(b, np.uint8, k, 6 * k) for b, k in zip(blobs, n, strict=True)])
     distinct, counts, _ = _summed(low, c)
     keep = counts >= MIN_COUNT[2]
@@ -181,7 +171,7 @@ def _probe_reply(kind: int, blobs: list[bytes], segs: list[int]) -> tuple[list[b
         if s == -1:
             out.append(None)
             continue
-        low = unpack48(np.frombuffer(b, np.uint8).reshape(-1, 6))
+        low = G.unpack48(np.frombuffer(b, np.uint8).reshape(-1, 6))
         out.append(table.probe(low, np.zeros(len(low), np.int64), np.full(len(low), len(shard))).astype(np.uint8).tobytes())
     return out, []
 
@@ -203,7 +193,7 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broad
         times = -(-size // 255)
         pairs, left = np.repeat(pairs, times), np.repeat(size, times)
         left -= 255 * (np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times))
-        yield G.sent_as(seg, 2, buckets[2], pairs, pack48(pairs), np.minimum(left, 255).astype(np.uint8))
+        yield G.sent_as(seg, 2, buckets[2], pairs, G.pack48(pairs), np.minimum(left, 255).astype(np.uint8))
 
     counted = G.exchange(G.map_segments(segments, count, G.SENT), buckets[1] + buckets[2], _count_reply, folder)
     v = n_train = 0
@@ -227,7 +217,7 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broad
             parts = [Tokens(batch) for batch in G.read(path)]
             for kind, h in ((21, np.concatenate([t.hash for t in parts])), (22, np.concatenate([t.bigram for t in parts]))):
                 distinct = np.unique(h)
-                yield G.sent_as(seg, kind, buckets[kind - 20], distinct, pack48(distinct))
+                yield G.sent_as(seg, kind, buckets[kind - 20], distinct, G.pack48(distinct))
 
         own = shards.select((F.col("kind") + 10).cast("int").alias("kind"), "bucket", "seg", "blob")
         probed = G.exchange(G.map_segments(segments, ask, G.SENT).unionByName(own), buckets[1] + buckets[2], _probe_reply, f"{folder}-probes")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsloom.llm._shared import run_dir, small_batches, written
+from newsloom.llm._shared import enter_stage, run_dir, small_batches, written
 from newsloom.llm._text import TextBlock, blocks
 from newsloom.llm._wordtok import default_file, encoder
 
@@ -137,6 +137,7 @@ def cut(docs: DataFrame, text: str, doc_id: str, tokenizer: str | None, window:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_stage()
         part, enc, seen = TaskContext.get().partitionId(), encoder(path), np.zeros(window + 1, np.int64)
         for batch in batches:
             for a, e in blocks(batch.column(1), BLOCK):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsloom.llm._shared import open_fs, run_dir, small_batches, written
+from newsloom.llm._shared import enter_stage, open_fs, run_dir, small_batches, written
 from newsloom.llm._text import TextBlock, blocks
 from newsloom.llm._wordtok import default_file, encoder
 
@@ -48,6 +48,7 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
     arrow = to_arrow_schema(T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_stage()
         part, enc = TaskContext.get().partitionId(), encoder(path)
         fs, inner = open_fs(f"{folder}/ids")
         fs.create_dir(inner, recursive=True)
