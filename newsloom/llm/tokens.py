@@ -85,6 +85,8 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
         fs.move(draft, final)
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs_], "tokens": [total]}, schema=pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
+    fs_, inner_ = open_fs(f"{folder}/ids")
+    fs_.create_dir(inner_, recursive=True)  # an empty table has no task that makes it
     tie = F.xxhash64(F.col("t"))
     rows = docs.select(docs[doc_id].alias("i"), docs[text].alias("t")).repartitionByRange(F.col("i"), tie).sortWithinPartitions(F.col("i"), tie)
     manifest = written(rows.mapInArrow(write, MANIFEST), f"{folder}/manifest").collect()  # a row for each file
