@@ -86,7 +86,7 @@ def _collected(df: DataFrame, key: str, text: Column) -> list[str]:
     return [r[1] for r in df.select(F.col(key), text.alias("_text")).orderBy(key).collect()]
 
 
-def to_csv(df: DataFrame, path: str | None = None, *, include_text: bool = True, include_internal: bool = False) -> str:
+def to_csv(df: DataFrame, path: str | None = None, *, include_internal: bool = False, include_text: bool = True) -> str:
     rows = csv_rows(df, include_text, include_internal)
     names = rows.columns[1:]
     return write_output(path, "".join(f"{x}\n" for x in [",".join(names), *_collected(rows, "_key", _csv_line(names))]))
@@ -101,7 +101,7 @@ def json_items(df: DataFrame, include_internal: bool = False) -> DataFrame:
     return df.select(F.col(order_key(df)).alias("_key"), F.to_json(F.struct(*keep)).alias("item"))
 
 
-def to_json(df: DataFrame, path: str | None = None, *, indent: int | None = 2, envelope: bool = True, include_internal: bool = False, ensure_ascii: bool = False, generated_at: dt.datetime | None = None, extra_meta: dict | None = None) -> str:
+def to_json(df: DataFrame, path: str | None = None, *, envelope: bool = True, ensure_ascii: bool = False, extra_meta: dict | None = None, generated_at: dt.datetime | None = None, include_internal: bool = False, indent: int | None = 2) -> str:
     items = [json.loads(x) for x in _collected(json_items(df, include_internal), "_key", F.col("item"))]
     kind = "clusters" if is_clusters(df) else "articles"
     payload: Any = items
@@ -167,7 +167,7 @@ def jsonld_items(df: DataFrame) -> DataFrame:
     if is_clusters(df):
         prop = lambda n, v: F.to_json(F.struct(F.lit("PropertyValue").alias("@type"), F.lit(n).alias("name"), v.alias("value")))
         props = [prop("clusterSize", F.col("size")), F.when(nullif_blank(F.col("label")).isNotNull(), prop("clusterLabel", F.col("label"))), F.when(F.size("sources") > 0, prop("sources", F.col("sources")))]
-        props += [F.when(F.col(c).isNotNull(), prop(n, F.col(c))) for n, c in (("firstSeen", "first_seen"), ("lastSeen", "last_seen"))]
+        props += [F.when(F.col(c).isNotNull(), prop(n, F.col(c))) for c, n in {"first_seen": "firstSeen", "last_seen": "lastSeen"}.items()]
         extra = F.concat(F.lit(',"additionalProperty":['), F.concat_ws(",", *props), F.lit("]}"))
         item = F.concat(F.substr(item, F.lit(1), F.length(item) - 1), extra)
     return df.select(F.col(order_key(df)).alias("_key"), item.alias("item"))
@@ -176,8 +176,8 @@ def jsonld_items(df: DataFrame) -> DataFrame:
 def to_jsonld(df: DataFrame, path: str | None = None, *, indent: int | None = 2) -> str:
     items = _collected(jsonld_items(df), "_key", F.col("item"))
     elements = [{"@type": "ListItem", "position": i, "item": json.loads(x)} for i, x in enumerate(items, 1)]
-    payload = {"@context": "https://schema.org", "@type": "ItemList", "numberOfItems": len(elements), "itemListElement": elements}
-    return write_output(path, json.dumps(payload, indent=indent, ensure_ascii=False))
+    whole = {"@type": "ItemList", "@context": "https://schema.org", "itemListElement": elements, "numberOfItems": len(elements)}
+    return write_output(path, json.dumps(whole, indent=indent, ensure_ascii=False))
 
 
 def slug(c: Column) -> Column:
@@ -225,7 +225,7 @@ def _linked(m: Column, suffix: Column) -> Column:
     return F.when(nullif_blank(m["url"]).isNotNull(), F.concat(F.lit("- ["), title, F.lit("]("), m["url"], F.lit(")"), suffix)).otherwise(F.concat(F.lit("- "), title, suffix))
 
 
-def to_markdown(df: DataFrame, path: str | None = None, *, title: str | None = None, include_text: bool = True, include_summary: bool = True, include_metadata: bool = True, include_toc: bool = True, max_text_chars: int | None = 4000, include_all_members: bool = False, generated_at: dt.datetime | None = None) -> str:
+def to_markdown(df: DataFrame, path: str | None = None, *, generated_at: dt.datetime | None = None, include_all_members: bool = False, include_metadata: bool = True, include_summary: bool = True, include_text: bool = True, include_toc: bool = True, max_text_chars: int | None = 4000, title: str | None = None) -> str:
     clusters = is_clusters(df)
     options = {"include_text": include_text, "include_summary": include_summary, "include_metadata": include_metadata, "max_text_chars": max_text_chars}
     key, a = order_key(df), _item(df)
@@ -262,7 +262,8 @@ def to_markdown(df: DataFrame, path: str | None = None, *, title: str | None = N
             out.append(f"{i}. [{name}](#{i}{r['s'][1:]})")
         out += ["", "---", ""]
     out += [r["b"].replace("\u0000", str(i)) for i, r in enumerate(rendered, 1)]
-    return write_output(path, "\n".join(out).rstrip() + "\n")
+    text = "\n".join(out)
+    return write_output(path, f"{text.rstrip()}\n")
 
 
 def _text_block(a: _Item, include_text: bool, limit: int | None, similar: Column | None) -> Column:
@@ -280,8 +281,8 @@ def _text_block(a: _Item, include_text: bool, limit: int | None, similar: Column
 
 
 def to_text(df: DataFrame, path: str | None = None, *, include_text: bool = True, max_text_chars: int | None = None) -> str:
-    if max_text_chars is not None and max_text_chars < 0:
-        raise ValueError("max_text_chars must not be negative")
+    if (max_text_chars or 0) < 0:
+        raise ValueError("a text limit can't be negative")
     clusters, a = is_clusters(df), _item(df)
     similar = F.col("similar_articles") if "similar_articles" in df.columns and not clusters else None
     block = _text_block(a, include_text, max_text_chars, similar)

@@ -56,8 +56,7 @@ def _parse_any(column: pa.Array) -> pa.Array:
         when = None
         if raw:
             try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
+                with warnings.catch_warnings(action="ignore"):
                     when = parser.parse(raw, tzinfos=zones)
                 when = when.replace(tzinfo=dt.UTC) if when.tzinfo is None else when.astimezone(dt.UTC)
             except (ValueError, OverflowError, TypeError):

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from newsloom.schema import PROFILE
 
 PROFILE_NAMESPACE = "user_profile"
-PROFILE_VERSION = 1
-_LISTS = ("interests", "categories", "languages", "preferred_sources", "blocked_sources")
+PROFILE_VERSION, MAX_ID = 1, 256
+_LISTS = tuple("interests categories languages preferred_sources blocked_sources".split())
+Names = tuple[str, ...]
 
 
 class CacheError(Exception):
@@ -39,9 +40,9 @@ class InvalidUserProfile(ValueError):
 
 
 class FeedCache(Protocol):
-    def get(self, namespace: str, key: str, default: Any = None) -> Any: ...
+    def get(self, space: str, name: str, otherwise: Any = None, /) -> Any: ...
 
-    def set(self, namespace: str, key: str, value: Any, ttl: int | None = None) -> None: ...
+    def set(self, space: str, name: str, content: Any, /, ttl: int | None = None) -> None: ...
 
 
 class FeedCacheDeletable(FeedCache, Protocol):
@@ -51,11 +52,11 @@ class FeedCacheDeletable(FeedCache, Protocol):
 @dataclass(frozen=True)
 class UserProfile:
     user_id: str
-    interests: tuple[str, ...] = ()
-    categories: tuple[str, ...] = ()
-    languages: tuple[str, ...] = ()
-    preferred_sources: tuple[str, ...] = ()
-    blocked_sources: tuple[str, ...] = ()
+    interests: Names = ()
+    categories: Names = ()
+    languages: Names = ()
+    preferred_sources: Names = ()
+    blocked_sources: Names = ()
     schema_version: int = PROFILE_VERSION
 
     def validate(self) -> UserProfile:
@@ -63,15 +64,15 @@ class UserProfile:
             raise InvalidUserProfile(f"schema version {self.schema_version} is not known")
         if not isinstance(self.user_id, str) or not self.user_id.strip():
             raise InvalidUserProfile("user_id must not be blank")
-        if len(self.user_id) > 256:
-            raise InvalidUserProfile("user_id is longer than 256 characters")
+        if len(self.user_id) > MAX_ID:
+            raise InvalidUserProfile(f"user_id has more than {MAX_ID} characters")
         for name in _LISTS:
             values = getattr(self, name)
             if not isinstance(values, tuple) or any(not isinstance(v, str) or not v.strip() for v in values):
                 raise InvalidUserProfile(f"{name} must be a tuple of non-blank texts")
         return self
 
-    def to_dict(self) -> dict[str, Any]:
+    def to_dict(self) -> dict:
         self.validate()
         return {"user_id": self.user_id, **{n: list(getattr(self, n)) for n in _LISTS}, "schema_version": self.schema_version}
 
@@ -140,12 +141,12 @@ class EncryptedCache:
         value = F.aes_encrypt(F.col("text"), F.lit(self._aes))
         row.select("namespace", "cache_key", value.alias("value"), "expires_at", "created_at", "version").write.mode("append").parquet(self.path)
 
-    def set(self, namespace: str, key: str, value: Any, ttl: int | None = None) -> None:
-        if not namespace or not key:
+    def set(self, namespace: str, key: str, content: Any, ttl: float | None = None) -> None:
+        if not (namespace and key):
             raise ValueError("namespace and key must not be empty")
-        self._append(namespace, self.opaque(namespace, key), json.dumps(value), None if ttl is None else time.time() + ttl)
+        self._append(namespace, self.opaque(namespace, key), json.dumps(content), None if ttl is None else time.time() + ttl)
 
-    def get(self, namespace: str, key: str, default: Any = None) -> Any:
+    def get(self, namespace: str, key: str, default=None):
         digest = self.opaque(namespace, key)
         mine = self._newest().where((F.col("namespace") == namespace) & (F.col("cache_key") == digest))
         row = mine.select("expires_at", F.try_aes_decrypt("value", F.lit(self._aes)).cast("string").alias("text")).first()

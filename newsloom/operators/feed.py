@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import dates as D
-from newsloom.operators.cache import FeedCache, UserProfile, load_user_profile
+from newsloom.operators.cache import _LISTS, FeedCache, UserProfile, load_user_profile
 from newsloom.operators.cluster import THRESHOLD, cluster_articles, cluster_to_article
 from newsloom.schema import nullif_blank
 
 WEIGHTS = {"freshness": 0.10, "source": 0.10, "language": 0.10, "category": 0.15, "interest": 0.55}
 NAMESPACE = "calculated_feed"
+Weights = Mapping[str, float]
 
 
 class FeedError(Exception):
@@ -32,7 +33,7 @@ class FeedConfig:
     max_items: int = 50
     cluster_threshold: float = THRESHOLD
     drop_singletons: bool = False
-    weights: Mapping[str, float] = field(default_factory=dict)
+    weights: Weights = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for name in ("cache_ttl", "max_items"):
@@ -44,7 +45,7 @@ class FeedConfig:
         if extra := sorted(set(given) - set(WEIGHTS)):
             raise ValueError(f"unknown feed weights: {extra}")
         if any(v < 0 for v in given.values()):
-            raise ValueError("feed weights must be non-negative")
+            raise ValueError("no feed weight may be below 0")
         object.__setattr__(self, "weights", WEIGHTS | given)
 
 
@@ -148,7 +149,7 @@ def strip_blocked(stories: DataFrame, blocked: list[str]) -> DataFrame:
     allowed = F.filter(F.coalesce("similar_articles", empty), lambda m: ~_blocked(lambda c: m[c], related, blocked))
     rows = stories.withColumns({"_own": own, "_kept": F.coalesce(allowed, F.array().cast(stories.schema["similar_articles"].dataType))}).where(~F.col("_own") | (F.size("_kept") > 0))
     new = {}
-    inherits = ("_ord", "cluster_id", "cluster_score", "first_seen", "last_seen")
+    inherits = frozenset("_ord cluster_id cluster_score first_seen last_seen".split())
     for f in stories.schema.fields:
         c = f.name
         if c == "similar_articles":
@@ -170,7 +171,7 @@ def _without_blocked_sources(df: DataFrame, blocked: list[str]) -> DataFrame:
 
 
 def rank_personal(stories: DataFrame, profile: UserProfile, weights: Mapping[str, float], as_of: Column) -> DataFrame:
-    wanted = {k: sorted({x.strip().lower() for x in getattr(profile, k) if x.strip()}) for k in ("interests", "categories", "languages", "preferred_sources", "blocked_sources")}
+    wanted = {k: sorted({x.strip().lower() for x in getattr(profile, k) if x.strip()}) for k in _LISTS}
     rows = strip_blocked(stories, wanted["blocked_sources"])
     c = _Coverage(rows)
     hit = lambda values, terms: F.when(F.arrays_overlap(values, F.array(*map(F.lit, terms))), 1.0).otherwise(0.0) if terms else F.lit(0.0)
@@ -188,10 +189,10 @@ def rank_personal(stories: DataFrame, profile: UserProfile, weights: Mapping[str
 class FeedEngine:
     """Builds feeds and keeps personal ones in a cache."""
 
-    def __init__(self, cache: FeedCache | None = None, config: FeedConfig | None = None):
-        self.cache, self.config = cache, config or FeedConfig()
+    def __init__(self, cache: FeedCache | None = None, config: FeedConfig = FeedConfig()):  # noqa: B008
+        self.cache, self.config = cache, config
 
-    def build(self, articles: DataFrame, *, user_id: str | None = None, personalized: bool = False, limit: int | None = None, as_of: Column | None = None) -> DataFrame:
+    def build(self, articles: DataFrame, *, as_of: Column | None = None, limit: int | None = None, personalized: bool = False, user_id: str | None = None) -> DataFrame:
         as_of = F.current_timestamp() if as_of is None else as_of
         profile = None
         if personalized:
@@ -202,7 +203,7 @@ class FeedEngine:
             profile = load_user_profile(self.cache, user_id)
             if profile is None:
                 raise FeedProfileRequiredError(f"there is no valid profile of {user_id!r}")
-        stories = cluster_to_article(cluster_articles(articles, self.config.cluster_threshold, drop_singletons=self.config.drop_singletons, sort_by="date", as_of=as_of))
+        stories = cluster_to_article(cluster_articles(articles, self.config.cluster_threshold, sort_by="date", as_of=as_of, drop_singletons=self.config.drop_singletons))
         ranked = rank_generic(stories, as_of) if profile is None else rank_personal(stories, profile, self.config.weights, as_of)
         result = ranked.limit(max(self.config.max_items if limit is None else limit, 0))
         if profile is not None:
@@ -210,10 +211,11 @@ class FeedEngine:
             import time
 
             items = [json.loads(x) for x in result.toJSON().collect()]  # at most ``limit`` stories
-            self.cache.set(NAMESPACE, user_id, {"generated_at": time.time(), "items": items}, ttl=self.config.cache_ttl)
+            entry = {"items": items, "generated_at": time.time()}
+            self.cache.set(NAMESPACE, user_id, entry, ttl=self.config.cache_ttl)
         return result
 
-    def get_cached_feed(self, user_id: str, *, validate: bool = True, max_age: int | None = None) -> dict | None:
+    def get_cached_feed(self, user_id: str, *, max_age: float | None = None, validate: bool = True) -> dict | None:
         import time
 
         if self.cache is None:
@@ -228,8 +230,7 @@ class FeedEngine:
     def clear_cached_feed(self, user_id: str) -> bool:
         if self.cache is None:
             raise FeedError("clearing a cached feed needs a cache")
-        delete = getattr(self.cache, "delete", None)
-        if not callable(delete):
-            return False
-        delete(NAMESPACE, user_id)
-        return True
+        remove = getattr(self.cache, "delete", None)
+        if callable(remove):
+            remove(NAMESPACE, user_id)
+        return callable(remove)

@@ -22,6 +22,10 @@ REGIONS = dict(x.split("=") for x in "au=Australia|bd=Bangladesh|ca=Canada|gb=UK
 _SUBJECT = {"general": "breaking", "tech": "technology"}
 
 
+Terms = list[str] | None
+Day = str | dt.date | dt.datetime | None
+
+
 def _one_of(value: str, allowed, name: str) -> None:
     if value not in allowed:
         raise ValueError(f"{name}={value!r} is not one of {sorted(allowed)}")
@@ -32,17 +36,17 @@ class Request:
     time_limit: str = "d"
     max_results: int = 20
     language: str | None = None
-    whitelist: list[str] | None = None
-    blacklist: list[str] | None = None
+    whitelist: Terms = None
+    blacklist: Terms = None
     full_content: bool = False
-    search_in: list[str] = field(default_factory=lambda: ["title", "description"])
+    search_in: list[str] = field(default_factory=lambda: "title description".split())
     sort_by: str = "date"
     refresh_interval: int | None = None
 
     def __post_init__(self) -> None:
         _one_of(self.time_limit, WINDOWS, "time_limit")
-        if self.max_results < 1:
-            raise ValueError("max_results must be at least 1")
+        if not self.max_results >= 1:
+            raise ValueError("at least one result has to be asked for")
         if bad := sorted(set(self.search_in) - {"body", "description", "title"}):
             raise ValueError(f"search_in has unknown fields: {bad}")
         if self.refresh_interval is not None and self.refresh_interval < MIN_INTERVAL:
@@ -64,20 +68,25 @@ class FetchRequest(Request):
 class SearchRequest(Request):
     query: str = ""
     query_mode: str = "any"
-    exclude_terms: list[str] | None = None
-    start_date: str | dt.date | dt.datetime | None = None
-    end_date: str | dt.date | dt.datetime | None = None
+    exclude_terms: Terms = None
+    start_date: Day = None
+    end_date: Day = None
     country: str | None = None
 
     def __post_init__(self) -> None:
         super().__post_init__()
-        if not self.query.strip():
-            raise ValueError("query must not be blank")
+        if self.query.isspace() or not self.query:
+            raise ValueError("a search needs a query")
         _one_of(self.query_mode, MODES, "query_mode")
         _one_of(self.sort_by, SEARCH_SORTS, "sort_by")
         self.start_date, self.end_date = day_of(self.start_date, "start_date"), day_of(self.end_date, "end_date")
-        if self.start_date and self.end_date and self.start_date > self.end_date:
-            raise ValueError(f"start_date {self.start_date} is after end_date {self.end_date}")
+        first, last = self.start_date, self.end_date
+        if first and last and last < first:
+            raise ValueError(f"the range ends on {last}, before it starts on {first}")
+
+
+def unquoted(text: str) -> str:
+    return text.replace('"', "").strip()
 
 
 def provider_query(r: SearchRequest) -> str:
@@ -85,14 +94,14 @@ def provider_query(r: SearchRequest) -> str:
     moves by one."""
     words = re.findall(r'"[^"]+"|\S+', r.query)
     if r.query_mode == "exact_phrase":
-        parts = ['"' + r.query.replace('"', "").strip() + '"']
+        parts = [f'"{unquoted(r.query)}"']
     elif r.query_mode == "any" and len(words) > 1:
         parts = [f"({' OR '.join(words)})"]
     else:
         parts = words
     for t in r.exclude_terms or []:
         if t and t.strip():
-            bare = t.strip().strip('"').replace('"', "")
+            bare = unquoted(t)
             parts.append(f'-"{bare}"' if re.search(r"\s", bare) else f"-{bare}")
     if r.start_date:
         parts.append(f"after:{r.start_date}")
@@ -116,8 +125,15 @@ def published_within(r: Request, published: Column, as_of: Column) -> Column:
     return keep
 
 
+WORLD = "wt-wt"
+
+
+def anywhere(location: str | None) -> bool:
+    return location in (None, "", WORLD)
+
+
 def country_language(location: str | None) -> tuple[str, str]:
-    if not location or location == "wt-wt":
+    if anywhere(location):
         return "us", "en"
     country, _, language = location.lower().partition("-")
     return country, language or "en"
@@ -129,9 +145,10 @@ def locale(country: str | None = None, language: str | None = None) -> str:
 
 
 def region_name(location: str | None) -> str:
-    if not location or location == "wt-wt":
+    if anywhere(location):
         return ""
-    return REGIONS.get(location.lower().split("-")[0], location.upper())
+    code = location.lower().partition("-")[0]
+    return REGIONS[code] if code in REGIONS else location.upper()
 
 
 def subject_query(category: str, location: str | None) -> str:
@@ -141,6 +158,6 @@ def subject_query(category: str, location: str | None) -> str:
 
 
 def region_code(location: str | None) -> str:
-    if not location or location == "wt-wt":
-        return "wt-wt"
-    return location if "-" in location else f"{location}-en"
+    if anywhere(location):
+        return WORLD
+    return location + ("" if "-" in location else "-en")

@@ -26,8 +26,8 @@ ARTICLE = T.StructType(
         meta=META, _field_sources=T.MapType(_S, _S), _full_content=_B, _full_content_reason=_S, _rank_score=_D,
     ).fields
 )
-CLUSTER_FIELDS = ("id", "label", "topic", "size", "score", "sources", "first_seen", "last_seen", "representative", "articles")
-STORY_FIELDS = ("similar_articles", "cluster_id", "cluster_size", "cluster_score", "first_seen", "last_seen")
+CLUSTER_FIELDS = tuple("id label topic size score sources first_seen last_seen representative articles".split())
+STORY_FIELDS = tuple("cluster_id cluster_score cluster_size first_seen last_seen similar_articles".split())
 PROFILE = _struct(user_id=_S, interests=_A, categories=_A, languages=_A, preferred_sources=_A, blocked_sources=_A, schema_version=T.IntegerType())
 CACHE = _struct(namespace=_S, cache_key=_S, value=T.BinaryType(), expires_at=_D, created_at=_D)
 

@@ -27,12 +27,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from newsloom.functions import urls as U
 from newsloom.functions.dates import _UNIT_SECONDS
 from newsloom.functions.dom import parse
+from newsloom.functions.extract import host_of
 from newsloom.plans.requests import FetchRequest, SearchRequest, country_language, locale, provider_query, region_code, region_name, subject_query
 from newsloom.schema import RAW, conform
 
 CUT = 500
+SEARCH_FEED = "https://news.google.com/rss"
 ROW = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "url", "source", "published", "description")])
-USER_AGENTS = ("Mozilla/5.0 (X11; Linux x86_64) newsloom", "Mozilla/5.0 (Windows NT 10.0; Win64; x64) newsloom")
+USER_AGENTS = ("newsloom/0.1 (+batch)", "newsloom/0.1 (+stream)")
 
 
 def plain(text: str) -> str:
@@ -40,8 +42,8 @@ def plain(text: str) -> str:
 
 
 def ago(text: str, now: dt.datetime) -> str:
-    m = re.search(r"\b([0-9]+)\s*(minute|hour|day|week|month|year)s?\b", text, re.I)
-    if not m:
+    m = re.search(rf"\b([0-9]+)\s*({'|'.join(_UNIT_SECONDS)})s?\b", text, re.I)
+    if m is None:
         return text
     return (now - dt.timedelta(seconds=int(m[1]) * _UNIT_SECONDS[m[2].lower()])).replace(microsecond=0).isoformat()
 
@@ -57,7 +59,7 @@ def rfc822(text: str) -> str:
 
 
 def host(url: str) -> str:
-    return urlparse(url).netloc.replace("www.", "")
+    return host_of(url)
 
 
 def rss_items(xml: str, limit: int | None = None) -> list[dict[str, str]]:
@@ -92,8 +94,8 @@ def parse_search_feed(xml: str, now: dt.datetime) -> list[dict[str, str]]:
     for e in rss_items(xml, 200):
         if not e["link"]:
             continue
-        tail = e["title"].split(" - ")[-1] if " - " in e["title"] else ""
-        source = e["source"] or tail or host(e["link"]).split(".")[0].title()
+        tail = e["title"].rpartition(" - ")
+        source = e["source"] or (tail[2] if tail[1] else "") or host(e["link"]).partition(".")[0].title()
         rows.append({"title": e["title"] or "No title", "url": e["link"], "source": source, "published": e["published"], "description": e["summary"][:CUT]})
     return rows
 
@@ -136,10 +138,10 @@ def parse_list_page(html: str, now: dt.datetime) -> list[dict[str, str]]:
             continue
         link = anchors[0].get("href")
         if "/RU=" in link:
-            link = unquote_plus(link.split("/RU=", 1)[1].split("/RK=", 1)[0].split("?", 1)[0])
+            link = unquote_plus(re.search(r"/RU=(.*?)(?:/RK=|[?]|$)", link)[1])
         when = next((t for n in item.below("span", where=lambda n: "time" in n.get("class")) for t in n.texts()), "")
         source = next((t.strip() for n in item.below("span", where=lambda n: "source" in n.get("class")) for t in n.texts()), "")
-        rows.append({"title": title, "url": link, "source": source.split(" ·  via Yahoo", 1)[0].strip(), "published": ago(when, now), "description": _said(item, "p")[:CUT]})
+        rows.append({"title": title, "url": link, "source": re.sub(r"\s·  via Yahoo.*", "", source).strip(), "published": ago(when, now), "description": _said(item, "p")[:CUT]})
     return rows
 
 
@@ -188,10 +190,10 @@ def _topic_feed(r: FetchRequest) -> str:
     country, language = country_language(r.location)
     tail = locale(country, language) if r.location else locale()
     if topic and not where:
-        return f"https://news.google.com/rss/headlines/section/topic/{topic}?{tail}"
+        return f"{SEARCH_FEED}/headlines/section/topic/{topic}?{tail}"
     if where:
-        return f"https://news.google.com/rss/search?q={quote_plus((where + ' ' + (r.category if topic else 'news')).strip())}&{tail}"
-    return f"https://news.google.com/rss?{tail}"
+        return f"{SEARCH_FEED}/search?q={quote_plus((where + ' ' + (r.category if topic else 'news')).strip())}&{tail}"
+    return f"{SEARCH_FEED}?{tail}"
 
 
 def _span(limit: str) -> str:
@@ -324,7 +326,7 @@ def fetch_lazy(spark: SparkSession, r: FetchRequest, transport: Transport, redir
 
 def search_url(r: SearchRequest, site: str | None = None) -> str:
     query = provider_query(r) + (f" site:{site}" if site else "")
-    return f"https://news.google.com/rss/search?q={quote_plus(query)}&{locale(r.country, r.language)}"
+    return f"{SEARCH_FEED}/search?q={quote_plus(query)}&{locale(r.country, r.language)}"
 
 
 def search_raw(spark: SparkSession, r: SearchRequest, transport: Transport, redirects: DataFrame | None = None, site: str | None = None) -> DataFrame:
