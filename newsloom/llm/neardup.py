@@ -10,12 +10,17 @@ fewer words the whole sequence.  Documents are linked when
    retained values, so they share one of their ``K - m + 1`` rarest: only these enter
    the inverted lists, and a passage that a third of all documents share does so only
    where a sketch has little else.
-3. Lists give candidate pairs in rounds.  A round picks a few pivots of each list, among
-   the members outside its largest known component; a pivot meets every member of another
-   component.  A list is done when no such member is left, so every pair is compared or
-   already connected, and a group of a million copies costs a few stars, not its square.
-4. A pair of fitting sizes passes when the union sketch estimates enough overlap; then
-   both whole sets are fetched from their segments and the exact test decides.
+3. Lists give candidate pairs in rounds.  A round picks pivots of each list; a pivot meets
+   every member of another component.  Short lists take all members outside the largest
+   component at once.  Of long lists the first rounds take the most central member, that
+   whose retained values are the most frequent: the original of a group of edited copies
+   has no rare values of its own, and is linked with most of the group.  Later rounds take
+   more and more of the members that are still outside.  A list is done when none is left,
+   so every pair is compared or already connected.
+4. A pivot's sketch of ``K_UNION`` values goes to each segment that holds a document it
+   meets, once however many they are; there a pair passes when the union sketch estimates
+   enough overlap.  For the pairs left the pivot's whole set goes the same way, and the
+   exact test decides.
 5. Links contract components (minimum labels with pointer jumping, each iteration
    written to the shared folder).
 
@@ -46,8 +51,12 @@ from newsloom.llm import _segments as G
 from newsloom.llm._shared import free_name, run_dir, written
 from newsloom.llm._text import TextBlock, join2, mix, windows
 
-SHINGLE, PERCENT, K, TAIL = 5, 85, 64, 1e-7
-FIRST_PIVOTS, PIVOT_GROWTH = 4, 4
+SHINGLE, PERCENT, K, TAIL = 5, 85, 128, 1e-7
+#: Values in the sketches that estimate a pair's similarity.
+K_UNION = 512
+#: Lists so short are compared whole; rounds of central pivots; pivots of the round after
+#: those, and their growth from round to round.
+SHORT_LIST, CENTRAL_ROUNDS, PIVOTS, PIVOT_GROWTH = 8, 3, 8, 8
 U = np.uint64
 _DOC = np.dtype([("ref", "<i8"), ("id", "<i8"), ("has", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8")])
 _ROW_BITS = 18
@@ -113,8 +122,8 @@ def prefix_length(n: np.ndarray, k: int = K, percent: int = PERCENT) -> np.ndarr
 def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, k: int, percent: int, m: int) -> bool:
     """Whether two sketches (32-bit values, ascending) may belong to linked sets."""
     both = np.intersect1d(a, b, assume_unique=False)
-    if n_a <= k and n_b <= k:
-        return 100 * len(both) >= percent * (n_a + n_b - len(both))
+    if n_a <= k and n_b <= k:  # whole sets; two more for 32-bit values that coincide
+        return 100 * (len(both) + 2) >= percent * (n_a + n_b - len(both) - 2)
     union = np.union1d(a, b)[:k]
     return bool(np.isin(union, both, assume_unique=True).sum() >= min(m, ceil(len(union) * percent / 100 - 1e-9)))
 
@@ -163,14 +172,14 @@ def _picked(path: str, rows: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Record
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, label) with the smallest node of its component, for the nodes of
     ``edges`` (a, b)."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{folder}/edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), f"{folder}/0")
-    i = 0
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    both = written(both, f"{folder}/edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label"))
+    labels, i = written(labels, f"{folder}/0"), 0
     while True:
         i += 1
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         lower = labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was"))
-        lower = written(lower, f"{folder}/{i}-lower")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
         new = written(lower.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label"), "was"), f"{folder}/{i}")
         labels = new.select("node", "label")
@@ -187,7 +196,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     segments = G.stage(docs, [text, doc_id, *others], text, "neardup")
     folder = run_dir(spark, "neardup-work")
     m = least_shared(k, percent)
-    buckets = G.buckets_for(segments.docs * k * 10)
+    buckets = G.buckets_for(segments.docs * k * 7)
 
     def survey(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
         values, at, records = [], 0, []
@@ -204,15 +213,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             records.append(d)
             at += len(s.n)
         distinct, _, count = G.grouped(np.concatenate(values))
-        yield G.sent(seg, 1, buckets, distinct, np.minimum(count, 65535).astype(np.uint16))
+        yield G.sent_as(seg, 1, buckets, distinct, G.pack48(distinct), np.minimum(count, 255).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((2, seg % buckets, seg, np.concatenate(records).tobytes()), to_arrow_schema(G.SENT), strict=True)], schema=to_arrow_schema(G.SENT))
 
     def frequency(kind: int, blobs: list[bytes], segs: list[int]) -> tuple[list[bytes], list]:
         if kind == 2:
             return blobs, []
-        n = [len(b) // 10 for b in blobs]
-        h = np.concatenate([np.frombuffer(b, U, j) for b, j in zip(blobs, n, strict=True)])
-        c = np.concatenate([np.frombuffer(b, np.uint16, j, 8 * j) for b, j in zip(blobs, n, strict=True)])
+        n = [len(b) // 7 for b in blobs]
+        h = np.concatenate([G.unpack48(np.frombuffer(b, np.uint8, 6 * j).reshape(-1, 6)) for b, j in zip(blobs, n, strict=True)])
+        c = np.concatenate([np.frombuffer(b, np.uint8, j, 6 * j) for b, j in zip(blobs, n, strict=True)])
         _, group, _ = G.grouped(h)
         level = np.minimum(255, np.floor(8 * np.log2(np.bincount(group, weights=c)))).astype(np.uint8)[group]
         cut = np.cumsum([0, *n])
@@ -223,12 +232,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = rows.where(F.col("n") > 0).groupBy("s1", "s2", "n").agg(F.min("ref").alias("rep"))
     classes = written(classes, f"{folder}/classes")
 
-    indexed_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("n", T.LongType()), T.StructField("values", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    indexed_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.LongType()), T.StructField("values", T.ArrayType(T.LongType()))])
     indexed_arrow = to_arrow_schema(indexed_schema)
 
     def index(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
         """Of the representatives: the shared ones among their rarest retained values."""
         reps = _asked(got, 5)
+        if not len(reps):
+            return
         sets, at = [], 0
         for batch in G.read(path):
             s = Sets(batch.column(0), size)
@@ -247,16 +258,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         which = np.searchsorted(reps, of)
         use = (rank - start[which] < prefix_length(n, k, percent)[of]) & (level > 0)
         ends = np.append(start[1:], len(of))
-        out = [(int((seg << _ROW_BITS) + r), int(n[r]), value[s:e][use[s:e]].astype(np.int64), (value[s:e] >> U(32)).astype(np.uint32).tobytes()) for r, s, e in zip(reps.tolist(), start.tolist(), ends.tolist(), strict=True) if use[s:e].any()]
+        out = [(int((seg << _ROW_BITS) + r), int(n[r]), int(100 * level[s:e].mean()), value[s:e][use[s:e]].astype(np.int64)) for r, s, e in zip(reps.tolist(), start.tolist(), ends.tolist(), strict=True) if use[s:e].any()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(indexed_arrow)], schema=indexed_arrow)
 
     asked = _requests(classes.select(F.col("rep").alias("ref")), 5)
     indexed = written(G.map_segments(segments, index, indexed_schema, {1: surveyed, 5: asked}), f"{folder}/index")
-    entries = indexed.select(F.explode("values").alias("v"), "ref", "n")
+    entries = indexed.select(F.explode("values").alias("v"), "ref", "n", "w")
     shared = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
     entries = written(entries.join(shared, "v"), f"{folder}/entries")
-    labels = _link_rounds(spark, segments, indexed, entries, folder, size, percent, k, m)
+    labels = _link_rounds(spark, segments, entries, folder, size, percent)
 
     # back to documents: by class, then by component
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("component"))
@@ -266,68 +277,127 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out, segments
 
 
-def _link_rounds(spark: SparkSession, segments: G.Segments, indexed: DataFrame, entries: DataFrame, folder: str, size: int, percent: int, k: int, m: int) -> DataFrame:
+_PAIR = np.dtype([("p", "<i8"), ("row", "<i4")])
+
+
+def _shipments(pairs: DataFrame, payload: DataFrame, kind: int) -> DataFrame:
+    """Reply rows for the segments of the pairs' ``ref``: the pairs themselves (``kind``)
+    and, once per pivot and segment, the pivot's payload (``kind`` + 1; p, n, blob)."""
+    schema = T.StructType([T.StructField("seg", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        out = np.empty(table.num_rows, _PAIR)
+        out["p"] = table.column("p").to_numpy()
+        out["row"] = table.column("ref").to_numpy() & ((1 << _ROW_BITS) - 1)
+        return pa.Table.from_arrays([pa.array([table.column("seg")[0].as_py()]), pa.array([kind], pa.int32()), pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], schema=arrow)
+
+    at = pairs.select("p", "ref", F.shiftright("ref", _ROW_BITS).alias("seg"), F.pmod("p", F.lit(8)).alias("slice"))
+    lists = at.groupBy("seg", "slice").applyInArrow(run, schema)
+    head = F.arrow_udf(_with_head, T.BinaryType())
+    goods = at.select("p", "seg").distinct().join(payload, "p").select("seg", F.lit(kind + 1).alias("kind"), F.lit(0).alias("bucket"), head("p", "n", "blob").alias("blob"))
+    return lists.unionByName(goods)
+
+
+def _with_head(p: pa.Array, n: pa.Array, blob: pa.Array) -> pa.Array:
+    return pa.array([np.array([x, y], "<i8").tobytes() + z.as_buffer().to_pybytes() for x, y, z in zip(p.to_pylist(), n.to_pylist(), blob, strict=True)], pa.binary())
+
+
+def _link_rounds(spark: SparkSession, segments: G.Segments, entries: DataFrame, folder: str, size: int, percent: int) -> DataFrame:
     """(node, label) of the linked representatives' components."""
-    set_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    k, m = K_UNION, least_shared(K_UNION, percent)
+    set_schema = T.StructType([T.StructField("p", T.LongType()), T.StructField("n", T.LongType()), T.StructField("blob", T.BinaryType())])
     set_arrow = to_arrow_schema(set_schema)
+    pair_schema = T.StructType([T.StructField("p", T.LongType()), T.StructField("ref", T.LongType())])
+    pair_arrow = to_arrow_schema(pair_schema)
+
+    def fetch(whole: bool):
+        return lambda seg, path, got: fetched(seg, path, got, whole)
 
-    def fetch(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
+    def fetched(seg: int, path: str, got: dict, whole: bool) -> Iterator[pa.RecordBatch]:
         for mine, batch in _picked(path, _asked(got, 6)):
             s = Sets(batch.column(0), size)
-            raw = s.value
-            yield pa.RecordBatch.from_arrays([pa.array((seg << _ROW_BITS) + mine.astype(np.int64)), pa.array([raw[a:e].tobytes() for a, e in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary())], schema=set_arrow)
-
-    def likely(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        f = lambda x: np.frombuffer(x.as_buffer(), np.uint32)
-        return pa.array([estimate(f(x), f(y), p, q, k, percent, m) for x, y, p, q in zip(a, b, na.to_pylist(), nb.to_pylist(), strict=True)])
-
-    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        f = lambda x: np.frombuffer(x.as_buffer(), U)
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = f(x), f(y)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pa.array(out)
+            blobs = [(s.value[a:e] if whole else short(s.value[a:e])).tobytes() for a, e in zip(s.first[:-1], s.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array((seg << _ROW_BITS) + mine.astype(np.int64)), pa.array(s.n), pa.array(blobs, pa.binary())], schema=set_arrow)
+
+    def short(values: np.ndarray) -> np.ndarray:
+        return (values[:k] >> U(32)).astype(np.uint32)
+
+    def payload(pairs: DataFrame, whole: bool, path: str) -> DataFrame:
+        asked = _requests(pairs.select(F.col("p").alias("ref")).distinct(), 6)
+        return written(G.map_segments(segments, fetch(whole), set_schema, {6: asked}), path)
+
+    def tested(kind: int, width: type, test) -> Iterator[pa.RecordBatch]:
+        """Check a segment's pairs against the pivots' payloads that came with them."""
+
+        def run(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
+            pairs = np.frombuffer(b"".join(got.get(kind, [])), _PAIR)
+            pivots = {}
+            for blob in got.get(kind + 1, []):
+                p, n = np.frombuffer(blob, "<i8", 2).tolist()
+                pivots[p] = n, np.frombuffer(blob, width, offset=16)
+            order = np.argsort(pairs["row"], kind="stable")
+            pairs = pairs[order]
+            for mine, batch in _picked(path, np.unique(pairs["row"])):
+                s = Sets(batch.column(0), size)
+                found_p, found_row = [], []
+                for i, row in enumerate(mine.tolist()):
+                    own = s.value[s.first[i] : s.first[i + 1]]
+                    own = short(own) if width is np.uint32 else own
+                    a, e = np.searchsorted(pairs["row"], [row, row + 1])
+                    for p in pairs["p"][a:e].tolist():
+                        n, other = pivots[p]
+                        if test(other, own, n, int(s.n[i])):
+                            found_p.append(p)
+                            found_row.append((seg << _ROW_BITS) + row)
+                if found_p:
+                    yield pa.RecordBatch.from_arrays([pa.array(found_p, pa.int64()), pa.array(found_row, pa.int64())], schema=pair_arrow)
+
+        return run
+
+    def likely(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
+        return estimate(a, b, n_a, n_b, k, percent, m)
+
+    def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (n_a + n_b - both)
 
-    likely_, linked_ = F.arrow_udf(likely, "boolean"), F.arrow_udf(linked, "boolean")
     node = T.StructType([T.StructField("node", T.LongType()), T.StructField("label", T.LongType())])
     labels, links, done, checked = spark.createDataFrame([], node), None, None, None
-    sketches = indexed.select("ref", "sketch")
-    quota, step = FIRST_PIVOTS, 0
+    quota, step = PIVOTS, 0
     while True:
         here = f"{folder}/round-{step}"
-        now = entries.join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("v", "ref", "n", F.coalesce("label", "ref").alias("c"))
+        now = entries.join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("v", "ref", "n", "w", F.coalesce("label", "ref").alias("c"))
         largest = now.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", "main")
         live = now.join(largest, "v")
-        outside = live.where("c != main").select("v", "ref", "n", "c")
-        if done is not None:
-            outside = outside.join(done, ["v", "ref"], "left_anti")
-        outside = written(outside, f"{here}/outside")
-        if outside.isEmpty():
+        fresh = live if done is None else live.join(done, ["v", "ref"], "left_anti")
+        outside = fresh.where("c != main")
+        many = fresh.groupBy("v").agg(F.count(F.when(F.col("c") != F.col("main"), 1)).alias("many"), F.max(F.struct("w", "ref"))["ref"].alias("central")).where("many > 0")
+        if step < CENTRAL_ROUNDS:
+            chosen = F.when(F.col("many") <= SHORT_LIST, F.col("c") != F.col("main")).otherwise(F.col("ref") == F.col("central"))
+        else:
+            chosen = (F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("ref", F.lit(step)), F.lit(1 << 20)) * F.col("many") <= F.lit(quota << 20))
+            quota *= PIVOT_GROWTH
+        pivots = written(fresh.join(many, "v").where(chosen).select("v", F.col("ref").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp")), f"{here}/pivots")
+        if pivots.isEmpty() and outside.isEmpty():
             return labels
-        many = outside.groupBy("v").agg(F.count(F.lit(1)).alias("many"))
-        chance = F.pmod(F.xxhash64("ref", F.lit(step)), F.lit(1 << 20)) * F.col("many")
-        pivots = written(outside.join(many, "v").where(chance <= F.lit(quota << 20)).select("v", F.col("ref").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp")), f"{here}/pivots")
         met = live.join(pivots, "v").where((F.col("c") != F.col("cp")) & (100 * F.least("n", "np") >= percent * F.greatest("n", "np")))
-        pairs = met.select(F.least("ref", "p").alias("a"), F.greatest("ref", "p").alias("b"), F.when(F.col("ref") < F.col("p"), F.col("n")).otherwise(F.col("np")).alias("na"), F.when(F.col("ref") < F.col("p"), F.col("np")).otherwise(F.col("n")).alias("nb")).distinct()
+        pairs = met.groupBy(F.least("ref", "p").alias("a"), F.greatest("ref", "p").alias("b")).agg(F.min("p").alias("p"))
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"{here}/pairs")
+        pairs = written(pairs.select("a", "b", "p", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("ref")), f"{here}/pairs")
         checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
         finished = pivots.select("v", F.col("p").alias("ref"))
         done = finished if done is None else done.union(finished)
-        near = pairs.join(sketches.select(F.col("ref").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("ref").alias("b"), F.col("sketch").alias("sb")), "b").where(likely_("sa", "sb", "na", "nb")).select("a", "b")
-        near = written(near, f"{here}/near")
+        goods = _shipments(pairs, payload(pairs, False, f"{here}/sketches"), 11)
+        near = written(G.map_segments(segments, tested(11, np.uint32, likely), pair_schema, {11: goods, 12: goods}), f"{here}/near")
         if not near.isEmpty():
-            refs = near.select(F.col("a").alias("ref")).union(near.select("b")).distinct()
-            sets = written(G.map_segments(segments, fetch, set_schema, {6: _requests(refs, 6)}), f"{here}/sets")
-            true = near.join(sets.select(F.col("ref").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("ref").alias("b"), F.col("shingles").alias("xb")), "b").where(linked_("xa", "xb")).select("a", "b")
-            true = written(true, f"{here}/links")
-            links = true if links is None else links.union(true)
+            goods = _shipments(near, payload(near, True, f"{here}/sets"), 13)
+            true = written(G.map_segments(segments, tested(13, U, linked), pair_schema, {13: goods, 14: goods}).select(F.least("p", "ref").alias("a"), F.greatest("p", "ref").alias("b")), f"{here}/links")
             if not true.isEmpty():
+                links = true if links is None else links.union(true)
                 labels = components(links, f"{here}/components")
-        quota, step = quota * PIVOT_GROWTH, step + 1
+        step += 1
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
