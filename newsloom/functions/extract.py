@@ -11,6 +11,7 @@ import datetime as dt
 import json
 import re
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 from urllib.parse import urlparse
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from newsloom.functions import urls as U
 from newsloom.functions.dates import ZONES
 from newsloom.functions.dom import Node, absolute, parse
 from newsloom.schema import META
@@ -319,6 +321,12 @@ def is_syndicator(host: str) -> bool:
     return any(host == s or host.endswith("." + s) for s in SYNDICATORS)
 
 
+def syndicated(url: Column) -> Column:
+    """Column form of ``is_syndicator`` for a URL."""
+    host = U.domain(url)
+    return reduce(lambda a, b: a | b, [U.under_domain(host, s) for s in SYNDICATORS])
+
+
 def resolve_source(doc: Node, url: str, site_name: str | None, ld: dict[str, Any]) -> tuple[str, bool, bool]:
     """(source, shown by a syndicator, original outlet known)."""
     host = host_of(url)

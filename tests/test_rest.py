@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsloom import cli, export
 from newsloom.api import Newsroom, frame_of, tools
 from newsloom.functions.dom import links, parse
-from newsloom.functions.extract import clean_author, extract_article, extract_articles, is_junk_image
+from newsloom.functions.extract import clean_author, extract_article, extract_articles, is_junk_image, syndicated
 from newsloom.operators import feed as P
 from newsloom.operators import summarize as S
 from newsloom.operators.cache import CacheKeyError, EncryptedCache, InvalidUserProfile, UserProfile, load_user_profile, store_user_profile
@@ -60,6 +60,11 @@ def test_syndicated_source():
     assert extract_article(page, "https://www.msn.com/en-us/x")["source"] == "The Herald" and meta["source_is_aggregator"] and meta["source_resolved"]
 
 
+def test_syndicator_column(spark):
+    df = spark.createDataFrame([("https://www.msn.com/x",), ("https://de.yahoo.com/y",), ("https://notmsn.com/",)], "u string")
+    assert [r[0] for r in df.select(syndicated(F.col("u"))).collect()] == [True, True, False]
+
+
 def test_crawl(spark):
     site = "https://s.com"
     pages = spark.createDataFrame(
