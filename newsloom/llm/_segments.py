@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsloom.llm._shared import enter_stage, free_name, open_fs, run_dir, small_batches, written
+from newsloom.llm._shared import enter_stage, free_name, open_fs, run_dir, small_batches, trim, written
 from newsloom.llm._text import BLOCK_BYTES, TextBlock, blocks
 
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 BUCKET_BYTES = 12 << 20
 MANIFEST = T.StructType([T.StructField("seg", T.LongType()), T.StructField("path", T.StringType()), T.StructField("docs", T.LongType()), T.StructField("words", T.LongType())])
 _SENT = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("seg", T.LongType()), T.StructField("blob", T.BinaryType())])
@@ -84,6 +84,7 @@ def stage(docs: DataFrame, columns: list[str], text: str, name: str, segment_byt
                     n, to, size, rows, words = n + 1, None, 0, 0, 0
         if to is not None:
             yield close()
+        trim()
 
     source = docs.select(*[docs[c] for c in order])
     manifest = written(source.mapInArrow(run, MANIFEST), f"{folder}/manifest")
@@ -117,7 +118,10 @@ def map_segments(segments: Segments, fn: Callable[[int, str, dict[int, list[byte
             if kind[i] >= 0:
                 got.setdefault(kind[i], []).append(blob[i].as_buffer().to_pybytes())
         found = [] if where is None else list(fn(seg[0], where, got))
-        return pa.Table.from_batches(found, schema=out)
+        done = pa.Table.from_batches(found, schema=out)
+        del found, got
+        trim()
+        return done
 
     return rows.repartition(segments.tasks, "seg").groupBy("seg").applyInArrow(run, schema)
 
@@ -156,7 +160,10 @@ def exchange(rows: DataFrame, buckets: int, reply: Callable[[int, list[bytes], l
         segs = table.column("seg").to_pylist()
         answers, own = reply(kind, [x.as_buffer().to_pybytes() for x in table.column("blob")], segs)
         out = [(kind, bucket, s, r) for s, r in zip(segs, answers, strict=True) if r is not None] + [(k, bucket, -1, r) for k, r in own]
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        done = pa.Table.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        del out, answers, own
+        trim()
+        return done
 
     return written(rows.repartition(buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, _SENT), folder)
 

@@ -4,8 +4,11 @@ runs inside tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -16,6 +19,7 @@ _OWN: dict[str, str] = {}
 #: What workers keep between the tasks of one stage, such as tokenizers with their memos.
 CACHES: list[dict] = []
 _STAGE: list[int | None] = [None]
+_LIBC = ctypes.CDLL(None)
 
 
 def enter_stage() -> None:
@@ -27,7 +31,14 @@ def enter_stage() -> None:
         _STAGE[0] = stage
         for c in CACHES:
             c.clear()
-        pa.default_memory_pool().release_unused()
+        trim()
+
+
+def trim() -> None:
+    """Called at a task's end: an idle worker gives its freed memory back."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,9 +57,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+_RECORD: ContextVar[list[str] | None] = ContextVar("record", default=None)
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one; its name is never reused."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    record = _RECORD.get()
+    if record is not None:
+        record.append(path)
+    return path
+
+
+@contextmanager
+def recorded(folders: list[str]):
+    """Notes the folders made inside, for ``dropped``."""
+    token = _RECORD.set(folders)
+    try:
+        yield
+    finally:
+        _RECORD.reset(token)
+
+
+def dropped(folders: list[str]) -> None:
+    """Delete folders that no frame still in use reads."""
+    while folders:
+        fs, inner = open_fs(folders.pop())
+        if fs.get_file_info(inner).type == pafs.FileType.Directory:
+            fs.delete_dir(inner)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsloom.llm._shared import enter_stage, free_name, small_batches
+from newsloom.llm._shared import enter_stage, free_name, small_batches, trim
 from newsloom.llm._text import SYMBOLS, TextBlock, blocks, join2
 
 _SYMBOL = np.zeros(256, bool)
@@ -89,5 +89,6 @@ def map_texts(docs: DataFrame, text: str, keep: list[str], new: T.StructType, fn
                     rows = rows.filter(pa.array(where(found)))
                 if rows.num_rows:
                     yield rows
+        trim()
 
     return source.mapInArrow(run, out)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from newsloom.llm._shared import enter_stage, run_dir, small_batches, written
+from newsloom.llm._shared import enter_stage, run_dir, small_batches, trim, written
 from newsloom.llm._text import TextBlock, blocks
 from newsloom.llm._wordtok import default_file, encoder
 
@@ -161,6 +161,7 @@ def cut(docs: DataFrame, text: str, doc_id: str, tokenizer: str | None, window:
                 seen += np.bincount(size, minlength=window + 1)
                 columns = [batch.column(0).take(pa.array(row, pa.int64())), *map(pa.array, (start, size, crc, total, np.full(len(s), part), local))]
                 yield pa.RecordBatch.from_arrays([c.cast(arrow.field(k).type) for k, c in enumerate(columns)], schema=arrow)
+        trim()
 
     return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("t")).mapInArrow(run, schema)
 
