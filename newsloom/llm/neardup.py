@@ -56,7 +56,7 @@ SHINGLE, PERCENT, K, TAIL = 5, 85, 128, 1e-7
 K_UNION = 512
 #: Lists so short are compared whole; rounds of central pivots; pivots of the round after
 #: those, and their growth from round to round.
-SHORT_LIST, CENTRAL_ROUNDS, PIVOTS, PIVOT_GROWTH = 8, 3, 8, 8
+SHORT_LIST, CENTRAL_ROUNDS, PIVOTS, PIVOT_GROWTH = 8, 1, 32, 16
 U = np.uint64
 _DOC = np.dtype([("ref", "<i8"), ("id", "<i8"), ("has", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8")])
 _ROW_BITS = 18
