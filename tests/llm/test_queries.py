@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from newsloom.llm import neardup, queries
+from newsloom.llm._shared import run_dir, written
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -31,7 +32,7 @@ def test_pipeline(spark):
     columns, kept = docs.columns, [docs.count()]
     frame = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        frame = stage(spark, frame, SF).cache()
+        frame = written(stage(spark, frame, SF), run_dir(spark, "test"))
         assert frame.columns == columns
         kept.append(frame.count())
     assert kept[0] > kept[1] >= kept[2] >= kept[3] == kept[4] > 0
