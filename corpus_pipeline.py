@@ -3,17 +3,35 @@ substring dedup and packing, each over all that the one before kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.llm import classifier, neardup, packing, quality, substring
-from newsloom.llm._shared import run_dir, written
+from newsloom.llm._shared import dropped, recorded, run_dir, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_FOLDERS: list[str] = []
+
+
+def _in_turn(stage: Stage) -> Stage:
+    """A stage is called when the result of the one before has been written, so the
+    intermediate tables of that one go first."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        dropped(_FOLDERS)
+        with recorded(_FOLDERS):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
 
 STAGES = [
-    ("quality rules", quality.stage),
-    ("quality classifier", classifier.stage),
-    ("near-duplicates", neardup.stage),
-    ("substring dedup", substring.stage),
-    ("packing", packing.stage),
+    ("quality rules", _in_turn(quality.stage)),
+    ("quality classifier", _in_turn(classifier.stage)),
+    ("near-duplicates", _in_turn(neardup.stage)),
+    ("substring dedup", _in_turn(substring.stage)),
+    ("packing", _in_turn(packing.stage)),
 ]
 
 #: A learned classifier has no SQL; the tests hold the pipeline against brute force.
