@@ -3,8 +3,8 @@
 Tokens are the words of the text with A-Z in lower case, then one end token.  All
 training texts are counted exactly, in one exchange: every segment sends its distinct
 tokens and bigrams with their counts, every hash range adds them up.  A range then
-builds its own shard of the filter: an n-gram of count c >= ``MIN_COUNT[n]`` is entered
-as the keys (n-gram, 1) ... (n-gram, q) with q = 1 + floor(log_base c).  A lookup probes
+builds its own shard of the filter: an n-gram of count c, a bigram only from ``min_count``
+on (1 in the query: all of them), is entered as the keys (n-gram, 1) ... (n-gram, q) with q = 1 + floor(log_base c).  A lookup probes
 1, 2, ... until one is absent; q such hits stand for base^(q-1) occurrences.
 
     P(w | h) = L * min(1, c(hw) / c(h)) + (1 - L) * (c(w) + 0.1) / (N + 0.1 (V + 1))
@@ -27,6 +27,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from newsloom.llm._text import TextBlock, join2, mix
 
 U = np.uint64
 END = U(0x0E0D0E0D0E0D0E0D)
-MIN_COUNT = {1: 1, 2: 2}
+MIN_COUNT = 2
 BASE, BITS, PROBES, LAMBDA = 2.0, 14, 6, 0.4
 BROADCAST_BYTES = 64 << 20
 #: Kinds of exchange rows: tokens, bigrams, totals; a shard's kind is 10 + n.
@@ -144,7 +145,7 @@ def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return distinct, np.bincount(group, weights=c, minlength=len(distinct)).astype(np.int64), group
 
 
-def _count_reply(kind: int, blobs: list[bytes], segs: list[int]) -> tuple[list[bytes | None], list[tuple[int, bytes]]]:
+def _count_reply(kind: int, blobs: list[bytes], segs: list[int], min_count: int) -> tuple[list[bytes | None], list[tuple[int, bytes]]]:
     if kind == 1:
         n = [len(b) // 12 for b in blobs]
         h = np.concatenate([np.frombuffer(b, U, k) for b, k in zip(blobs, n, strict=True)])
@@ -152,13 +153,13 @@ def _count_reply(kind: int, blobs: list[bytes], segs: list[int]) -> tuple[list[b
         distinct, counts, group = _summed(h, c)
         cut = np.cumsum([0, *n])
         totals = struct.pack("<qq", int((counts > 0).sum()), int(counts.sum()))
-        keep = counts >= MIN_COUNT[1]
+        keep = counts > 0
         return [counts[group[a:b]].tobytes() for a, b in zip(cut, cut[1:], strict=False)], [(TOTALS, totals), (11, build_shard(distinct[keep] & _LOW48, counts[keep]))]
     n = [len(b) // 7 for b in blobs]
     low = np.concatenate([G.unpack48(np.frombuffer(b, np.uint8, 6 * k).reshape(-1, 6)) for b, k in zip(blobs, n, strict=True)])
     c = np.concatenate([np.frombuffer(b, np.uint8, k, 6 * k) for b, k in zip(blobs, n, strict=True)])
     distinct, counts, _ = _summed(low, c)
-    keep = counts >= MIN_COUNT[2]
+    keep = counts >= min_count
     return [None] * len(blobs), [(12, build_shard(distinct[keep], counts[keep]))]
 
 
@@ -176,7 +177,7 @@ def _probe_reply(kind: int, blobs: list[bytes], segs: list[int]) -> tuple[list[b
     return out, []
 
 
-def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     base = docs.select(docs[text].alias("t"), docs[doc_id].alias("doc_id"))
@@ -195,7 +196,7 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broad
         left -= 255 * (np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times))
         yield G.sent_as(seg, 2, buckets[2], pairs, G.pack48(pairs), np.minimum(left, 255).astype(np.uint8))
 
-    counted = G.exchange(G.map_segments(segments, count, G.SENT), buckets[1] + buckets[2], _count_reply, folder)
+    counted = G.exchange(G.map_segments(segments, count, G.SENT), buckets[1] + buckets[2], partial(_count_reply, min_count=min_count), folder)
     v = n_train = 0
     for r in counted.where(F.col("kind") == TOTALS).select("blob").collect():  # 16 bytes for each hash range
         a, b = struct.unpack("<qq", r[0])
@@ -257,4 +258,4 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broad
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_count=1)

@@ -337,6 +337,28 @@ def test_lm(spark, docs, corpus, odd, empty):
     assert lm.lm_scores(odd).count() == 4 and lm.lm_scores(empty).count() == 0
 
 
+def test_lm_query_has_bigrams_seen_once(spark, tmp_path, corpus):
+    spark.createDataFrame(corpus, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r["score"] for r in lm.query(spark, str(tmp_path)).collect()}
+    shards = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.read.parquet(f"{tmp_path}/documents.parquet"), broadcast_bytes=-1, min_count=1).collect()}
+    assert shards == rows
+    toks = {i: [*words(t, True), None] for i, t in corpus}
+    train = [i for i in toks if zlib.crc32(str(i).encode()) % 10]
+    c = Counter(w for i in train for w in toks[i])
+    pairs = Counter(p for i in train for p in zip([None, *toks[i]], toks[i], strict=False))
+    assert sum(x == 1 for x in pairs.values()) > len(pairs) / 2
+    n, v = sum(c.values()), len(c)
+    q = lambda x: 2.0 ** math.floor(math.log2(x)) if x else 0.0
+    off = 0
+    for i, ws in toks.items():
+        want = 0.0
+        for h, w in zip([None, *ws], ws, strict=False):
+            weight = 0.4 if c[h] else 0.0
+            want += math.log10(weight * min(1, q(pairs[h, w]) / max(q(c[h]), 1e-9)) + (1 - weight) * (q(c[w]) + 0.1) / (n + 0.1 * (v + 1)))
+        off += abs(want - rows[i]) > 1e-6
+    assert off <= 0.2 * len(toks)  # only false positives of the filter differ
+
+
 def components_by_force(corpus, percent=85):
     sets = []
     for _, t in corpus:
