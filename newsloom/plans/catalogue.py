@@ -91,6 +91,24 @@ def filter_exclude(spark, sf):
     return L.filter_articles(_article(spark, sf), query="that", exclude_terms=["loser", "clown"]).select(F.col("_ord").alias("doc_id"))
 
 
+_TB = "(title || ' ' || text)"
+
+
+@query("filter_any_text", _filter_sql(" OR ".join(_has(t, _TB) for t in TERMS[:2])))
+def filter_any_text(spark, sf):
+    return L.filter_articles(_article(spark, sf), query=" ".join(TERMS[:2]), search_in=["title", "body"]).select(F.col("_ord").alias("doc_id"))
+
+
+@query("filter_all_text", _filter_sql(" AND ".join(_has(t, _TB) for t in ("that", "the"))))
+def filter_all_text(spark, sf):
+    return L.filter_articles(_article(spark, sf), query="that the", query_mode="all", search_in=["title", "body"]).select(F.col("_ord").alias("doc_id"))
+
+
+@query("filter_exclude_text", _filter_sql(f"{_has('that', _TB)} AND NOT ({_has('loser', _TB)} OR {_has('clown', _TB)})"))
+def filter_exclude_text(spark, sf):
+    return L.filter_articles(_article(spark, sf), query="that", exclude_terms=["loser", "clown"], search_in=["title", "body"]).select(F.col("_ord").alias("doc_id"))
+
+
 @query("filter_topic", _filter_sql(f"{_has('avec', 'text')} OR {_has('der', 'text')}"))
 def filter_topic(spark, sf):
     return L.filter_articles(_article(spark, sf), topic="avec,der").select(F.col("_ord").alias("doc_id"))
@@ -336,8 +354,9 @@ def crawl(spark, sf):
 _STORIES = f"{_CLUSTERS}, st AS (SELECT rep AS ord, size, last_seen, sources FROM g)"
 
 
-def _exact_stories(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster_to_article(cluster_articles(_article(spark, sf), threshold=1.0, sort_by="date", as_of=_as_of())).withColumn("rep", F.regexp_extract("url", r"/story/(\d+)", 1).cast("long"))
+def _exact_stories(spark: SparkSession, sf: str, articles: DataFrame | None = None) -> DataFrame:
+    a = _article(spark, sf) if articles is None else articles
+    return cluster_to_article(cluster_articles(a, threshold=1.0, sort_by="date", as_of=_as_of())).withColumn("rep", F.regexp_extract("url", r"/story/(\d+)", 1).cast("long"))
 
 
 @query("feed_generic", f"WITH {_STORIES} SELECT ord AS rep, round(exp(-date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 48), 9) AS feed_score FROM st")
@@ -358,6 +377,17 @@ def feed_personalized(spark, sf):
     return P.rank_personal(_exact_stories(spark, sf), PROFILE, P.WEIGHTS, _as_of()).select("rep", F.col("_feed_score").alias("feed_score"))
 
 
+@query(
+    "feed_personalized_text",
+    f"""WITH {_STORIES}, mem AS (SELECT g.rep, k.title, k.text, k.language, k.source FROM k JOIN g USING (key)),
+tok AS (SELECT rep, list_distinct(string_split_regex(lower(string_agg(title || ' ' || text, ' ')), '\\s+')) AS t, bool_or(language IN ('fr', 'de')) AS l, bool_or(source IN ('src1', 'src3')) AS s FROM mem GROUP BY rep)
+SELECT rep, round(0.55 * len(list_intersect(t, ['that', 'avec', 'the'])) / 3.0 + 0.10 * l::INT + 0.10 * s::INT + 0.10 * exp(-date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 48), 6) AS feed_score FROM tok JOIN st ON st.ord = tok.rep""",
+)
+def feed_personalized_text(spark, sf):
+    whole = _article(spark, sf).withColumn("description", F.col("text")).drop("text")  # once, not twice
+    return P.rank_personal(_exact_stories(spark, sf, whole), PROFILE, P.WEIGHTS, _as_of()).select("rep", F.col("_feed_score").alias("feed_score"))
+
+
 @query("feed_blocked", f"WITH {_CLUSTERS}, m AS (SELECT g.rep, k.ord, k.published, k.source FROM k JOIN g USING (key)) SELECT rep AS story, count(*) FILTER (source <> 'src0')::BIGINT AS kept FROM m GROUP BY rep HAVING count(*) FILTER (source <> 'src0') > 0")
 def feed_blocked(spark, sf):
     stories = _exact_stories(spark, sf).withColumn("cluster_id", F.col("rep"))
