@@ -410,6 +410,16 @@ def summary_join(spark, sf):
     return S.search_and_summarize(found, a.drop("source")).select("url", "status", "source")
 
 
+@query(
+    "summary_join_all",
+    f"""WITH {_ART}, sm AS ({ORACLES['summary']}) SELECT url, CASE WHEN text <> '' THEN 'success' ELSE 'failed' END AS status, source,
+  CASE WHEN text <> '' THEN summary ELSE 'Could not extract article content' END AS summary FROM art JOIN sm ON sm.doc_id = art.ord""",
+)
+def summary_join_all(spark, sf):
+    a = _article(spark, sf)
+    return S.search_and_summarize(a.select("_ord", "url", "source", "title"), a.drop("source")).select("url", "status", "source", "summary")
+
+
 @query(
     "unseen_replay",
     f"WITH {_ART}, k AS (SELECT *, ord % 10 >= 5 AS second FROM art) SELECT ord AS doc_id FROM k WHERE second",
