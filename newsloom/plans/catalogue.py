@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom import export
 from newsloom.functions import dates as D
@@ -243,6 +244,22 @@ def sort_popularity(spark, sf):
     return R.sort_articles(dedupe_articles(_twice(spark, sf)), "popularity").limit(25).select(F.col("_ord").alias("doc_id"))
 
 
+def _placed(ordered: DataFrame) -> DataFrame:
+    """Adds ``position``, from 1, in the order that the rows have."""
+    schema = T.StructType([*ordered.schema.fields, T.StructField("position", T.LongType())])
+    return ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(schema)
+
+
+@query("sort_date_all", f"WITH {_ART} SELECT ord AS doc_id, published, row_number() OVER (ORDER BY published DESC NULLS LAST, ord) AS position FROM art")
+def sort_date_all(spark, sf):
+    return _placed(R.sort_articles(_article(spark, sf), "date").select(F.col("_ord").alias("doc_id"), "published"))
+
+
+@query("sort_popularity_all", f"WITH {_ART} SELECT ord AS doc_id, row_number() OVER (ORDER BY CASE WHEN ord % 4 = 0 THEN 2 ELSE 1 END DESC, ord) AS position FROM art")
+def sort_popularity_all(spark, sf):
+    return _placed(R.sort_articles(dedupe_articles(_twice(spark, sf)), "popularity").select(F.col("_ord").alias("doc_id")))
+
+
 _CLUSTERS = f"""{_ART}, k AS (SELECT *, CASE WHEN {_TITLE} = '' THEN '#' || ord ELSE {_TITLE} END AS key FROM art),
 g AS (SELECT key, count(*) AS size, max(published) AS last_seen, min(published) AS first_seen, arg_max(ord, published) AS rep, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM k GROUP BY key)"""
 
