@@ -365,7 +365,7 @@ def html_text(spark, sf):
 def crawl(spark, sf):
     pages = _pages(spark, sf)
     start = pages.orderBy("page_id").first()["url"]
-    return crawl_site(pages, start, max_pages=20, same_domain_only=False).select("url", "depth", "title")
+    return crawl_site(pages, start, same_domain_only=False).select("url", "depth", "title")
 
 
 _STORIES = f"{_CLUSTERS}, st AS (SELECT rep AS ord, size, last_seen, sources FROM g)"
