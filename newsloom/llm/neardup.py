@@ -10,18 +10,20 @@ fewer words the whole sequence.  Documents are linked when
    retained values, so they share one of their ``K - m + 1`` rarest: only these enter
    the inverted lists, and a passage that a third of all documents share does so only
    where a sketch has little else.
-3. Lists give candidate pairs in rounds.  A round picks pivots of each list; a pivot meets
-   every member of another component.  Short lists take all members outside the largest
-   component at once.  Of long lists the first rounds take the most central member, that
-   whose retained values are the most frequent: the original of a group of edited copies
-   has no rare values of its own, and is linked with most of the group.  Later rounds take
-   more and more of the members that are still outside.  A list is done when none is left,
-   so every pair is compared or already connected.
-4. A pivot's sketch of ``K_UNION`` values goes to each segment that holds a document it
-   meets, once however many they are; there a pair passes when the union sketch estimates
-   enough overlap.  For the pairs left the pivot's whole set goes the same way, and the
-   exact test decides.
-5. Links contract components (minimum labels with pointer jumping, each iteration
+3. A document's *home* is a block of at most about ``BLOCK`` members of the longest of its
+   lists.  A document that shares a list with one of another block goes there, once however
+   many it meets; the largest component of each list stays at home, as the others come to
+   it.  So no pair of documents is ever a row: a group of n similar documents makes
+   n x (its blocks) rows, be they linked or not.
+4. In a block the lists of retained values (``K_UNION`` of each document) give the overlap
+   of all its pairs at once; a pair passes when the union sketch estimates enough, and the
+   exact test on whole sets, read by offset from the shared folder, decides.  The most
+   central documents (whose retained values are the most frequent, such as the original of
+   edited copies) come first, and what is connected already is not compared again.  A block
+   emits the links that connect its components, no others.
+5. Where a list is longer than a block, rounds before the last send only its most central
+   members, so that most of a large group is one component before its outsiders travel.
+6. Links contract components (minimum labels with pointer jumping, each iteration
    written to the shared folder).
 
 ``m`` is such that a pair at the threshold falls short with probability below 1e-7
@@ -37,6 +39,7 @@ gives an empty result; further columns are not read by the query and pass throug
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import ceil, comb
 
@@ -48,15 +51,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsloom.llm import _segments as G
-from newsloom.llm._shared import free_name, run_dir, written
+from newsloom.llm._shared import enter_stage, open_fs, run_dir, trim, written
 from newsloom.llm._text import TextBlock, join2, mix, windows
 
 SHINGLE, PERCENT, K, TAIL = 5, 85, 128, 1e-7
 #: Values in the sketches that estimate a pair's similarity.
 K_UNION = 512
-#: Lists so short are compared whole; rounds of central pivots; pivots of the round after
-#: those, and their growth from round to round.
-SHORT_LIST, CENTRAL_ROUNDS, PIVOTS, PIVOT_GROWTH = 8, 1, 32, 16
+#: Documents of a block; parts of a list, of which each has a central member; rounds of those.
+BLOCK, SALTS, CENTRAL_ROUNDS = 4096, 16, 2
+#: Bytes of whole sets that a task keeps.
+SET_CACHE = 32 << 20
 U = np.uint64
 _DOC = np.dtype([("ref", "<i8"), ("id", "<i8"), ("has", "<i8"), ("n", "<i8"), ("s1", "<i8"), ("s2", "<i8")])
 _ROW_BITS = 18
@@ -187,6 +191,11 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
+def _level(place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list]:
+    """Frequency on a scale of an eighth of a doubling; 0 is a value met once."""
+    return np.minimum(255, np.floor(8 * np.log2(counts))).astype(np.uint8), []
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, k: int = K) -> tuple[DataFrame, G.Segments]:
     """A row per document: ref, doc_id, n_shingles, component_id, kept, first (one true
     per component, a true one always of the smallest id).  ``docs`` columns are in the
@@ -196,7 +205,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     segments = G.stage(docs, [text, doc_id, *others], text, "neardup")
     folder = run_dir(spark, "neardup-work")
     m = least_shared(k, percent)
-    buckets = G.buckets_for(segments.docs * k * 7)
+    ranges = G.Ranges.of(segments.docs * k, segments.n)
 
     def survey(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
         values, at, records = [], 0, []
@@ -213,61 +222,65 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             records.append(d)
             at += len(s.n)
         distinct, _, count = G.grouped(np.concatenate(values))
-        yield G.sent_as(seg, 1, buckets, distinct, G.pack48(distinct), np.minimum(count, 255).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((2, seg % buckets, seg, np.concatenate(records).tobytes()), to_arrow_schema(G.SENT), strict=True)], schema=to_arrow_schema(G.SENT))
-
-    def frequency(kind: int, blobs: list[bytes], segs: list[int]) -> tuple[list[bytes], list]:
-        if kind == 2:
-            return blobs, []
-        n = [len(b) // 7 for b in blobs]
-        h = np.concatenate([G.unpack48(np.frombuffer(b, np.uint8, 6 * j).reshape(-1, 6)) for b, j in zip(blobs, n, strict=True)])
-        c = np.concatenate([np.frombuffer(b, np.uint8, j, 6 * j) for b, j in zip(blobs, n, strict=True)])
-        _, group, _ = G.grouped(h)
-        level = np.minimum(255, np.floor(8 * np.log2(np.bincount(group, weights=c)))).astype(np.uint8)[group]
-        cut = np.cumsum([0, *n])
-        return [level[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], []
-
-    surveyed = G.exchange(G.map_segments(segments, survey, G.SENT), buckets, frequency, f"{folder}/frequency")
+        yield G.sent(seg, 1, ranges, distinct, count)
+        yield G.passed(seg, 2, ranges.first, np.concatenate(records).tobytes())
+
+    surveyed = G.exchange(G.map_segments(segments, survey, G.SENT), segments.n, {1: ranges}, {1: _level}, f"{folder}/frequency")
     rows = written(_docs_of(surveyed), f"{folder}/docs")
     classes = rows.where(F.col("n") > 0).groupBy("s1", "s2", "n").agg(F.min("ref").alias("rep"))
     classes = written(classes, f"{folder}/classes")
 
-    indexed_schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.LongType()), T.StructField("values", T.ArrayType(T.LongType()))])
+    indexed_schema = T.StructType(_NODE + [T.StructField("values", T.ArrayType(T.LongType()))])
     indexed_arrow = to_arrow_schema(indexed_schema)
+    sets_folder = f"{folder}/sets"
 
     def index(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
-        """Of the representatives: the shared ones among their rarest retained values."""
+        """Of the representatives: the shared ones among their rarest retained values.
+        Whole sets of those that have any go to a file."""
         reps = _asked(got, 5)
         if not len(reps):
             return
+        reps = np.sort(reps)
         sets, at = [], 0
         for batch in G.read(path):
             s = Sets(batch.column(0), size)
-            value, of = s.sketch(k)
-            sets.append((value, of + at, s.n))
+            sets.append((s, at))
             at += batch.num_rows
-        value, of, n = (np.concatenate(x) for x in zip(*sets, strict=True))
+        value, of = (np.concatenate(x) for x in zip(*((v, t + a) for s, a in sets for v, t in [s.sketch(k)]), strict=True))
+        n = np.concatenate([s.n for s, _ in sets])
         _, group, _ = G.grouped(value)
-        level = np.frombuffer(b"".join(got.get(1, [])), np.uint8)[group]
+        level = G.unpacked(got.get(1, []), np.uint8)[group]
         mine = np.isin(of, reps)
         value, of, level = value[mine], of[mine], level[mine]
         start = np.searchsorted(of, reps)
         rank = np.empty(len(of), np.int64)
         order = np.lexsort((value, level, of))
         rank[order] = np.arange(len(of))
-        which = np.searchsorted(reps, of)
-        use = (rank - start[which] < prefix_length(n, k, percent)[of]) & (level > 0)
+        use = (rank - start[np.searchsorted(reps, of)] < prefix_length(n, k, percent)[of]) & (level > 0)
         ends = np.append(start[1:], len(of))
-        out = [(int((seg << _ROW_BITS) + r), int(n[r]), int(100 * level[s:e].mean()), value[s:e][use[s:e]].astype(np.int64)) for r, s, e in zip(reps.tolist(), start.tolist(), ends.tolist(), strict=True) if use[s:e].any()]
-        if out:
+        file, out, written_, which = f"{sets_folder}/{seg}-{uuid.uuid4().hex[:12]}.bin", [], 0, 0
+        fs, inner = open_fs(sets_folder)
+        sink = None
+        for r, s, e in zip(reps.tolist(), start.tolist(), ends.tolist(), strict=True):
+            if not use[s:e].any():
+                continue
+            while which + 1 < len(sets) and sets[which + 1][1] <= r:
+                which += 1
+            block, at = sets[which]
+            whole = block.value[block.first[r - at] : block.first[r - at + 1]]
+            if sink is None:
+                fs.create_dir(inner, recursive=True)
+                sink = fs.open_output_stream(f"{inner}/{file.rpartition('/')[2]}")
+            sink.write(whole.tobytes())
+            out.append(((seg << _ROW_BITS) + r, int(n[r]), int(100 * level[s:e].mean()), short(whole).tobytes(), file, written_, value[s:e][use[s:e]].astype(np.int64)))
+            written_ += len(whole)
+        if sink is not None:
+            sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(indexed_arrow)], schema=indexed_arrow)
 
     asked = _requests(classes.select(F.col("rep").alias("ref")), 5)
     indexed = written(G.map_segments(segments, index, indexed_schema, {1: surveyed, 5: asked}), f"{folder}/index")
-    entries = indexed.select(F.explode("values").alias("v"), "ref", "n", "w")
-    shared = entries.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
-    entries = written(entries.join(shared, "v"), f"{folder}/entries")
-    labels = _link_rounds(spark, segments, entries, folder, size, percent)
+    labels = _linked(spark, indexed, folder, percent)
 
     # back to documents: by class, then by component
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("component"))
@@ -277,127 +290,200 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out, segments
 
 
-_PAIR = np.dtype([("p", "<i8"), ("row", "<i4")])
-
-
-def _shipments(pairs: DataFrame, payload: DataFrame, kind: int) -> DataFrame:
-    """Reply rows for the segments of the pairs' ``ref``: the pairs themselves (``kind``)
-    and, once per pivot and segment, the pivot's payload (``kind`` + 1; p, n, blob)."""
-    schema = T.StructType([T.StructField("seg", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
-    arrow = to_arrow_schema(schema)
+#: A document in a block: its sketch, and where its whole set is.
+_NODE = [T.StructField("ref", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("file", T.StringType()), T.StructField("at", T.LongType())]
+
+
+def short(values: np.ndarray) -> np.ndarray:
+    """The sketch of a set: its ``K_UNION`` least values, 32 bits each."""
+    return (values[:K_UNION] >> U(32)).astype(np.uint32)
+
+
+class WholeSets:
+    """Sets by file and offset, the latest few kept."""
+
+    def __init__(self):
+        self.kept, self.size, self.files = {}, 0, {}
+
+    def __getitem__(self, key: tuple[str, int, int]) -> np.ndarray:
+        if key not in self.kept:
+            file, at, n = key
+            if file not in self.files:
+                if len(self.files) >= 64:
+                    self.files.pop(next(iter(self.files))).close()
+                fs, inner = open_fs(file)
+                self.files[file] = fs.open_input_file(inner)
+            while self.kept and self.size + 8 * n > SET_CACHE:
+                self.size -= self.kept.pop(next(iter(self.kept))).nbytes
+            self.kept[key] = np.frombuffer(self.files[file].read_at(8 * n, 8 * at), U)
+            self.size += 8 * n
+        return self.kept[key]
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``a`` has in common with each of ``b``: over the inverted
+    lists of ``b``, or as a product of 0/1 matrices where the lists are long."""
+    sizes = np.array([len(x) for x in b])
+    values, owner = np.concatenate(b), np.repeat(np.arange(len(b)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    mine, row = np.concatenate(a), np.repeat(np.arange(len(a)), [len(x) for x in a])
+    start, end = np.searchsorted(values, mine), np.searchsorted(values, mine, side="right")
+    met = end > start
+    start, end, row = start[met], end[met], row[met]
+    total = int((end - start).sum())
+    heads, column = np.unique(start, return_inverse=True)
+    if total > 200_000 and 20 * total > len(a) * len(b) * len(heads) // 16:
+        out = np.zeros((len(a), len(b)), np.float32)
+        tail = np.zeros(len(heads), np.int64)
+        tail[column] = end
+        for c in range(0, len(heads), 1024):  # columns of the matrices
+            d = min(c + 1024, len(heads))
+            left, right = np.zeros((len(a), d - c), np.float32), np.zeros((len(b), d - c), np.float32)
+            pick = (column >= c) & (column < d)
+            left[row[pick], column[pick] - c] = 1
+            size = tail[c:d] - heads[c:d]
+            at = np.repeat(heads[c:d] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            right[owner[at], np.repeat(np.arange(d - c), size)] = 1
+            out += left @ right.T
+        return out.astype(np.int64)
+    out = np.zeros(len(a) * len(b), np.int64)
+    size = end - start
+    step = max(1, int(len(size) * 2_000_000 / max(total, 1)))
+    for s in range(0, len(size), step):
+        z = size[s : s + step]
+        at = np.repeat(start[s : s + step] - (np.cumsum(z) - z), z) + np.arange(int(z.sum()))
+        np.add(out, np.bincount(np.repeat(row[s : s + step], z) * len(b) + owner[at], minlength=len(out)), out=out)
+    return out.reshape(len(a), len(b))
+
+
+class Block:
+    """Documents of one home and those that came to it, compared until all pairs are
+    either tested or connected."""
+
+    STEP = 64
+
+    def __init__(self, rows: list[tuple], percent: int, sets: WholeSets):
+        """Rows (came, component, ref, n, w, sketch, file, at)."""
+        rows.sort(key=lambda r: (-r[4], r[2]))
+        self.percent, self.sets, self.m = percent, sets, least_shared(K_UNION, percent)
+        self.came = np.array([r[0] for r in rows], bool)
+        self.comp = np.unique([r[1] for r in rows], return_inverse=True)[1]
+        self.ref = [r[2] for r in rows]
+        self.n = np.array([r[3] for r in rows])
+        self.sketch = [np.frombuffer(r[5], np.uint32) for r in rows]
+        self.key = [(r[6], r[7], r[3]) for r in rows]
+
+    def passes(self, shared: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Where sketches with so many common values may belong to linked sets."""
+        whole = (n_a <= K_UNION) & (n_b <= K_UNION)  # two more for 32-bit values that coincide
+        enough = np.where(whole, 100 * (shared + 2) >= self.percent * (n_a + n_b - shared - 2), shared >= self.m)
+        return enough & (100 * np.minimum(n_a, n_b) >= self.percent * np.maximum(n_a, n_b))
+
+    def linked(self, i: int, j: int) -> bool:
+        n_a, n_b = int(self.n[i]), int(self.n[j])
+        if not estimate(self.sketch[i], self.sketch[j], n_a, n_b, K_UNION, self.percent, self.m):
+            return False
+        both = len(np.intersect1d(self.sets[self.key[i]], self.sets[self.key[j]], assume_unique=True))
+        return 100 * both >= self.percent * (n_a + n_b - both)
+
+    def links(self, inside: bool) -> Iterator[tuple[int, int]]:
+        """Links that join components; ``inside``: of the home's own pairs too."""
+        total = len(self.ref)
+        home = np.flatnonzero(~self.came)
+        pivots = np.arange(total) if inside else np.flatnonzero(self.came)
+        for s in range(0, len(pivots), self.STEP):
+            now = pivots[s : s + self.STEP]
+            if (self.comp == self.comp[0]).all():
+                return
+            # later documents of the home; of those that came, all of the home
+            there = home if self.came[now].any() else home[home > now[0]]
+            some = np.unique(self.comp[now])
+            there = there[~np.isin(self.comp[there], some)] if len(some) == 1 else there
+            if not len(there):
+                continue
+            shared = overlaps([self.sketch[i] for i in now], [self.sketch[j] for j in there])
+            ok = self.passes(shared, self.n[now][:, None], self.n[there][None, :])
+            for x, i in enumerate(now.tolist()):
+                if not ok[x].any():
+                    continue
+                for j in there[ok[x]].tolist():
+                    if self.comp[i] != self.comp[j] and (self.came[i] or j > i) and self.linked(i, j):
+                        self.comp[self.comp == self.comp[j]] = self.comp[i]
+                        yield self.ref[i], self.ref[j]
+
+
+_LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _compared(units: DataFrame, percent: int, inside: bool, tasks: int) -> DataFrame:
+    """Links (a, b) of the units' blocks; rows (unit, block, slice, came, component, *node)."""
+    arrow = to_arrow_schema(_LINK)
 
     def run(table: pa.Table) -> pa.Table:
-        out = np.empty(table.num_rows, _PAIR)
-        out["p"] = table.column("p").to_numpy()
-        out["row"] = table.column("ref").to_numpy() & ((1 << _ROW_BITS) - 1)
-        return pa.Table.from_arrays([pa.array([table.column("seg")[0].as_py()]), pa.array([kind], pa.int32()), pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], schema=arrow)
-
-    at = pairs.select("p", "ref", F.shiftright("ref", _ROW_BITS).alias("seg"), F.pmod("p", F.lit(8)).alias("slice"))
-    lists = at.groupBy("seg", "slice").applyInArrow(run, schema)
-    head = F.arrow_udf(_with_head, T.BinaryType())
-    goods = at.select("p", "seg").distinct().join(payload, "p").select("seg", F.lit(kind + 1).alias("kind"), F.lit(0).alias("bucket"), head("p", "n", "blob").alias("blob"))
-    return lists.unionByName(goods)
-
-
-def _with_head(p: pa.Array, n: pa.Array, blob: pa.Array) -> pa.Array:
-    return pa.array([np.array([x, y], "<i8").tobytes() + z.as_buffer().to_pybytes() for x, y, z in zip(p.to_pylist(), n.to_pylist(), blob, strict=True)], pa.binary())
-
-
-def _link_rounds(spark: SparkSession, segments: G.Segments, entries: DataFrame, folder: str, size: int, percent: int) -> DataFrame:
+        enter_stage()
+        groups: dict[tuple, list] = {}
+        columns = [table.column(c).to_pylist() for c in ("block", "slice", "came", "component", *(f.name for f in _NODE))]
+        for block, slice_, *row in zip(*columns, strict=True):
+            groups.setdefault((block, slice_), []).append(tuple(row))
+        sets, found = WholeSets(), []
+        for (_, slice_), rows in groups.items():
+            if len(rows) > 1:
+                found += Block(rows, percent, sets).links(inside and slice_ == 0)
+        done = pa.Table.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], schema=arrow)
+        del groups, columns, sets
+        trim()
+        return done
+
+    return units.repartition(tasks, "unit").groupBy("unit").applyInArrow(run, _LINK)
+
+
+def _linked(spark: SparkSession, indexed: DataFrame, folder: str, percent: int, block: int = BLOCK) -> DataFrame:
     """(node, label) of the linked representatives' components."""
-    k, m = K_UNION, least_shared(K_UNION, percent)
-    set_schema = T.StructType([T.StructField("p", T.LongType()), T.StructField("n", T.LongType()), T.StructField("blob", T.BinaryType())])
-    set_arrow = to_arrow_schema(set_schema)
-    pair_schema = T.StructType([T.StructField("p", T.LongType()), T.StructField("ref", T.LongType())])
-    pair_arrow = to_arrow_schema(pair_schema)
-
-    def fetch(whole: bool):
-        return lambda seg, path, got: fetched(seg, path, got, whole)
-
-    def fetched(seg: int, path: str, got: dict, whole: bool) -> Iterator[pa.RecordBatch]:
-        for mine, batch in _picked(path, _asked(got, 6)):
-            s = Sets(batch.column(0), size)
-            blobs = [(s.value[a:e] if whole else short(s.value[a:e])).tobytes() for a, e in zip(s.first[:-1], s.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array((seg << _ROW_BITS) + mine.astype(np.int64)), pa.array(s.n), pa.array(blobs, pa.binary())], schema=set_arrow)
-
-    def short(values: np.ndarray) -> np.ndarray:
-        return (values[:k] >> U(32)).astype(np.uint32)
-
-    def payload(pairs: DataFrame, whole: bool, path: str) -> DataFrame:
-        asked = _requests(pairs.select(F.col("p").alias("ref")).distinct(), 6)
-        return written(G.map_segments(segments, fetch(whole), set_schema, {6: asked}), path)
-
-    def tested(kind: int, width: type, test) -> Iterator[pa.RecordBatch]:
-        """Check a segment's pairs against the pivots' payloads that came with them."""
-
-        def run(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
-            pairs = np.frombuffer(b"".join(got.get(kind, [])), _PAIR)
-            pivots = {}
-            for blob in got.get(kind + 1, []):
-                p, n = np.frombuffer(blob, "<i8", 2).tolist()
-                pivots[p] = n, np.frombuffer(blob, width, offset=16)
-            order = np.argsort(pairs["row"], kind="stable")
-            pairs = pairs[order]
-            for mine, batch in _picked(path, np.unique(pairs["row"])):
-                s = Sets(batch.column(0), size)
-                found_p, found_row = [], []
-                for i, row in enumerate(mine.tolist()):
-                    own = s.value[s.first[i] : s.first[i + 1]]
-                    own = short(own) if width is np.uint32 else own
-                    a, e = np.searchsorted(pairs["row"], [row, row + 1])
-                    for p in pairs["p"][a:e].tolist():
-                        n, other = pivots[p]
-                        if test(other, own, n, int(s.n[i])):
-                            found_p.append(p)
-                            found_row.append((seg << _ROW_BITS) + row)
-                if found_p:
-                    yield pa.RecordBatch.from_arrays([pa.array(found_p, pa.int64()), pa.array(found_row, pa.int64())], schema=pair_arrow)
-
-        return run
-
-    def likely(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
-        return estimate(a, b, n_a, n_b, k, percent, m)
-
-    def linked(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= percent * (n_a + n_b - both)
-
-    node = T.StructType([T.StructField("node", T.LongType()), T.StructField("label", T.LongType())])
-    labels, links, done, checked = spark.createDataFrame([], node), None, None, None
-    quota, step = PIVOTS, 0
-    while True:
-        here = f"{folder}/round-{step}"
-        now = entries.join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("v", "ref", "n", "w", F.coalesce("label", "ref").alias("c"))
-        largest = now.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", "main")
-        live = now.join(largest, "v")
-        fresh = live if done is None else live.join(done, ["v", "ref"], "left_anti")
-        outside = fresh.where("c != main")
-        many = fresh.groupBy("v").agg(F.count(F.when(F.col("c") != F.col("main"), 1)).alias("many"), F.max(F.struct("w", "ref"))["ref"].alias("central")).where("many > 0")
-        if step < CENTRAL_ROUNDS:
-            chosen = F.when(F.col("many") <= SHORT_LIST, F.col("c") != F.col("main")).otherwise(F.col("ref") == F.col("central"))
-        else:
-            chosen = (F.col("c") != F.col("main")) & (F.pmod(F.xxhash64("ref", F.lit(step)), F.lit(1 << 20)) * F.col("many") <= F.lit(quota << 20))
-            quota *= PIVOT_GROWTH
-        pivots = written(fresh.join(many, "v").where(chosen).select("v", F.col("ref").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp")), f"{here}/pivots")
-        if pivots.isEmpty() and outside.isEmpty():
-            return labels
-        met = live.join(pivots, "v").where((F.col("c") != F.col("cp")) & (100 * F.least("n", "np") >= percent * F.greatest("n", "np")))
-        pairs = met.groupBy(F.least("ref", "p").alias("a"), F.greatest("ref", "p").alias("b")).agg(F.min("p").alias("p"))
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs.select("a", "b", "p", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("ref")), f"{here}/pairs")
-        checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
-        finished = pivots.select("v", F.col("p").alias("ref"))
-        done = finished if done is None else done.union(finished)
-        goods = _shipments(pairs, payload(pairs, False, f"{here}/sketches"), 11)
-        near = written(G.map_segments(segments, tested(11, np.uint32, likely), pair_schema, {11: goods, 12: goods}), f"{here}/near")
-        if not near.isEmpty():
-            goods = _shipments(near, payload(near, True, f"{here}/sets"), 13)
-            true = written(G.map_segments(segments, tested(13, U, linked), pair_schema, {13: goods, 14: goods}).select(F.least("p", "ref").alias("a"), F.greatest("p", "ref").alias("b")), f"{here}/links")
-            if not true.isEmpty():
-                links = true if links is None else links.union(true)
-                labels = components(links, f"{here}/components")
-        step += 1
+    salt = F.pmod(F.xxhash64("ref", F.lit(1)), F.lit(SALTS))
+    entries = indexed.select(F.explode("values").alias("v"), "ref", "w", salt.alias("s"))
+    # a list's parts (v, s) stand for it in joins, so that a long list is many keys
+    parts = written(entries.groupBy("v", "s").agg(F.count(F.lit(1)).alias("k")), f"{folder}/parts")
+    lists = parts.groupBy("v").agg(F.sum("k").alias("size")).where("size > 1")
+    parts = written(parts.join(lists, "v").select("v", "s", "size"), f"{folder}/lists")
+    entries = written(entries.join(parts, ["v", "s"]), f"{folder}/entries")
+    homes = entries.groupBy("ref").agg(F.max(F.struct("size", "v")).alias("top")).select("ref", F.xxhash64("top.v", F.pmod(F.xxhash64("ref", F.lit(2)), F.ceil(F.col("top.size") / block))).alias("home"))
+    nodes = written(indexed.drop("values").join(homes, "ref"), f"{folder}/nodes")
+    homes = nodes.select("ref", "home")
+    n_nodes, longest = nodes.count(), parts.agg(F.max("size")).first()[0] or 0
+    labels = spark.createDataFrame([], T.StructType([T.StructField("node", T.LongType()), T.StructField("label", T.LongType())]))
+    links = None
+    for step in range(CENTRAL_ROUNDS * (longest > block) + 1):
+        here, last = f"{folder}/round-{step}", step == CENTRAL_ROUNDS * (longest > block)
+        placed = labels.withColumnRenamed("node", "ref")
+        of = F.coalesce("label", "ref").alias("component")
+        members = entries if last else entries.where(F.col("size") > block)
+        members = written(members.join(homes, "ref").join(placed, "ref", "left").select("v", "s", "ref", "w", "home", of), f"{here}/members")
+        main = members.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("v", "main")
+        at = members.groupBy("v", "home").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        spread = written(parts.select("v", "s").join(main, "v"), f"{here}/main")
+        outside = members.join(spread, ["v", "s"]).where("component != main") if last or step else members.join(spread, ["v", "s"])
+        if not last:
+            central = outside.groupBy("v", "s").agg(F.max(F.struct("w", "ref"))["ref"].alias("ref"))
+            outside = outside.join(central, ["v", "s", "ref"])
+        meets = outside.select("v", "s", "ref", "component", F.col("home").alias("own")).join(spread.select("v", "s").join(at, "v"), ["v", "s"])
+        other = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
+        ship = meets.where(other & (F.col("home") != F.col("own")) if last else other).select("ref", "component", F.col("home").alias("block")).distinct()
+        ship = written(ship, f"{here}/ship")
+        slices = written(ship.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("slices")), f"{here}/slices")
+        home = nodes.withColumnRenamed("home", "block").join(slices, "block", "left" if last else "inner").join(placed, "ref", "left")
+        node = [f.name for f in _NODE]
+        home = home.select("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)).alias("slice"), F.lit(False).alias("came"), of, *node)
+        several = slices.where("slices > 1")
+        came = ship.join(several, "block", "left").select("ref", "component", "block", F.pmod(F.xxhash64("ref", F.lit(3)), F.coalesce(F.col("slices"), F.lit(1))).cast("int").alias("slice"))
+        came = came.join(nodes.drop("home"), "ref").select("block", "slice", F.lit(True).alias("came"), "component", *node)
+        tasks = max(1, -(-n_nodes // 1024))
+        units = home.unionByName(came).withColumn("unit", F.pmod(F.xxhash64("block", "slice"), F.lit(tasks)))
+        found = written(_compared(units, percent, last, tasks), f"{here}/links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links, f"{here}/components")
+    return labels
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsloom.llm import _segments as G
-from newsloom.llm._shared import run_dir
+from newsloom.llm._shared import free_name, run_dir
 from newsloom.llm._text import SEEDS, TextBlock, join2, windows
 
 WINDOW = 35
@@ -122,13 +122,24 @@ class Words:
                 break
         return chosen, np.concatenate([*names, np.empty(0, U)])
 
-    def candidates(self, replies: list[bytes], buckets: int) -> np.ndarray:
+    def candidates(self, replies: list[bytes]) -> np.ndarray:
         """Starts of the windows whose symbol occurs twice in the corpus."""
         chosen, names = self.picks()
-        distinct, group, size = G.grouped(names)
-        twice = (size > 1) | G.unpack_bits(replies, G.edges(distinct, buckets))
+        _, group, _ = G.grouped(names)
+        twice = G.unpacked(replies, np.uint8).astype(bool)
         return self.starts[twice[group][chosen]] if len(chosen) else self.starts
 
+    def named(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows at ``at`` by 96 bits: distinct names and checks, how many windows
+        have each, and the number of each window's."""
+        name, check = self.window_names(at), self.window_checks(at)
+        order = np.lexsort((check, name))
+        head = np.ones(len(at), bool)
+        head[1:] = (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])
+        group = np.empty(len(at), np.int64)
+        group[order] = np.cumsum(head) - 1
+        return name[order][head], check[order][head], np.bincount(group, minlength=int(head.sum())), group
+
     def window_names(self, at: np.ndarray) -> np.ndarray:
         """64 bits of hash for the windows at ``at``."""
         return windows(self.hash, self.window)[at] if len(at) else np.empty(0, U)
@@ -138,34 +149,33 @@ class Words:
         return (windows(self.second * SEEDS[1], self.window)[at] >> U(32)).astype(np.uint32) if len(at) else np.empty(0, np.uint32)
 
 
-def repeats(segments: G.Segments, window: int, folder: str) -> tuple[dict[int, DataFrame], int]:
-    """Replies by kind (2: repeated windows, 3: each segment's own candidates), and the
-    number of buckets."""
-    n1, n2 = G.buckets_for(segments.words * 2), G.buckets_for(segments.words * 6)
+def repeats(segments: G.Segments, window: int, folder: str) -> dict[int, DataFrame]:
+    """Replies by kind: 2 for repeated windows, 3 for each segment's own candidates."""
+    r1, r2 = G.Ranges.of(segments.words // 4, segments.n), G.Ranges.of(segments.words // 2, segments.n)
 
     def symbols(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
-        yield G.sent(seg, 1, n1, np.unique(Words(path, window).picks()[1]))
+        distinct, _, count = G.grouped(Words(path, window).picks()[1])
+        yield G.sent(seg, 1, r1, distinct, count)
 
     def verify(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
         w = Words(path, window, check=True)
-        at = w.candidates(got.get(1, []), n1)
-        distinct, one = np.unique(w.window_names(at), return_index=True)
-        yield G.sent(seg, 2, n2, distinct, w.window_checks(at[one]))
+        at = w.candidates(got.get(1, []))
+        name, check, count, _ = w.named(at)
+        yield G.sent(seg, 2, r2, name, count, check)
         flags = np.zeros(len(w.hash), bool)
         flags[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((3, seg % n2, seg, np.packbits(flags).tobytes()), to_arrow_schema(G.SENT), strict=True)], schema=to_arrow_schema(G.SENT))
+        yield G.passed(seg, 3, r2.first, np.packbits(flags).tobytes())
 
-    twice = G.seen_twice(12)
-    first = G.exchange(G.map_segments(segments, symbols, G.SENT), n1, G.seen_twice(8), f"{folder}/symbols")
-    second = G.exchange(G.map_segments(segments, verify, G.SENT, {1: first}), n2, lambda kind, blobs, segs: (blobs, []) if kind == 3 else twice(kind, blobs, segs), f"{folder}/windows")
-    return {2: second, 3: second}, n2
+    first = G.exchange(G.map_segments(segments, symbols, G.SENT), segments.n, {1: r1}, {1: G.twice}, f"{folder}/symbols")
+    second = G.exchange(G.map_segments(segments, verify, G.SENT, {1: first}), segments.n, {2: r2}, {2: G.twice}, f"{folder}/windows")
+    return {2: second, 3: second}
 
 
-def removed(w: Words, got: dict[int, list[bytes]], n2: int) -> np.ndarray:
+def removed(w: Words, got: dict[int, list[bytes]]) -> np.ndarray:
     """Flags of the words that some repeated window covers."""
     at = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(got.get(3, [])), np.uint8), count=len(w.hash)))
-    distinct, group, size = G.grouped(w.window_names(at))
-    twice = (size > 1) | G.unpack_bits(got.get(2, []), G.edges(distinct, n2))
+    _, _, _, group = w.named(at)
+    twice = G.unpacked(got.get(2, []), np.uint8).astype(bool)
     step = np.zeros(len(w.hash) + 1, np.int32)
     hit = at[twice[group]] if len(at) else at
     step[hit] += 1
@@ -179,15 +189,15 @@ def substring_dedup(docs: DataFrame, text: str = "text", keep: list[str] | None
     stays as it is.  With ``digest``: ``keep``, n_words, n_removed and kept_sha256."""
     others = [c for c in (docs.columns if keep is None else keep) if c != text]
     segments = G.stage(docs, [text, *others], text, "substring")
-    replies, buckets = repeats(segments, window, run_dir(docs.sparkSession, "substring-replies"))
-    new = [T.StructField(G.free_name(others, "n_words"), T.LongType()), T.StructField(G.free_name(others, "n_removed"), T.LongType())]
-    last = T.StructField(G.free_name(others, "kept_sha256"), T.StringType()) if digest else T.StructField(text, T.StringType())
+    replies = repeats(segments, window, run_dir(docs.sparkSession, "substring-replies"))
+    new = [T.StructField(free_name(others, "n_words"), T.LongType()), T.StructField(free_name(others, "n_removed"), T.LongType())]
+    last = T.StructField(free_name(others, "kept_sha256"), T.StringType()) if digest else T.StructField(text, T.StringType())
     schema = T.StructType([docs.schema[c] for c in others] + new + [last])
     arrow = to_arrow_schema(schema)
 
     def finish(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
-        w = Words(path, window, texts=True)
-        gone = removed(w, got, buckets)
+        w = Words(path, window, texts=True, check=True)
+        gone = removed(w, got)
         total = np.concatenate([[0], np.cumsum(gone)])
         lost = total[w.first[1:]] - total[w.first[:-1]]
         row = 0

@@ -312,51 +312,82 @@ def test_substring_runs_and_shapes(spark, odd, empty):
     assert substring.substring_dedup(empty).count() == 0
 
 
-def test_lm(spark, docs, corpus, odd, empty):
-    rows = {r["doc_id"]: r for r in lm.lm_scores(docs).collect()}
-    shards = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, broadcast_bytes=-1).collect()}
-    assert shards == {i: r["score"] for i, r in rows.items()}
+def lm_by_force(corpus, exclude_self=True):
+    """score by exact counts passed through the filter's quantisation."""
     toks = {i: [*words(t, True), None] for i, t in corpus}
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for i in train for w in toks[i])
-    pairs = Counter(p for i in train for p in zip([None, *toks[i]], toks[i], strict=False))
-    n, v = sum(c.values()), len(c)
-    q = lambda x: 2.0 ** math.floor(math.log2(x)) if x else 0.0
-    off = 0
+    grams = lambda ws, n: [None] * (n == 3) + [tuple(x) for x in zip(*([None, *ws][k:] for k in range(2)), strict=False)] if n == 2 else [None, *zip([None, *ws], ws, ws[1:], strict=False)]
+    count = {1: Counter(w for i in train for w in toks[i])} | {n: Counter(g for i in train for g in grams(toks[i], n) if g) for n in (2, 3)}
+    n_train, v = sum(count[1].values()), len(count[1])
+
+    def soft(c):
+        q = c.bit_length()
+        return sum(1 / x for x in range(1 << q - 1, 1 << q)) / sum(1 / x**2 for x in range(1 << q - 1, 1 << q)) if c else 0.0
+
+    out = {}
     for i, ws in toks.items():
-        r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in train, len(ws), sum(c[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-        want = 0.0
-        for h, w in zip([None, *ws], ws, strict=False):
-            both = q(pairs[h, w]) if pairs[h, w] >= 2 else 0.0
-            weight = 0.4 if c[h] else 0.0
-            want += math.log10(weight * min(1, both / max(q(c[h]), 1e-9)) + (1 - weight) * (q(c[w]) + 0.1) / (n + 0.1 * (v + 1)))
-        off += abs(want - r["score"]) > 1e-6
-    assert off <= 0.2 * len(toks)  # only false positives of the filter differ
+        off = exclude_self and i in train
+        own = {n: Counter(grams(ws, n) if n > 1 else ws) if off else Counter() for n in (1, 2, 3)}
+        n_here = n_train - len(ws) * off
+        score = 0.0
+        for k, w in enumerate(ws):
+            one = lambda x: count[1][x] - own[1][x]
+            p = (one(w) + 0.1) / (n_here + 0.1 * (v + 1))
+            two, three = grams(ws, 2), grams(ws, 3)
+            take = lambda n, g: max(0.0, soft(count[n][g]) - own[n][g])
+            h = one(ws[k - 1] if k else None)
+            p = (min(take(2, two[k]), h) + 500 * p) / (h + 500)
+            if k:
+                h = take(2, two[k - 1])
+                p = (min(take(3, three[k]), h) + 3 * p) / (h + 3)
+            score += math.log10(p)
+        out[i] = len(ws), sum(count[1][w] > 0 for w in ws), n_train, sum(math.log10((count[1][w] + 0.1) / (n_train + 0.1 * (v + 1))) for w in ws), score
+    return train, out
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_lm(docs, corpus, exclude_self):
+    train, want = lm_by_force(corpus, exclude_self)
+    wide = lm.lm_scores(docs, bits=64, exclude_self=exclude_self).collect()  # a filter next to free of false positives
+    for r in wide:
+        n, known, n_train, base, score = want[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (r["doc_id"] not in train, n, known, n_train)
+        assert (r["base_score"], r["score"]) == (pytest.approx(base), pytest.approx(score))
+    rows = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, exclude_self=exclude_self).collect()}
+    shards = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, broadcast_bytes=-1, exclude_self=exclude_self).collect()}
+    assert shards == rows
+    assert all(abs(rows[i] - want[i][4]) <= 0.02 * want[i][0] + 1e-6 for i in rows)
+
+
+def test_lm_shapes(odd, empty):
     assert lm.lm_scores(odd).count() == 4 and lm.lm_scores(empty).count() == 0
 
 
-def test_lm_query_has_bigrams_seen_once(spark, tmp_path, corpus):
-    spark.createDataFrame(corpus, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    rows = {r["doc_id"]: r["score"] for r in lm.query(spark, str(tmp_path)).collect()}
-    shards = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.read.parquet(f"{tmp_path}/documents.parquet"), broadcast_bytes=-1, min_count=1).collect()}
-    assert shards == rows
-    toks = {i: [*words(t, True), None] for i, t in corpus}
-    train = [i for i in toks if zlib.crc32(str(i).encode()) % 10]
-    c = Counter(w for i in train for w in toks[i])
-    pairs = Counter(p for i in train for p in zip([None, *toks[i]], toks[i], strict=False))
-    assert sum(x == 1 for x in pairs.values()) > len(pairs) / 2
-    n, v = sum(c.values()), len(c)
-    q = lambda x: 2.0 ** math.floor(math.log2(x)) if x else 0.0
-    off = 0
-    for i, ws in toks.items():
-        want = 0.0
-        for h, w in zip([None, *ws], ws, strict=False):
-            weight = 0.4 if c[h] else 0.0
-            want += math.log10(weight * min(1, q(pairs[h, w]) / max(q(c[h]), 1e-9)) + (1 - weight) * (q(c[w]) + 0.1) / (n + 0.1 * (v + 1)))
-        off += abs(want - rows[i]) > 1e-6
-    assert off <= 0.2 * len(toks)  # only false positives of the filter differ
+def test_lm_filter():
+    rng = np.random.default_rng(4)
+    place = np.unique(rng.integers(0, 1 << 32, 100_000, dtype=np.uint64)) << np.uint64(32)
+    counts = rng.zipf(1.6, len(place)).clip(max=1 << 40)
+    table = lm.LogFrequencyFilter.of({2: {0: lm.build_shard(place, counts)}}, {2: 1})
+    q = table.lookup(2, place)
+    assert (q >= lm.quantised(counts)).all() and (q > lm.quantised(counts)).mean() < 0.005
+    absent = np.setdiff1d(rng.integers(0, 1 << 32, 100_000, dtype=np.uint64) << np.uint64(32), place)
+    assert (table.lookup(2, absent) > 0).mean() < 0.005
+    assert lm.expected(np.array([0, 1, 2])).tolist() == [0.0, 1.0, pytest.approx(30 / 13)]
+
+
+def test_lm_sums_to_one(spark):
+    """Over all tokens that may follow a history the probabilities add up to about 1."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(60)], [1 / (i + 1) for i in range(60)], k=40)) for _ in range(300)]
+    text = [(i, t) for i, t in enumerate(texts)]
+    train = [ws for i, t in text if zlib.crc32(str(i).encode()) % 10 for ws in [[*t.split(), None]]]
+    c1 = Counter(w for ws in train for w in ws)
+    c2 = Counter(p for ws in train for p in zip([None, *ws], ws, strict=False))
+    q = {p: float(lm.expected(lm.quantised(np.array([c])))[0]) for p, c in c2.items()}
+    n, v = sum(c1.values()), len(c1)
+    for h in [w for w, _ in c1.most_common(8)]:
+        total = sum((min(q.get((h, w), 0), c1[h]) + 500 * (c1[w] + 0.1) / (n + 0.1 * (v + 1))) / (c1[h] + 500) for w in [*c1, "unseen"])
+        assert 0.9 < total < 1.1
 
 
 def components_by_force(corpus, percent=85):

@@ -63,9 +63,29 @@ def test_windows(k):
 
 
 def test_exchange_helpers():
-    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
-    cut = G.edges(h, 7)
-    assert cut[0] == 0 and cut[-1] == len(h) and (np.diff(cut) > 0).all()
-    assert (G.unpack48(G.pack48(h)) == h & np.uint64((1 << 48) - 1)).all()
-    bits, own = G.seen_twice(8)(1, [h[:5].tobytes(), h[3:9].tobytes()], [0, 1])
-    assert own == [] and G.unpack_bits([bits[0]], np.array([0, 5])).tolist() == [False, False, False, True, True]
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64))
+    for n in (1, 7, 1 << 20):
+        which, place = G.range_of(h, n)
+        assert which.tolist() == [int(x) * n >> 64 for x in h] and place.tolist() == [int(x) * n & (1 << 64) - 1 for x in h]
+    counts = rng.integers(0, 1 << 33, len(h))
+    for bits in (64, 50, 32):
+        for c, check in ((counts, None), (np.ones(len(h), np.int64), h.astype(np.uint32))):
+            place, got, seen = G.decode(G.encode(h, c, check, bits))
+            assert (place == h >> np.uint64(64 - bits) << np.uint64(64 - bits)).all() and (got == c).all()
+            assert check is None or (seen == check).all()
+    assert (G.unpacked([G.packed(counts[:5].astype(np.uint64)), G.packed(counts[5:].astype(np.uint64))], np.uint64) == counts.astype(np.uint64)).all()
+    order = G.ascending(np.concatenate([h[::-1], h]))
+    assert (np.concatenate([h[::-1], h])[order] == np.repeat(h, 2)).all() and (order[1::2] > order[::2]).all()
+    close = np.arange(5000, dtype=np.uint64)[::-1].copy()  # leading bits alone cannot order these
+    assert (close[G.ascending(close)] == np.arange(5000)).all()
+
+
+def test_exchange_rows_stay_linear():
+    for tb in (1e-4, 5e-4, 1, 100):
+        segments, keys = max(1, int(tb * 1e12 / (4 << 20))), int(tb * 1e12 / 6)
+        r, senders, done = G.Ranges.of(keys, segments), segments, 1
+        for split in r.splits:
+            assert senders * done * (split if done > 1 else r.first) <= 2 * 512 * segments + 512 * 512
+            senders, done = -(-senders // G.FAN), done * split
+        assert r.total * G.RANGE_KEYS >= keys
