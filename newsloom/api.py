@@ -17,6 +17,7 @@ from newsloom.functions.extract import extract_article
 from newsloom.operators import summarize as S
 from newsloom.operators.cluster import cluster_articles
 from newsloom.operators.filters import filter_articles
+from newsloom.operators.graph import work_dir, written
 from newsloom.operators.rank import rank_articles
 from newsloom.plans.pipeline import run_pipeline
 from newsloom.plans.requests import FetchRequest, SearchRequest
@@ -24,19 +25,21 @@ from newsloom.schema import ARTICLE, conform
 from newsloom.sources import feeds
 from newsloom.sources.crawl import crawl_site
 from newsloom.sources.tables import page_store
-from newsloom.streaming.unseen import SEEN, only_unseen, story_keys
+from newsloom.streaming.unseen import emit_batch
 
 
 @dataclass
 class Newsroom:
     """``transport`` gives payloads for URLs (default: live HTTP); ``pages`` (url, html) is
-    the page store for extraction and crawls; ``redirects`` (url, target) resolves links."""
+    the page store for extraction and crawls; ``redirects`` (url, target) resolves links;
+    ``tiers`` names the providers to ask (default: all that the environment leaves on)."""
 
     spark: SparkSession
     transport: feeds.Transport = feeds.from_http
     pages: DataFrame | None = None
     redirects: DataFrame | None = None
     robots: DataFrame | None = None
+    tiers: tuple[str, ...] | None = None
     as_of: Column | None = None
 
     @property
@@ -50,7 +53,7 @@ class Newsroom:
         """Stories of a category or location; with ``refresh_interval`` an iterator of the
         unseen ones of each poll; with ``async_`` an awaitable."""
         r = FetchRequest(**request)
-        return self._dispatch(r, lambda: self._run(feeds.fetch_raw(self.spark, r, self.transport, self.redirects), r), async_)
+        return self._dispatch(r, lambda: self._run(feeds.fetch_lazy(self.spark, r, self.transport, self.redirects, self.tiers), r), async_)
 
     def search(self, query: str, *, async_: bool = False, **request: Any) -> Any:
         r = SearchRequest(query=query, **request)
@@ -65,14 +68,16 @@ class Newsroom:
         return asyncio.to_thread(plan) if async_ else plan()
 
     def _poll(self, plan: Callable[[], DataFrame], seconds: int, sleep: Callable[[float], None] | None = None) -> Iterator[DataFrame]:
+        """Each poll's fresh stories are written, and their keys go to a table: neither
+        the plan nor the session's memory grows with the number of polls."""
         import time
 
-        seen = self.spark.createDataFrame([], SEEN)
+        folder = work_dir(self.spark, "polls")
         for number in range(1 << 62):
-            fresh = only_unseen(plan(), seen).persist()
-            if not fresh.isEmpty():
-                seen = seen.unionByName(story_keys(fresh).select("kind", "key", F.lit(number).cast("long").alias("batch")))
-                yield fresh
+            fresh: list[DataFrame] = []
+            emit_batch(plan(), number, f"{folder}/seen", lambda df, n, to=fresh: to.append(written(df, f"{folder}/fresh-{n}")))
+            if fresh:
+                yield fresh[0].orderBy("_ord")
             (sleep or time.sleep)(max(5, seconds))
 
     stream_fetch = fetch

@@ -129,14 +129,55 @@ _STOP = {
 }
 
 
+_STOP_MORE = {
+    "cs": "ale až bude byl být co do ho i jak jako je jeho jen ji jsem jsou k která který na nebo po pro před při se si tak to ve však za že",
+    "da": "af at blev da de den der det efter eller en er et for fra ham han har hun i ikke jeg kan man med men meget nu og om på sig skal som til var ved vi",
+    "fi": "ei että he hän hänen ja jos joka kanssa kuin kun me mitä mutta myös ne niin nyt oli olla on ovat se sekä sen tai tämä vain",
+    "hu": "a az csak de egy el ez hogy is itt ki kell már meg mert mint más nem nincs ott s szerint s után vagy van volt és",
+    "id": "ada adalah akan atau bahwa bisa dalam dan dari dengan di harus ia ini itu juga karena ke kami mereka oleh pada para saat sudah telah tidak untuk yang",
+    "no": "av at ble da de den der det eller en er et etter for fra ham han har hun i ikke jeg kan man med men mot nå og om på seg skal som til var ved vi å",
+    "pl": "a ale byli być było był co czy dla do i ich jak jako jego jest jej lub ma na nie od po przez się są tak tego to tym w z za że",
+    "ro": "a acest au care ce cu da de din este fost în la mai nu o pe pentru prin s sau se sunt un unei va și",
+    "sv": "att av blev de den det din du efter eller en ett från för ha han har hon i inte jag kan man med men mot när och om på sig ska som till under var vi är",
+    "tr": "ama bir bu çok da daha de değil diye en gibi her için ile ise kadar ki mi ne o olan olarak oldu sonra var ve veya ya",
+    "vi": "bị các cho chỉ có của cũng đã để đến được không là một này như những nhưng rằng sẽ tại theo thì trong từ và vào về với",
+}
+_STOP |= _STOP_MORE
+#: Scripts with the words that tell their languages apart; where there is one language, no words.
+_SCRIPTS = {
+    "Cyrillic": {"ru": "без был была были в во все для до его если за и из или их к как ко когда на не но о об он она они от по при с так то у что это", "uk": "або але був була в він для до з за й і їх їхній ко мав на не після при про та так те у це що як які", "bg": "без бе беше в във е за и или им как като ли на не но от по при с са се ще това той тя"},
+    "Arabic": {"ar": "أن أو إلى التي الذي إن بعد بين على عن في كان كانت لا لم ما مع من هذا هذه هو هي و", "fa": "آن از است این با برای بر به تا شد شده که را در می نیز و یک های", "ur": "اس ان اور ایک پر تھا تھی سے کا کو کی کے گیا میں نے ہے ہیں"},
+    "Devanagari": {"hi": "और इस एक का कि की के को था थी ने पर भी में यह से है हैं हो", "mr": "आणि आहे आहेत एक का की च ते त्या नाही मध्ये या व हा ही होते होता", "ne": "एक गरेको छ छन् त थियो न पनि भएको मा यो र रहेको लागि ले लाई हो"},
+    "Han": {"zh": ""}, "Hiragana": {"ja": ""}, "Katakana": {"ja": ""}, "Hangul": {"ko": ""}, "Greek": {"el": ""}, "Hebrew": {"he": ""}, "Thai": {"th": ""},
+    "Bengali": {"bn": ""}, "Tamil": {"ta": ""}, "Telugu": {"te": ""}, "Kannada": {"kn": ""}, "Malayalam": {"ml": ""}, "Gujarati": {"gu": ""}, "Gurmukhi": {"pa": ""},
+    "Georgian": {"ka": ""}, "Armenian": {"hy": ""}, "Sinhala": {"si": ""}, "Khmer": {"km": ""}, "Lao": {"lo": ""}, "Myanmar": {"my": ""}, "Ethiopic": {"am": ""},
+}
+#: Codes that the detector can give; asking for another keeps every row.
+LANGUAGES = frozenset(_STOP) | {code for by_code in _SCRIPTS.values() for code in by_code} | {k for k, v in LANGUAGE_KIN.items() if set(v.split()) & {"hi", "no", "id", "bn"}}
+
+
 def detect_language(text: Column, minimum: int = 12) -> Column:
-    """Language code by shares of function words, null when undecided or too short.  A
-    native stand-in for a trained detector; ``filter_by_language`` takes any other."""
+    """Language code by script and by function words, null when undecided or too short.
+    A native stand-in for a trained detector; ``filter_by_language`` takes any other."""
+    letters = F.regexp_replace(text, r"[\p{IsLatin}\P{L}]+", "")  # of other scripts; next to nothing in Latin texts
+    shares = [F.struct(F.regexp_count(letters, F.lit(rf"\p{{Is{name}}}")).alias("n"), F.lit(name).alias("name")) for name in _SCRIPTS]
+    top = F.sort_array(F.array(*shares), asc=False)[0]
+    script = F.when((top["n"] > 0) & (10 * top["n"] >= 3 * F.length(F.regexp_replace(text, r"\P{L}+", ""))), top["name"])
+    kana = F.regexp_count(letters, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]")) > 0
+    found = F.when(script.isNull(), _by_words(text, _STOP))
+    for name, by_code in _SCRIPTS.items():
+        only = next(iter(by_code))
+        one = _by_words(text, by_code) if len(by_code) > 1 else F.when(kana, "ja").otherwise("zh") if name == "Han" else F.lit(only)
+        found = found.when(script == name, one)
+    return F.when(F.length(text) >= minimum, found)
+
+
+def _by_words(text: Column, lists: dict[str, str]) -> Column:
+    """The list with the most hits, where it has two at least and no equal."""
     words = F.split(F.lower(text), r"[^\p{L}\p{M}]+")
-    scores = [F.struct(F.size(_hits(words, v)).alias("n"), F.lit(k).alias("code")) for k, v in sorted(_STOP.items())]
+    scores = [F.struct(F.size(_hits(words, v)).alias("n"), F.lit(k).alias("code")) for k, v in sorted(lists.items())]
     best = F.sort_array(F.array(*scores), asc=False)
-    clear = (best[0]["n"] >= 2) & (best[0]["n"] > best[1]["n"])
-    return F.when((F.length(text) >= minimum) & clear, best[0]["code"])
+    return F.when((best[0]["n"] >= 2) & (best[0]["n"] > best[1]["n"]), best[0]["code"])
 
 
 def _hits(words: Column, stop: str) -> Column:
@@ -150,7 +191,7 @@ def filter_by_language(df: DataFrame, language: str | None, detected: str | Colu
     if not language:
         return df
     code = language.strip().lower().replace("_", "-").split("-")[0]
-    if detected is None and code not in _STOP:
+    if detected is None and code not in LANGUAGES:
         return df  # the detector does not know it
     if isinstance(detected, str):
         found = F.col(detected)

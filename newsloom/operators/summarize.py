@@ -1,16 +1,21 @@
-"""Extractive summaries and keywords, as array expressions within one row."""
+"""Extractive summaries and keywords."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import urls as U
-from newsloom.functions.text import SPACE, stripped
 
 _KEYWORD_STOP = "a an and are as at be been but by for from he if in is it not of on or she that the they this to was we were with you"
 _NOT_FOR_KEYWORDS = set("as by from he if it not she they we you".split())
 STOP = tuple(_KEYWORD_STOP.split())
+_STOPPED = frozenset(STOP)
 KEYWORD_STOP = tuple(w for w in STOP if w not in _NOT_FOR_KEYWORDS)
 _WORD = r"(?<![\p{L}\p{N}_])([a-z]{2,})(?![\p{L}\p{N}_])"
 
@@ -19,11 +24,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(1))
 
 
-def sentences(text: Column) -> Column:
-    parts = F.split(stripped(text), rf"(?<=[.!?]){SPACE}+")
-    return F.filter(F.transform(parts, stripped), lambda s: s != "")
-
-
 def _frequencies(df: DataFrame, text: str, key: list[str], stop: tuple[str, ...], longer: int) -> DataFrame:
     """(key, freq map) by a partial and a final hash aggregate: linear in the words."""
     tokens = df.select(*key, F.posexplode(words(F.col(text))).alias("_p", "_w")).where((F.length("_w") > longer) & ~F.col("_w").isin(*stop))
@@ -31,26 +31,47 @@ def _frequencies(df: DataFrame, text: str, key: list[str], stop: tuple[str, ...]
     return counted.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_n"))).alias("_freq"), F.collect_list(F.struct((-F.col("_n")).alias("m"), F.col("_p").alias("p"), F.col("_w").alias("w"))).alias("_words"))
 
 
+_BLANK = " \t\n\x0b\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ENDS = re.compile(f"^[{_BLANK}]+|[{_BLANK}]+$")
+_BETWEEN = re.compile(f"(?<=[.!?])[{_BLANK}]+")
+_RUN = re.compile(r"\w+")
+
+
+def _plain_words(text: str) -> list[str]:
+    return [w for w in _RUN.findall(text.lower()) if len(w) > 1 and w.isascii() and w.isalpha()]
+
+
+def summary_of(text: str | None, sentence_count: int = 3) -> str | None:
+    """The summary of one text; see ``summarize``."""
+    if text is None:
+        return None
+    bare = _ENDS.sub("", text)
+    if len(bare) < 100:
+        return text[:300]
+    parts = [p for p in (_ENDS.sub("", s) for s in _BETWEEN.split(bare)) if p]
+    if len(parts) <= sentence_count:
+        return " ".join(parts)
+    tokens = [_plain_words(p) for p in parts]
+    counts = Counter(w for w in _plain_words(text) if len(w) > 3 and w not in _STOPPED)
+    if not counts:
+        return " ".join(parts[:sentence_count])
+    top = max(counts.values())
+    scores = [-sum((counts[w] / top for w in ws if w in counts), 0.0) for ws in tokens]
+    best = sorted(sorted(range(len(parts)), key=lambda i: (scores[i], i))[:sentence_count])
+    return " ".join(parts[i] for i in best)
+
+
 def summarize(df: DataFrame, text: str = "text", key: str = "_ord", sentence_count: int = 3, out: str = "summary") -> DataFrame:
     """Adds ``out``: texts under 100 characters keep their first 300; else the sentences
-    whose words are the most frequent, in text order.  Null stays null."""
-    freq = _frequencies(df.where(F.col(text).isNotNull()), text, [key], STOP, 3).select(F.col(key).alias("_k"), "_freq")
-    joined = df.join(freq, df[key] == freq["_k"], "left")
-    parts = sentences(F.col(text))
-    top = F.array_max(F.map_values("_freq"))
-    hits = F.transform(F.col("_s"), lambda s: F.aggregate(words(s), F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(F.col("_freq"), w) / F.col("_top"), F.lit(0.0))))
-    scored = F.zip_with(F.sequence(F.lit(0), F.size("_s") - 1), hits, lambda i, h: F.struct((-h).alias("h"), i.alias("i")))
-    best = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, sentence_count), lambda x: x["i"]))
-    chosen = F.array_join(F.transform(best, lambda i: F.get(F.col("_s"), i)), " ")
-    short = F.length(stripped(F.col(text))) < 100
-    value = (
-        F.when(F.col(text).isNull(), F.lit(None).cast("string"))
-        .when(short, F.substring(text, 1, 300))
-        .when(F.size("_s") <= sentence_count, F.array_join("_s", " "))
-        .when(F.col("_freq").isNull(), F.array_join(F.slice("_s", 1, sentence_count), " "))
-        .otherwise(chosen)
-    )
-    return joined.withColumn("_s", parts).withColumn("_top", top).withColumn(out, value).drop("_k", "_freq", "_s", "_top")
+    whose words are the most frequent, in text order.  Null stays null.
+
+    A summary needs its own row alone, so this is one Arrow pass without a shuffle; as
+    array expressions each word is a linear search in the row's map of counts."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([summary_of(x.as_py(), sentence_count) for x in column], pa.string())
+
+    return df.withColumn(out, F.arrow_udf(run, T.StringType())(F.col(text)))
 
 
 def keywords(df: DataFrame, text: str = "text", key: str = "_ord", top_words: int = 5, out: str = "keywords") -> DataFrame:

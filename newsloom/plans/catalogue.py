@@ -20,6 +20,8 @@ from newsloom.operators import summarize as S
 from newsloom.operators.cache import UserProfile, cache_stats
 from newsloom.operators.cluster import cluster_articles, cluster_score, cluster_to_article
 from newsloom.operators.dedupe import dedupe_articles
+from newsloom.operators.graph import work_dir, written
+from newsloom.operators.order import numbered
 from newsloom.plans.pipeline import body_search, run_pipeline
 from newsloom.schema import conform
 from newsloom.sources.crawl import crawl_site, page_links
@@ -35,7 +37,7 @@ RANK_QUERY = "the that avec schen"
 _ART = """art AS (SELECT doc_id AS ord, split_part(text, chr(10), 1) AS title,
   'https://www.' || source || '.example.com/story/' || doc_id || '?utm_source=feed' AS url, source,
   strftime(make_timestamp((1704067200 + doc_id * 3600) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS published,
-  left(text, 500) AS description, text, lang AS language FROM documents)"""
+  NULL::VARCHAR AS description, text, lang AS language FROM documents)"""
 
 
 def _article(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,17 +71,18 @@ def _filter_sql(condition: str) -> str:
     return f"WITH {_ART} SELECT ord AS doc_id FROM art WHERE {condition}"
 
 
-_TD = "(title || ' ' || description)"
+_TB = "(title || ' ' || text)"
+_WHOLE = ["title", "body"]
 
 
-@query("filter_any", _filter_sql(" OR ".join(_has(t, _TD) for t in TERMS[:2])))
+@query("filter_any", _filter_sql(" OR ".join(_has(t, _TB) for t in TERMS[:2])))
 def filter_any(spark, sf):
-    return L.filter_articles(_article(spark, sf), query=" ".join(TERMS[:2])).select(F.col("_ord").alias("doc_id"))
+    return L.filter_articles(_article(spark, sf), query=" ".join(TERMS[:2]), search_in=_WHOLE).select(F.col("_ord").alias("doc_id"))
 
 
-@query("filter_all", _filter_sql(" AND ".join(_has(t, _TD) for t in ("that", "the"))))
+@query("filter_all", _filter_sql(" AND ".join(_has(t, _TB) for t in ("that", "the"))))
 def filter_all(spark, sf):
-    return L.filter_articles(_article(spark, sf), query="that the", query_mode="all").select(F.col("_ord").alias("doc_id"))
+    return L.filter_articles(_article(spark, sf), query="that the", query_mode="all", search_in=_WHOLE).select(F.col("_ord").alias("doc_id"))
 
 
 @query("filter_phrase", _filter_sql(_has("of the", "text")))
@@ -87,27 +90,9 @@ def filter_phrase(spark, sf):
     return L.filter_articles(_article(spark, sf), query='"of the"', query_mode="exact_phrase", search_in=["body"]).select(F.col("_ord").alias("doc_id"))
 
 
-@query("filter_exclude", _filter_sql(f"{_has('that', _TD)} AND NOT ({_has('loser', _TD)} OR {_has('clown', _TD)})"))
+@query("filter_exclude", _filter_sql(f"{_has('that', _TB)} AND NOT ({_has('loser', _TB)} OR {_has('clown', _TB)})"))
 def filter_exclude(spark, sf):
-    return L.filter_articles(_article(spark, sf), query="that", exclude_terms=["loser", "clown"]).select(F.col("_ord").alias("doc_id"))
-
-
-_TB = "(title || ' ' || text)"
-
-
-@query("filter_any_text", _filter_sql(" OR ".join(_has(t, _TB) for t in TERMS[:2])))
-def filter_any_text(spark, sf):
-    return L.filter_articles(_article(spark, sf), query=" ".join(TERMS[:2]), search_in=["title", "body"]).select(F.col("_ord").alias("doc_id"))
-
-
-@query("filter_all_text", _filter_sql(" AND ".join(_has(t, _TB) for t in ("that", "the"))))
-def filter_all_text(spark, sf):
-    return L.filter_articles(_article(spark, sf), query="that the", query_mode="all", search_in=["title", "body"]).select(F.col("_ord").alias("doc_id"))
-
-
-@query("filter_exclude_text", _filter_sql(f"{_has('that', _TB)} AND NOT ({_has('loser', _TB)} OR {_has('clown', _TB)})"))
-def filter_exclude_text(spark, sf):
-    return L.filter_articles(_article(spark, sf), query="that", exclude_terms=["loser", "clown"], search_in=["title", "body"]).select(F.col("_ord").alias("doc_id"))
+    return L.filter_articles(_article(spark, sf), query="that", exclude_terms=["loser", "clown"], search_in=_WHOLE).select(F.col("_ord").alias("doc_id"))
 
 
 @query("filter_topic", _filter_sql(f"{_has('avec', 'text')} OR {_has('der', 'text')}"))
@@ -176,14 +161,14 @@ def normalize_url(spark, sf):
 
 def _twice(spark: SparkSession, sf: str) -> DataFrame:
     """Articles and, for every fourth, a second record of the same URL."""
-    a = _article(spark, sf).select("_ord", "title", "url", "source", "description")
+    a = _article(spark, sf).select("_ord", "title", "url", "source", F.col("text").alias("description"))
     again = a.where("_ord % 4 = 0").select((F.col("_ord") + 1_000_000_000).alias("_ord"), F.lit("").alias("title"), F.replace(F.replace(F.col("url"), F.lit("https://www."), F.lit("http://")), F.lit("?utm_source=feed"), F.lit("/?ref=x")).alias("url"), F.when(F.col("_ord") % 8 == 0, "Reuters").otherwise("Wire").alias("source"), F.concat(F.lit("extra "), F.col("description")).alias("description"))
     return a.unionByName(again)
 
 
 @query(
     "dedupe_merge",
-    f"""WITH {_ART} SELECT ord AS doc_id, title, CASE WHEN ord % 4 <> 0 OR ord % 8 = 0 THEN description ELSE 'extra ' || description END AS description,
+    f"""WITH {_ART} SELECT ord AS doc_id, title, CASE WHEN ord % 4 <> 0 OR ord % 8 = 0 THEN text ELSE 'extra ' || text END AS description,
   CASE WHEN ord % 4 = 0 AND ord % 8 <> 0 THEN 'Wire' ELSE source END AS source,
   CASE WHEN ord % 8 = 0 THEN source || '|Reuters' WHEN ord % 4 = 0 THEN source || '|Wire' ELSE '' END AS sources FROM art""",
 )
@@ -201,7 +186,7 @@ def title_normalize(spark, sf):
 
 
 _TOKENS = r"list_transform(list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1), lambda x: lower(x))"
-_RTEXT = "(title || ' ' || description || ' ' || text)"
+_RTEXT = "(title || ' ' || text)"
 
 
 @query("rank_tokens", f"WITH {_ART}, t AS (SELECT ord, {_TOKENS.format(t='text')} AS k FROM art) SELECT ord AS doc_id, len(k)::BIGINT AS n_tokens, len(list_distinct(k))::BIGINT AS n_distinct FROM t")
@@ -234,30 +219,21 @@ def rank_top_k(spark, sf):
     return R.rank_articles(_article(spark, sf), RANK_QUERY, "basic", top_k=20).select(F.col("_ord").alias("doc_id"), F.col("_rank_score").alias("score"))
 
 
-@query("sort_date", f"WITH {_ART} SELECT ord AS doc_id, published FROM art ORDER BY published DESC, ord LIMIT 25")
-def sort_date(spark, sf):
-    return R.sort_articles(_article(spark, sf), "date").limit(25).select(F.col("_ord").alias("doc_id"), "published")
-
-
-@query("sort_popularity", f"WITH {_ART} SELECT ord AS doc_id FROM art ORDER BY CASE WHEN ord % 4 = 0 THEN 2 ELSE 1 END DESC, ord LIMIT 25")
-def sort_popularity(spark, sf):
-    return R.sort_articles(dedupe_articles(_twice(spark, sf)), "popularity").limit(25).select(F.col("_ord").alias("doc_id"))
-
-
-def _placed(ordered: DataFrame) -> DataFrame:
-    """Adds ``position``, from 1, in the order that the rows have."""
-    schema = T.StructType([*ordered.schema.fields, T.StructField("position", T.LongType())])
-    return ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF(schema)
+def _places(df: DataFrame, sort_by: str, *columns: str) -> DataFrame:
+    """The rows' ids with their position, from 1."""
+    places = numbered(df, "_ord", *R.sort_keys(df, sort_by), name="position")
+    return places.join(df.select("_ord", *columns), "_ord").select(F.col("_ord").alias("doc_id"), (F.col("position") + 1).alias("position"), *columns)
 
 
-@query("sort_date_all", f"WITH {_ART} SELECT ord AS doc_id, published, row_number() OVER (ORDER BY published DESC NULLS LAST, ord) AS position FROM art")
-def sort_date_all(spark, sf):
-    return _placed(R.sort_articles(_article(spark, sf), "date").select(F.col("_ord").alias("doc_id"), "published"))
+@query("sort_date", f"WITH {_ART} SELECT ord AS doc_id, published, row_number() OVER (ORDER BY published DESC NULLS LAST, ord) AS position FROM art")
+def sort_date(spark, sf):
+    return _places(_article(spark, sf), "date", "published")
 
 
-@query("sort_popularity_all", f"WITH {_ART} SELECT ord AS doc_id, row_number() OVER (ORDER BY CASE WHEN ord % 4 = 0 THEN 2 ELSE 1 END DESC, ord) AS position FROM art")
-def sort_popularity_all(spark, sf):
-    return _placed(R.sort_articles(dedupe_articles(_twice(spark, sf)), "popularity").select(F.col("_ord").alias("doc_id")))
+@query("sort_popularity", f"WITH {_ART} SELECT ord AS doc_id, row_number() OVER (ORDER BY CASE WHEN ord % 4 = 0 THEN 2 ELSE 1 END DESC, ord) AS position FROM art")
+def sort_popularity(spark, sf):
+    merged = dedupe_articles(_twice(spark, sf)).select("_ord", "sources")
+    return _places(written(merged, work_dir(spark, "popularity")), "popularity")
 
 
 _CLUSTERS = f"""{_ART}, k AS (SELECT *, CASE WHEN {_TITLE} = '' THEN '#' || ord ELSE {_TITLE} END AS key FROM art),
@@ -278,7 +254,7 @@ def cluster_score_query(spark, sf):
 
 @query("cluster_fuzzy")
 def cluster_fuzzy(spark, sf):
-    c = cluster_articles(_article(spark, sf).drop("text"), threshold=0.75, as_of=_as_of(), sort_by="size")
+    c = cluster_articles(_article(spark, sf), threshold=0.75, as_of=_as_of(), sort_by="size")
     return c.select("id", F.col("representative._ord").alias("rep"), "size", F.transform("articles", lambda a: a["_ord"]).alias("members"))
 
 
@@ -382,26 +358,14 @@ def feed_generic(spark, sf):
 
 
 PROFILE = UserProfile("u1", interests=("that", "avec", "the"), languages=("fr", "de"), preferred_sources=("src1", "src3"))
-_MEM = f"{_STORIES}, mem AS (SELECT g.rep, k.title, k.description, k.language, k.source FROM k JOIN g USING (key))"
-
-
 @query(
     "feed_personalized",
-    f"""WITH {_MEM}, tok AS (SELECT rep, list_distinct(string_split_regex(lower(string_agg(title || ' ' || description, ' ')), '\\s+')) AS t, bool_or(language IN ('fr', 'de')) AS l, bool_or(source IN ('src1', 'src3')) AS s FROM mem GROUP BY rep)
-SELECT rep, round(0.55 * len(list_intersect(t, ['that', 'avec', 'the'])) / 3.0 + 0.10 * l::INT + 0.10 * s::INT + 0.10 * exp(-date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 48), 6) AS feed_score FROM tok JOIN st ON st.ord = tok.rep""",
-)
-def feed_personalized(spark, sf):
-    return P.rank_personal(_exact_stories(spark, sf), PROFILE, P.WEIGHTS, _as_of()).select("rep", F.col("_feed_score").alias("feed_score"))
-
-
-@query(
-    "feed_personalized_text",
     f"""WITH {_STORIES}, mem AS (SELECT g.rep, k.title, k.text, k.language, k.source FROM k JOIN g USING (key)),
 tok AS (SELECT rep, list_distinct(string_split_regex(lower(string_agg(title || ' ' || text, ' ')), '\\s+')) AS t, bool_or(language IN ('fr', 'de')) AS l, bool_or(source IN ('src1', 'src3')) AS s FROM mem GROUP BY rep)
 SELECT rep, round(0.55 * len(list_intersect(t, ['that', 'avec', 'the'])) / 3.0 + 0.10 * l::INT + 0.10 * s::INT + 0.10 * exp(-date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 48), 6) AS feed_score FROM tok JOIN st ON st.ord = tok.rep""",
 )
-def feed_personalized_text(spark, sf):
-    whole = _article(spark, sf).withColumn("description", F.col("text")).drop("text")  # once, not twice
+def feed_personalized(spark, sf):
+    whole = _article(spark, sf).withColumn("description", F.col("text")).drop("text")
     return P.rank_personal(_exact_stories(spark, sf, whole), PROFILE, P.WEIGHTS, _as_of()).select("rep", F.col("_feed_score").alias("feed_score"))
 
 
@@ -420,19 +384,12 @@ def body_quota(spark, sf):
     return body_search(bare, store, 10, "avec", search_in=["body"]).select(F.col("_ord").alias("doc_id"))
 
 
-@query("summary_join", f"WITH {_ART} SELECT url, CASE WHEN text <> '' THEN 'success' ELSE 'failed' END AS status, source FROM art WHERE ord % 5 = 0")
-def summary_join(spark, sf):
-    a = _article(spark, sf)
-    found = a.where("_ord % 5 = 0").select("_ord", "url", "source", "title")
-    return S.search_and_summarize(found, a.drop("source")).select("url", "status", "source")
-
-
 @query(
-    "summary_join_all",
+    "summary_join",
     f"""WITH {_ART}, sm AS ({ORACLES['summary']}) SELECT url, CASE WHEN text <> '' THEN 'success' ELSE 'failed' END AS status, source,
   CASE WHEN text <> '' THEN summary ELSE 'Could not extract article content' END AS summary FROM art JOIN sm ON sm.doc_id = art.ord""",
 )
-def summary_join_all(spark, sf):
+def summary_join(spark, sf):
     a = _article(spark, sf)
     return S.search_and_summarize(a.select("_ord", "url", "source", "title"), a.drop("source")).select("url", "status", "source", "summary")
 
@@ -448,14 +405,14 @@ def unseen_replay(spark, sf):
     return only_unseen(a, seen.select(*SEEN.names)).select(F.col("_ord").alias("doc_id"))
 
 
-@query("export_csv_rows", f"WITH {_ART} SELECT title, url, description, language, source FROM art")
+@query("export_csv_rows", f"WITH {_ART} SELECT title, url, text, language, source FROM art")
 def export_csv_rows(spark, sf):
-    return export.csv_rows(_article(spark, sf), include_text=False).select("title", "url", "description", "language", "source")
+    return export.csv_rows(_article(spark, sf)).select("title", "url", "text", "language", "source")
 
 
 @query("export_jsonld_rows")
 def export_jsonld_rows(spark, sf):
-    return export.jsonld_items(_article(spark, sf).drop("text")).select(F.col("_key").alias("doc_id"), "item")
+    return export.jsonld_items(_article(spark, sf)).select(F.col("_key").alias("doc_id"), "item")
 
 
 @query("cache_stats", f"SELECT count(*)::BIGINT AS entries, count(*) FILTER (ts <= TIMESTAMP '2024-01-15 00:00:00')::BIGINT AS expired, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS namespaces FROM events")

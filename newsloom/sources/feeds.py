@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import datetime as dt
 import html as _html
+import os
 import re
 import time
 import urllib.request
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import parse_qs, quote_plus, unquote, unquote_plus, urljoin, urlparse
@@ -28,6 +30,7 @@ from newsloom.functions import urls as U
 from newsloom.functions.dates import _UNIT_SECONDS
 from newsloom.functions.dom import parse
 from newsloom.functions.extract import host_of
+from newsloom.operators.graph import work_dir, written
 from newsloom.plans.requests import FetchRequest, SearchRequest, country_language, locale, provider_query, region_code, region_name, subject_query
 from newsloom.schema import RAW, conform
 
@@ -206,10 +209,19 @@ TIERS = (
     Tier("bing", 3, lambda r: f"https://www.bing.com/news/infinitescrollajax?q={quote_plus(subject_query(r.category, r.location))}&qft={_span(r.time_limit)}&cc={country_language(r.location)[0]}", parse_card_page),
     Tier("bing_rss", 3, lambda r: f"https://www.bing.com/news/search?format=RSS&q={quote_plus(subject_query(r.category, r.location))}&qft={_span(r.time_limit)}", parse_news_feed),
     Tier("yahoo", 4, lambda r: f"https://news.search.yahoo.com/search?p={quote_plus(subject_query(r.category, r.location))}", parse_list_page),
-    Tier("ddg_html", 5, lambda r: f"https://html.duckduckgo.com/html/?q={quote_plus(subject_query(r.category, r.location))}&kl={region_code(r.location)}", parse_plain_page),
+    Tier("ddg_html", 5, lambda r: f"POST https://html.duckduckgo.com/html/?q={quote_plus(subject_query(r.category, r.location))}&kl={region_code(r.location)}", parse_plain_page),
 )
 
 
+def request_of(url: str, attempt: int = 0) -> urllib.request.Request:
+    """A URL as a request; ``POST url?query`` sends the query as a form."""
+    agent = USER_AGENTS[(zlib.crc32(url.encode()) + attempt) % len(USER_AGENTS)]
+    if not url.startswith("POST "):
+        return urllib.request.Request(url, headers={"User-Agent": agent})
+    where, _, form = url.removeprefix("POST ").partition("?")
+    return urllib.request.Request(where, data=form.encode(), method="POST", headers={"User-Agent": agent, "Content-Type": "application/x-www-form-urlencoded"})
+
+
 @dataclass
 class _Ask(InputPartition):
     url: str
@@ -218,7 +230,7 @@ class _Ask(InputPartition):
 class _HttpReader(DataSourceReader):
     def __init__(self, options: dict):
         self.urls = options["urls"].split("\n")
-        self.tries, self.timeout = int(options.get("tries", 3)), float(options.get("timeout", 15))
+        self.tries, self.timeout, self.pause = int(options.get("tries", 3)), float(options.get("timeout", 15)), float(options.get("pause", 0.5))
 
     def partitions(self) -> list[_Ask]:
         return [_Ask(u) for u in self.urls]
@@ -226,17 +238,16 @@ class _HttpReader(DataSourceReader):
     def read(self, partition: _Ask) -> Iterator[tuple[str, str | None]]:
         for i in range(self.tries):
             try:
-                ask = urllib.request.Request(partition.url, headers={"User-Agent": USER_AGENTS[hash(partition.url) % len(USER_AGENTS)]})
+                ask = request_of(partition.url, i)
                 with urllib.request.urlopen(ask, timeout=self.timeout) as r:
                     if r.status == 202:
                         time.sleep(min(2**i, 8))
                         continue
                     yield partition.url, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
                     return
-            except urllib.error.HTTPError:
-                break
-            except OSError:
-                time.sleep(0.5)
+            except OSError:  # an HTTP error too: the next try has another user agent
+                if i + 1 < self.tries:
+                    time.sleep(self.pause * 2**i)
         yield partition.url, None
 
 
@@ -296,31 +307,46 @@ def finalised(rows: DataFrame, redirects: DataFrame | None = None, drop_hubs: bo
     return rows.withColumn("_aggregator_source", F.when(U.is_aggregator_source(F.col("source")), F.lit(True)))
 
 
-def fetch_raw(spark: SparkSession, r: FetchRequest, transport: Transport, redirects: DataFrame | None = None, enabled: tuple[str, ...] | None = None, now: dt.datetime | None = None) -> DataFrame:
-    """Rows of the first tier that has any, at most twice ``max_results``.
+def _of_tier(spark: SparkSession, r: FetchRequest, t: Tier, transport: Transport, redirects: DataFrame | None, now: dt.datetime | None) -> DataFrame:
+    rows = finalised(parsed(transport(spark, [t.request(r)]), t.parser, now), redirects, t.finalise)
+    return rows.select("_pos", F.lit(TIERS.index(t)).alias("_tier_rank"), F.lit(t.name).alias("_tier"), "title", "url", "source", "published", "description", "_aggregator_source")
+
+
+def _first(rows: DataFrame, r: FetchRequest) -> DataFrame:
+    return conform(rows.orderBy("_pos").limit(2 * r.max_results).withColumn("_ord", F.col("_pos").cast("long")).drop("_pos", "_tier_rank"), RAW)
 
-    One plan: all tiers' rows carry their rank and only the least rank is kept.  Over a
-    live transport the tiers are asked one after the other instead, see ``fetch_lazy``."""
+
+def enabled_tiers(enabled: tuple[str, ...] | None = None) -> list[Tier]:
+    """The tiers to ask, in order.  Without a list the environment decides: a tier is off
+    where ``NEWSLOOM_TIER_<NAME>`` is 0, false, no or off."""
+    if enabled is not None:
+        return [t for t in TIERS if t.name in enabled]
+    off = {"0", "false", "no", "off"}
+    return [t for t in TIERS if os.environ.get(f"NEWSLOOM_TIER_{t.name.upper()}", "1").strip().lower() not in off]
+
+
+def fetch_raw(spark: SparkSession, r: FetchRequest, transport: Transport, redirects: DataFrame | None = None, enabled: tuple[str, ...] | None = None, now: dt.datetime | None = None) -> DataFrame:
+    """Rows of the first tier that has any, at most twice ``max_results``, as one plan
+    over a payload table: all tiers' rows carry their rank and only the least is kept.
+    A live transport is asked tier by tier instead, see ``fetch_lazy``."""
     union = None
-    for t in TIERS:
-        if enabled is None or t.name in enabled:
-            rows = finalised(parsed(transport(spark, [t.request(r)]), t.parser, now), redirects, t.finalise)
-            rows = rows.select("_pos", F.lit(TIERS.index(t)).alias("_tier_rank"), F.lit(t.name).alias("_tier"), "title", "url", "source", "published", "description", "_aggregator_source")
-            union = rows if union is None else union.unionByName(rows)
+    for t in enabled_tiers(enabled):
+        rows = _of_tier(spark, r, t, transport, redirects, now)
+        union = rows if union is None else union.unionByName(rows)
     if union is None:
         return spark.createDataFrame([], RAW)
     best = union.agg(F.min("_tier_rank").alias("_best"))
     kept = union.join(F.broadcast(best), F.col("_tier_rank") == F.col("_best"), "left_semi")  # one row
-    return conform(kept.orderBy("_pos").limit(2 * r.max_results).withColumn("_ord", F.col("_pos").cast("long")).drop("_pos", "_tier_rank"), RAW)
+    return _first(kept, r)
 
 
 def fetch_lazy(spark: SparkSession, r: FetchRequest, transport: Transport, redirects: DataFrame | None = None, enabled: tuple[str, ...] | None = None, now: dt.datetime | None = None) -> DataFrame:
-    """The same result, asking a tier only when those before it gave nothing."""
-    names = [t.name for t in TIERS if enabled is None or t.name in enabled]
-    for name in names:
-        rows = fetch_raw(spark, r, transport, redirects, (name,), now)
+    """The same result, asking a tier only when those before it gave nothing, and once:
+    an answer (one page) is written before it is looked at."""
+    for t in enabled_tiers(enabled):
+        rows = written(_of_tier(spark, r, t, transport, redirects, now), work_dir(spark, f"tier-{t.name}"))
         if not rows.isEmpty():
-            return rows
+            return _first(rows, r)
     return spark.createDataFrame([], RAW)
 
 

@@ -10,8 +10,8 @@ from newsloom.functions.extract import extract_articles
 
 
 def articles_from_documents(docs: DataFrame) -> DataFrame:
-    """Title is the first line; URL, date and category follow from id and source, so they
-    need no state."""
+    """Title is the first line; URL and date follow from id and source, so they need no
+    state.  A document has no description of its own."""
     id_ = F.col("doc_id")
     return docs.select(
         id_.alias("_ord"),
@@ -19,7 +19,7 @@ def articles_from_documents(docs: DataFrame) -> DataFrame:
         F.concat(F.lit("https://www."), F.col("source"), F.lit(".example.com/story/"), id_.cast("string"), F.lit("?utm_source=feed")).alias("url"),
         "source",
         F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + id_ * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published"),
-        F.substring("text", 1, 500).alias("description"),
+        F.lit(None).cast("string").alias("description"),
         "text",
         F.col("lang").alias("language"),
     )

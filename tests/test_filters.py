@@ -70,3 +70,16 @@ def test_terms_and_titles(spark):
     assert query_terms('"big bank" rates, (fed)') == ["big bank", "rates", "fed"]
     df = spark.createDataFrame([("  Hello—World!  it's \t fine ",), (None,)], "t string")
     assert [r[0] for r in df.select(normalised_title(F.col("t"))).collect()] == ["helloworld its fine", ""]
+
+
+def test_languages_by_script_and_words(spark):
+    texts = {
+        "en": "the minister said that it was not in the plan", "fr": "le ministre a dit que ce n'est pas dans le plan", "sv": "ministern sade att det inte är något som vi har", "pl": "minister powiedział że nie jest to dla nas i tak",
+        "ru": "министр сказал что это не так как было и в плане", "uk": "міністр сказав що це не так як було і в плані", "ar": "قال الوزير إن هذا لا يكون في الخطة من بعد", "fa": "وزیر گفت که این در برنامه است و به آن", "hi": "मंत्री ने कहा कि यह योजना में है और से", "ja": "大臣はこれが計画にないと述べました", "zh": "部长表示这不在今年的计划之中并且没有", "ko": "장관은 그것이 계획에 없다고 말했다", "el": "ο υπουργός είπε ότι δεν είναι", "th": "รัฐมนตรีกล่าวว่าไม่ได้อยู่ในแผน",
+    }
+    df = spark.createDataFrame([(i, c, t, None) for i, (c, t) in enumerate(texts.items())], "_ord long, code string, title string, description string")
+    got = {r["code"]: r["found"] for r in df.select("code", L.detect_language(F.col("title")).alias("found")).collect()}
+    assert got == {c: c for c in texts}
+    for code in ("hi", "ja", "ru", "sv"):  # a language asked for leaves the others out
+        assert [r["code"] for r in L.filter_by_language(df, code).collect()] == [code]
+    assert L.filter_by_language(df, "xx").count() == len(texts)

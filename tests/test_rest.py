@@ -107,6 +107,57 @@ def test_tiers_fall_through(spark):
     assert [x["title"] for x in feeds.fetch_raw(spark, r, feeds.from_store(store), enabled=("yahoo",)).collect()] == ["T 2"]
 
 
+def test_fetch_asks_one_tier_at_a_time_and_once(spark):
+    r = FetchRequest(category="tech", location="in")
+    urls = {t.name: t.request(r) for t in feeds.TIERS}
+    store = feeds.from_store(spark.createDataFrame([(urls["yahoo"], LIST)], "url string, payload string"))
+    asked = []
+    room = Newsroom(spark, transport=lambda s, u: (asked.extend(u), store(s, u))[1])
+    assert [x["title"] for x in room.fetch(category="tech", location="in").collect()] == ["T 2"]
+    names = [t.name for t in feeds.TIERS]
+    assert asked == [urls[n] for n in names[: names.index("yahoo") + 1]]
+    asked.clear()
+    Newsroom(spark, transport=room.transport, tiers=("yahoo",)).fetch(category="tech", location="in")
+    assert asked == [urls["yahoo"]]
+
+
+def test_tier_switches(monkeypatch):
+    monkeypatch.setenv("NEWSLOOM_TIER_BING", "off")
+    assert "bing" not in [t.name for t in feeds.enabled_tiers()] and [t.name for t in feeds.enabled_tiers(("bing",))] == ["bing"]
+
+
+def test_http_source_retries_and_posts():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self):
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            seen.append((self.command, self.path, body.decode(), self.headers["User-Agent"]))
+            self.send_response(503 if len([x for x in seen if x[1] == self.path]) < 3 else 200)
+            self.end_headers()
+            self.wfile.write(b"payload")
+
+        do_GET = do_POST = answer
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    urls = [f"{base}/a?q=1", f"POST {base}/b?q=x+y&kl=us"]
+    reader = feeds._HttpReader({"urls": "\n".join(urls), "pause": "0.01"})
+    assert [x for p in reader.partitions() for x in reader.read(p)] == [(u, "payload") for u in urls]
+    assert [x[:3] for x in seen] == [("GET", "/a?q=1", "")] * 3 + [("POST", "/b", "q=x+y&kl=us")] * 3 and len({x[3] for x in seen}) > 1
+    seen.clear()
+    reader.tries = 2
+    assert [x for p in reader.partitions()[:1] for x in reader.read(p)] == [(urls[0], None)] and len(seen) == 2
+    server.shutdown()
+
+
 def test_requests():
     assert provider_query(SearchRequest(query='ai "big bank"', exclude_terms=["x y"], start_date="2024-01-01", end_date="2024-01-31")) == '(ai OR "big bank") -"x y" after:2024-01-01 before:2024-02-01'
     assert provider_query(SearchRequest(query="a b", query_mode="all", time_limit="w")) == "a b when:7d"
