@@ -6,10 +6,18 @@ segments of which only the assistant's are trained on (``mask`` 1).  When one si
 prefix of the other its completion is empty.  Native array expressions throughout: a row
 holds one pair, and nothing but the turns of a conversation is ever gathered.
 
-Defined cases: a null role is ``unknown`` and a null text empty; turns sort by number
-(nulls first), then role and text; a pair whose side has no turns has an empty prompt;
-repeated turn rows stay repeated; empty tables give an empty result; of the conversations
-table only the four named columns are read.
+A turn is rendered as ``<|role|>``, a line break, its text and a line break.  Within a
+text ``<|`` becomes ``<\\|`` (and ``<\\|`` gets one more backslash, so the original can be
+told), and ``|>`` within a role likewise: no text can pass for the start of a turn.
+
+Defined cases, for turn tables and for ready pairs alike: a null role is ``unknown``, a
+null text empty, a null turn both, and a null list of turns empty; so a null role equals
+``unknown`` in the prefix.  Turns sort by number (nulls first), then role and text; a pair
+whose side has no turns has an empty prompt; repeated turn rows stay repeated; a null
+conv_id is a conversation of its own; empty tables give an empty result; texts have no
+bound.  Of the conversations table only the four named columns are read; columns of
+``pairs`` pass through under their names, and a result column whose name they take gets
+underscores appended.
 """
 
 from __future__ import annotations
@@ -17,11 +25,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm._shared import free_name
+
 _TURN = "struct<role:string,text:string>"
 
 
 def rendered(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit("\n"))
+    role = F.regexp_replace(turn["role"], r"\|(\\*)>", r"|\\$1>")
+    text = F.regexp_replace(turn["text"], r"<(\\*)\|", r"<\\$1|")
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("\n"))
+
+
+def whole_turns(turns: Column) -> Column:
+    """``turns`` without nulls."""
+    of = lambda t: F.struct(F.coalesce(t["role"], F.lit("unknown")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+    return F.coalesce(F.transform(turns, of), F.array().cast(f"array<{_TURN}>"))
 
 
 def turns_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -48,16 +66,21 @@ def segments(turns: Column, skip: Column) -> Column:
 def preference_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``pairs`` (its other columns pass through) holds two ordered turn arrays; returns
     n_prompt_turns, prompt, and both completions as arrays of (text, mask)."""
-    keep = [pairs[c] for c in pairs.columns if c not in (chosen, rejected)]
-    empty = F.array().cast(f"array<{_TURN}>")
-    rows = pairs.select(*keep, F.coalesce(pairs[chosen], empty).alias("_chosen"), F.coalesce(pairs[rejected], empty).alias("_rejected"))
-    rows = rows.withColumn("_n", common_prefix(F.col("_chosen"), F.col("_rejected")))
+    others = [c for c in pairs.columns if c not in (chosen, rejected)]
+    taken = list(others)
+    names = {}
+    for c in ("n_prompt_turns", "prompt", "chosen_completion", "rejected_completion", "a", "b"):
+        names[c] = free_name(taken, c)
+        taken.append(names[c])
+    a, b, n = F.col(names["a"]), F.col(names["b"]), F.col(names["n_prompt_turns"])
+    rows = pairs.select(*[pairs[c] for c in others], whole_turns(pairs[chosen]).alias(names["a"]), whole_turns(pairs[rejected]).alias(names["b"]))
+    rows = rows.withColumn(names["n_prompt_turns"], common_prefix(a, b))
     return rows.select(
-        *[F.col(c) for c in pairs.columns if c not in (chosen, rejected)],
-        F.col("_n").alias("n_prompt_turns"),
-        F.array_join(F.transform(F.slice(F.col("_chosen"), 1, F.col("_n")), rendered), "").alias("prompt"),
-        segments(F.col("_chosen"), F.col("_n")).alias("chosen_completion"),
-        segments(F.col("_rejected"), F.col("_n")).alias("rejected_completion"),
+        *[rows[c] for c in others],
+        n,
+        F.array_join(F.transform(F.slice(a, 1, n), rendered), "").alias(names["prompt"]),
+        segments(a, n).alias(names["chosen_completion"]),
+        segments(b, n).alias(names["rejected_completion"]),
     )
 
 
@@ -111,8 +134,8 @@ r AS (
 p AS (
   SELECT conv_id, coalesce(min(n) FILTER (t.role IS NULL OR r.role IS NULL OR t.role <> r.role OR t.text <> r.text), max(n) + 1) - 1 AS k
   FROM t FULL JOIN r USING (conv_id, n) GROUP BY conv_id),
-a AS (SELECT conv_id, n, role, '<|' || role || '|>' || chr(10) || text || chr(10) AS x FROM t),
-b AS (SELECT conv_id, n, role, '<|' || role || '|>' || chr(10) || text || chr(10) AS x FROM r),
+a AS (SELECT conv_id, n, role, '<|' || regexp_replace(role, '\|(\\*)>', '|\\\1>', 'g') || '|>' || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || chr(10) AS x FROM t),
+b AS (SELECT conv_id, n, role, '<|' || regexp_replace(role, '\|(\\*)>', '|\\\1>', 'g') || '|>' || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || chr(10) AS x FROM r),
 ca AS (
   SELECT conv_id, k, coalesce(string_agg(x, '' ORDER BY n) FILTER (n <= k), '') AS prompt,
     coalesce(string_agg(x, '' ORDER BY n) FILTER (n > k), '') AS chosen,
