@@ -2,8 +2,9 @@
 
 The base figures of a document are always computed.  The further rules form a
 cascade: a rule sees only the documents that every rule before it let pass, and
-the order is by rejections per second, both estimated on a bounded sample
-(``sample_rows`` documents).  A document is kept when no rule rejects it, so the
+the order is by rejections per second, both estimated on a bounded sample: the first
+documents of up to ``SAMPLE_PARTS`` partitions spread over the table, ``sample_rows`` and
+``sample_bytes`` in all, measured where they lie.  A document is kept when no rule rejects it, so the
 order decides only the work, never the verdict.
 
 Defined cases: null or empty text has no words and fails the base rule
@@ -14,19 +15,23 @@ empty result; further columns pass through, and a clashing name gets underscores
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsloom.llm import _stats as S
+from newsloom.llm._shared import small_batches
 from newsloom.llm._text import TextBlock, blocks
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_PARTS = 1000, 4 << 20, 8
 
 
 @dataclass(frozen=True)
@@ -76,7 +81,7 @@ def pick(b: TextBlock, rows: np.ndarray) -> TextBlock:
     return out
 
 
-def cascade(b: TextBlock, base: dict[str, np.ndarray], rules: tuple[Rule, ...], spent: dict | None = None) -> np.ndarray:
+def cascade(b: TextBlock, base: dict[str, np.ndarray], rules: tuple[Rule, ...], spent: dict | None = None, clock: Callable[[], float] = time.perf_counter) -> np.ndarray:
     """Which documents no rule rejects.  A rule runs on the survivors alone.
     ``spent`` gathers (seconds, documents seen, rejected) by rule, and then every
     rule sees every document, so that the figures don't depend on an order."""
@@ -88,28 +93,48 @@ def cascade(b: TextBlock, base: dict[str, np.ndarray], rules: tuple[Rule, ...],
             break
         if len(rows) != alive.n:
             alive = pick(b, rows)
-        began = time.perf_counter()
+        began = clock()
         bad = rule.rejects(alive, {k: v[rows] for k, v in base.items()})
         if spent is not None:
             s = spent.setdefault(rule.name, [0.0, 0, 0])
-            s[0] += time.perf_counter() - began
+            s[0] += clock() - began
             s[1] += len(rows)
             s[2] += int((bad & ~base["base_failed"]).sum())
         kept[rows[bad]] = False
     return kept
 
 
-def ordered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second, as measured on the driver with the first
-    ``sample_rows`` documents."""
-
-    column = pa.array([r[0] for r in docs.select(docs[text]).limit(sample_rows).collect()], pa.string())  # reads only as many partitions as it needs
-    spent: dict[str, list] = {}
-    for a, e in blocks(column):
-        for rule in rules:  # a block of its own for each rule: nothing another rule computed comes for free
-            b = TextBlock(column.slice(a, e - a))
-            cascade(b, base_figures(TextBlock(column.slice(a, e - a))), (rule,), spent)
-    gain = {name: rejected / max(seconds, 1e-12) for name, (seconds, _, rejected) in spent.items()}
+_SPENT = T.StructType([T.StructField("rule", T.StringType()), T.StructField("seconds", T.DoubleType()), T.StructField("rejected", T.LongType())])
+
+
+def ordered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, clock: Callable[[], float] = time.perf_counter) -> tuple[Rule, ...]:
+    """The rules by rejections per second.  Only a row of figures for each rule and
+    sampled partition comes to the driver."""
+    column = docs.select(docs[text])
+    total = max(1, column.rdd.getNumPartitions())
+    parts = min(total, SAMPLE_PARTS)
+    chosen = {i * total // parts for i in range(parts)}
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() not in chosen:
+            return
+        spent: dict[str, list] = {}
+        rows, size = sample_rows // parts, sample_bytes // parts
+        for batch in batches:
+            for a, e in blocks(batch.column(0), max(1, sample_bytes // parts)):
+                piece = batch.column(0).slice(a, min(e - a, rows))
+                for rule in rules:  # a block of its own for each rule: nothing another rule computed comes for free
+                    cascade(TextBlock(piece), base_figures(TextBlock(piece)), (rule,), spent, clock)
+                rows, size = rows - len(piece), size - piece.nbytes
+                if rows <= 0 or size <= 0:
+                    break
+            if rows <= 0 or size <= 0:
+                break
+        yield pa.RecordBatch.from_pydict({"rule": [*spent], "seconds": [float(s[0]) for s in spent.values()], "rejected": [s[2] for s in spent.values()]}, schema=to_arrow_schema(_SPENT))
+
+    found = column.mapInArrow(run, _SPENT).groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()
+    gain = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-12) for r in found}
     return tuple(sorted(rules, key=lambda r: -gain.get(r.name, 0.0)))
 
 
