@@ -170,7 +170,7 @@ class ArchiveReader(DataSourceReader):
                 if len(data) != info.compress_size or (info.compress_type == zipfile.ZIP_STORED and zlib.crc32(data) != info.CRC):
                     raise OSError(f"{info.filename} is damaged")
                 return data if info.compress_type == zipfile.ZIP_STORED else zlib.decompress(data, -15)
-            except OSError:
+            except (OSError, zlib.error, zipfile.BadZipFile):
                 if handle:
                     handle.pop().close()
                 if not left:

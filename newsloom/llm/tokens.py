@@ -35,7 +35,7 @@ from newsloom.llm._wordtok import default_file, encoder
 ROW_GROUP_TOKENS, PAGE_BYTES, BLOCK = 1 << 20, 64 << 10, 4 << 20
 #: Files whose bases (some 30 bytes each) may be broadcast; beyond, they are joined by shuffle.
 BROADCAST_FILES = 100_000
-MANIFEST = "part int, docs long, tokens long"
+MANIFEST = "part int, file string, docs long, tokens long"
 
 
 def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, row_group_tokens: int = ROW_GROUP_TOKENS) -> DataFrame:
@@ -52,10 +52,10 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
         part, enc = TaskContext.get().partitionId(), encoder(path)
         fs, inner = open_fs(f"{folder}/ids")
         fs.create_dir(inner, recursive=True)
-        final, draft = f"{inner}/part-{part:06d}.parquet", f"{inner}/_{part:06d}-{uuid.uuid4().hex}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.parquet"  # an attempt's own: only the manifest says which count
         total = docs_ = 0
         held: list[pa.RecordBatch] = []
-        with fs.open_output_stream(draft) as sink, pq.ParquetWriter(sink, arrow, compression="zstd", use_dictionary=["ids.list.element"], column_encoding={"doc_id": "DELTA_BINARY_PACKED", "start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"} if isinstance(id_type, (T.LongType, T.IntegerType)) else {"start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, data_page_size=PAGE_BYTES, write_page_index=True, store_schema=False) as to:
+        with fs.open_output_stream(f"{inner}/{name}") as sink, pq.ParquetWriter(sink, arrow, compression="zstd", use_dictionary=["ids.list.element"], column_encoding={"doc_id": "DELTA_BINARY_PACKED", "start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"} if isinstance(id_type, (T.LongType, T.IntegerType)) else {"start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, data_page_size=PAGE_BYTES, write_page_index=True, store_schema=False) as to:
             waiting = 0
 
             def flush() -> None:
@@ -82,8 +82,7 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
                             flush()
                             waiting = 0
             flush()
-        fs.move(draft, final)
-        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs_], "tokens": [total]}, schema=pa.schema([("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [docs_], "tokens": [total]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     fs_, inner_ = open_fs(f"{folder}/ids")
     fs_.create_dir(inner_, recursive=True)  # an empty table has no task that makes it
@@ -92,21 +91,21 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
     manifest = written(rows.mapInArrow(write, MANIFEST), f"{folder}/manifest").collect()  # a row for each file
     base, out = 0, []
     for r in sorted(manifest, key=lambda r: r["part"]):
-        out.append((r["part"], r["docs"], r["tokens"], base))
+        out.append((r["part"], r["file"], r["docs"], r["tokens"], base))
         base += r["tokens"]
     return spark.createDataFrame(out, MANIFEST + ", base long")
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids"), id_type: str = "long") -> DataFrame:
-    """The files' rows with ``start`` over all files; only ``columns`` are read."""
+    """The rows of the manifest's files (not those of attempts that failed) with ``start``
+    over all files; only ``columns`` are read."""
     files = spark.read.schema(f"doc_id {id_type}, start long, n_tokens long, ids array<int>").parquet(f"{folder}/ids")
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    rows = files.select(*[c for c in columns if c != "start"], F.col("start").alias("_at"), part.alias("_part"))
-    bases = manifest.select(F.col("part").alias("_part"), "base")
+    rows = files.select(*[c for c in columns if c != "start"], F.col("start").alias("_at"), F.col("_metadata.file_name").alias("_file"))
+    bases = manifest.select(F.col("file").alias("_file"), "base")
     if manifest.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
         bases = F.broadcast(bases)
     out = {c: F.col(c) for c in columns} | {"start": F.col("_at") + F.col("base")}
-    return rows.join(bases, "_part").select(*[out[c].alias(c) for c in columns])
+    return rows.join(bases, "_file").select(*[out[c].alias(c) for c in columns])
 
 
 def ids_crc32(column: pa.Array) -> pa.Array:
