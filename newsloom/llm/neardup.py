@@ -58,7 +58,7 @@ SHINGLE, PERCENT, K, TAIL = 5, 85, 128, 1e-7
 #: Values in the sketches that estimate a pair's similarity.
 K_UNION = 512
 #: Documents of a block; parts of a list, of which each has a central member; rounds of those.
-BLOCK, SALTS, CENTRAL_ROUNDS = 4096, 16, 2
+BLOCK, SALTS, CENTRAL_ROUNDS = 2048, 16, 2
 #: Bytes of whole sets that a task keeps.
 SET_CACHE = 32 << 20
 U = np.uint64
@@ -196,11 +196,13 @@ def _level(place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list]:
     return np.minimum(255, np.floor(8 * np.log2(counts))).astype(np.uint8), []
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, k: int = K) -> tuple[DataFrame, G.Segments]:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, k: int = K, block: int = BLOCK) -> tuple[DataFrame, G.Segments]:
     """A row per document: ref, doc_id, n_shingles, component_id, kept, first (one true
     per component, a true one always of the smallest id).  ``docs`` columns are in the
     segments, in ref order."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"column {doc_id} is {docs.schema[doc_id].dataType.simpleString()}; near_duplicates needs integral ids")
     others = [c for c in docs.columns if c not in (text, doc_id)]
     segments = G.stage(docs, [text, doc_id, *others], text, "neardup")
     folder = run_dir(spark, "neardup-work")
@@ -280,7 +282,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     asked = _requests(classes.select(F.col("rep").alias("ref")), 5)
     indexed = written(G.map_segments(segments, index, indexed_schema, {1: surveyed, 5: asked}), f"{folder}/index")
-    labels = _linked(spark, indexed, folder, percent)
+    labels = _linked(spark, indexed, folder, percent, block)
 
     # back to documents: by class, then by component
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("component"))
@@ -438,7 +440,7 @@ def _compared(units: DataFrame, percent: int, inside: bool, tasks: int) -> DataF
     return units.repartition(tasks, "unit").groupBy("unit").applyInArrow(run, _LINK)
 
 
-def _linked(spark: SparkSession, indexed: DataFrame, folder: str, percent: int, block: int = BLOCK) -> DataFrame:
+def _linked(spark: SparkSession, indexed: DataFrame, folder: str, percent: int, block: int) -> DataFrame:
     """(node, label) of the linked representatives' components."""
     salt = F.pmod(F.xxhash64("ref", F.lit(1)), F.lit(SALTS))
     entries = indexed.select(F.explode("values").alias("v"), "ref", "w", salt.alias("s"))
@@ -461,12 +463,16 @@ def _linked(spark: SparkSession, indexed: DataFrame, folder: str, percent: int,
         members = written(members.join(homes, "ref").join(placed, "ref", "left").select("v", "s", "ref", "w", "home", of), f"{here}/members")
         main = members.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("v", "main")
         at = members.groupBy("v", "home").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        spread = written(parts.select("v", "s").join(main, "v"), f"{here}/main")
+        # lists with members in the same homes are one ``way``; should two ways' hashes meet, each has both's homes
+        ways = at.groupBy("v").agg(F.bit_xor(F.xxhash64("home", "low", "high")).alias("way"), F.count(F.lit(1)).alias("homes")).where(F.col("homes") > int(last)).select("v", "way")
+        at = at.join(ways, "v").select("way", "home", "low", "high").distinct()
+        spread = written(parts.select("v", "s").join(main, "v").join(ways, "v"), f"{here}/main")
         outside = members.join(spread, ["v", "s"]).where("component != main") if last or step else members.join(spread, ["v", "s"])
         if not last:
             central = outside.groupBy("v", "s").agg(F.max(F.struct("w", "ref"))["ref"].alias("ref"))
             outside = outside.join(central, ["v", "s", "ref"])
-        meets = outside.select("v", "s", "ref", "component", F.col("home").alias("own")).join(spread.select("v", "s").join(at, "v"), ["v", "s"])
+        outside = outside.select("way", "s", "ref", "component", F.col("home").alias("own")).distinct()
+        meets = outside.join(spread.select("way", "s").distinct().join(at, "way"), ["way", "s"])
         other = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
         ship = meets.where(other & (F.col("home") != F.col("own")) if last else other).select("ref", "component", F.col("home").alias("block")).distinct()
         ship = written(ship, f"{here}/ship")
@@ -477,7 +483,7 @@ def _linked(spark: SparkSession, indexed: DataFrame, folder: str, percent: int,
         several = slices.where("slices > 1")
         came = ship.join(several, "block", "left").select("ref", "component", "block", F.pmod(F.xxhash64("ref", F.lit(3)), F.coalesce(F.col("slices"), F.lit(1))).cast("int").alias("slice"))
         came = came.join(nodes.drop("home"), "ref").select("block", "slice", F.lit(True).alias("came"), "component", *node)
-        tasks = max(1, -(-n_nodes // 1024))
+        tasks = max(1, -(-n_nodes // 256))
         units = home.unionByName(came).withColumn("unit", F.pmod(F.xxhash64("block", "slice"), F.lit(tasks)))
         found = written(_compared(units, percent, last, tasks), f"{here}/links")
         if not found.isEmpty():
