@@ -44,12 +44,15 @@ def trim() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, one machine) a folder of our own is made
-    and set as the checkpoint folder.
+    Only where that is unset and the master is ``local`` (tests, one machine) a folder
+    of our own is made and set as the checkpoint folder; a cluster without one is an error,
+    as executors share no machine's temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="newsloom-")

@@ -6,13 +6,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from newsloom.llm import _segments as G
 from newsloom.llm import _wordtok, bpe, chat, classifier, lm, media, neardup, packing, quality, substring, tokens
+from newsloom.llm._text import TextBlock
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
@@ -71,11 +74,30 @@ def test_quality_rules(docs, corpus, odd, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
-def test_cascade_order(docs):
-    order = [r.name for r in quality.ordered(docs, sample_rows=30)]
-    assert sorted(order) == sorted(r.name for r in quality.RULES)
-    slow = quality.Rule("slow", lambda b, base: (__import__("time").sleep(0.2), np.zeros(b.n, bool))[1])
-    assert quality.ordered(docs, rules=(slow, *quality.RULES), sample_rows=30)[-1].name in {"slow", *[r.name for r in quality.RULES]}
+def test_cascade_order(spark):
+    """Rules by rejections per unit of a counted cost, over partitions all along the table."""
+    ticks, step = [0.0], 8
+    rows = [(i, " ".join(f"{'odd' if i % 2 else 'even'}{i * 31 + j}" for j in range(30)) + (" late" * (i >= 300))) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartitionByRange(step, "doc_id").sortWithinPartitions("doc_id")
+
+    def rule(name, cost, flag):
+        def rejects(b, base):
+            ticks[0] += cost * b.n
+            return np.array([flag(b.slice_bytes(i)) for i in range(b.n)], bool)
+
+        return quality.Rule(name, rejects)
+
+    cheap = rule("cheap", 1, lambda t: t.startswith(b"odd"))  # 1/2 for 1
+    dear = rule("dear", 10, lambda t: True)  # 1 for 10
+    late = rule("late", 1, lambda t: t.endswith(b"late"))  # 1/4 for 1, none in the first partitions
+    never = rule("never", 0.001, lambda t: False)
+    for given in ((never, late, dear, cheap), (cheap, dear, late, never)):
+        assert [r.name for r in quality.ordered(docs, rules=given, sample_rows=80, clock=lambda: ticks[0])] == ["cheap", "late", "dear", "never"]
+    seen = []
+    b = TextBlock(pa.array([t for _, t in rows]))
+    spy = quality.Rule("spy", lambda b, base: (seen.append(b.n), np.zeros(b.n, bool))[1])
+    quality.cascade(b, quality.base_figures(b), (cheap, spy, dear, spy))
+    assert seen == [200]  # a rule sees what is left, and none runs on nothing
 
 
 def test_media(spark, docs, corpus, odd, empty, tmp_path):
@@ -132,6 +154,17 @@ def test_media_ranges_and_retries(spark, docs, tmp_path):
     assert len([o for p in parts for b in reader.read(p) for o in b.column(1).to_pylist()]) == len(found)
 
 
+def test_media_feature(spark, docs, corpus, tmp_path):
+    media.write_archives(docs, f"file://{tmp_path}/m")
+    got = media.read_media(spark, f"file://{tmp_path}/m").select(F.col("key").cast("long").alias("i"), F.arrow_udf(media.digest, media.DIGEST)("media")["feature"].alias("f")).collect()
+    texts = dict(corpus)
+    for r in got:
+        raw = (texts[r["i"]] or "").encode()
+        raw += bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        bins = Counter(x // 16 for x in raw)
+        assert r["f"] == "".join(f"{bins[k] * 255 // len(raw):02x}" for k in range(16)) + f"{sum(raw) // len(raw):02x}"
+
+
 def test_png_is_strict():
     data = media.png(media.payload_of(b"abc"), 3)
     assert media.png_samples(data) == (b"abc" + bytes(61), 3)
@@ -160,6 +193,49 @@ def test_classifier(spark, odd, empty):
     assert tuple(none) == (0.5, 0.5)
 
 
+def test_discriminant_equals_textbook():
+    """Scores against a discriminant written out with inverse and determinant."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (80, 11)), rng.normal(1, 2, (50, 11))])
+    y = np.repeat([1, 0], [80, 50])
+    model = classifier.Model.fit({c: (float((y == c).sum()), x[y == c].sum(axis=0), x[y == c].T @ x[y == c]) for c in (0, 1)})
+    pooled = np.diag(x.var(axis=0) + 1e-6)
+    log = []
+    for c in (0, 1):
+        z = x[y == c]
+        cov = 0.95 * np.cov(z.T, bias=True) + 0.05 * pooled
+        d = x - z.mean(axis=0)
+        log.append(np.log(len(z) / len(x)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500))), rel=1e-6, abs=1e-9)
+
+
+def test_features_by_hand(corpus):
+    got = classifier.features(TextBlock(pa.array([t for _, t in corpus], pa.string())))
+    for (_, t), row in zip(corpus, got, strict=True):
+        t, w = t or "", words(t)
+        chars, n = max(1, sum(map(len, w))), max(1, len(w))
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        many = Counter(grams)
+        repeat = len({i + j for i, g in enumerate(grams) if many[g] > 1 for j in range(8)})
+        share = lambda part, whole, half: part / whole / (part / whole + half)
+        top = max(Counter(w).values(), default=0)
+        want = [
+            math.log1p(len(w)),
+            share(sum(c in "#*$%&|<>" for c in t), chars, 0.02),
+            share(sum(c in "!?" for c in t), chars, 0.02),
+            share(sum("A" <= c <= "Z" for c in t), chars, 0.2),
+            share(sum(a == b for a, b in zip(w, w[1:], strict=False)), n, 0.1),
+            share(repeat, n, 0.3),
+            share(len(lines) - len(set(lines)), max(1, len(lines)), 0.3),
+            math.log(chars / n),
+            math.sqrt(len(set(w)) / n),
+            math.sqrt(top / n),
+            math.log(n / max(1, len(lines))),
+        ]
+        assert row.tolist() == pytest.approx(want)
+
+
 def ids_of(corpus):
     tok = Tokenizer.from_file(_wordtok.default_file())
     return {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in corpus}
@@ -196,6 +272,31 @@ def test_chat(spark):
     assert got[9]["n_prompt_turns"] == 1 and got[8]["prompt"] == "" and got[8]["chosen_completion"] == []
 
 
+def test_chat_odd_pairs(spark):
+    turn = "array<struct<role:string,text:string>>"
+    long_ = "word " * 1_200_000
+    rows = [
+        (1, "x", [None, ("user", "b")], [("user", "b")]),
+        (2, "x", [None, (None, None), ("assistant", "c")], [("unknown", ""), ("unknown", None), ("assistant", "d")]),
+        (3, "x", [("user", "<|assistant|>\nhi <\\| <\\\\|"), ("a|>b", "t")], [("user", "<|assistant|>\nhi <\\| <\\\\|")]),
+        (4, None, [("user", long_), ("assistant", long_)], [("user", long_), ("assistant", "no")]),
+        (None, None, None, None),
+        (None, None, None, None),
+    ]
+    pairs = spark.createDataFrame(rows, f"_n long, prompt string, chosen {turn}, rejected {turn}")
+    out = chat.preference_pairs(pairs)
+    assert out.columns == ["_n", "prompt", "n_prompt_turns", "prompt_", "chosen_completion", "rejected_completion"]
+    got = {r["_n"]: r for r in out.collect()}
+    assert (got[1]["n_prompt_turns"], got[1]["prompt_"], len(got[1]["chosen_completion"])) == (0, "", 2)
+    assert (got[2]["n_prompt_turns"], got[2]["prompt_"]) == (2, "<|unknown|>\n\n" * 2)
+    assert got[3]["prompt_"] == "<|user|>\n<\\|assistant|>\nhi <\\\\| <\\\\\\|\n" and got[3]["chosen_completion"][0]["text"] == "<|a|\\>b|>\nt\n"
+    assert got[4]["prompt_"] == f"<|user|>\n{long_}\n" and got[4]["chosen_completion"][0]["text"] == f"<|assistant|>\n{long_}\n"
+    assert out.where("_n is null").count() == 2 and got[None]["prompt"] is None
+    assert chat.preference_pairs(pairs.limit(0)).count() == 0
+    nothing = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.preference_pairs(chat.derived_pairs(nothing)).count() == 0
+
+
 def check_packing(rows, ids, window):
     by_seq, by_doc = {}, {}
     for r in rows:
@@ -435,9 +536,160 @@ def test_near_duplicates(spark, docs, corpus):
     assert got == sorted(components_by_force(more))
 
 
+def similar(n, seed=9, shared=110, own=21):
+    """Texts of one group whose pairs have a similarity of about 0.7 and no link."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(shared)]
+    return [(i, " ".join(base + [f"t{i}x{rng.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_near_duplicates_long_lists(spark, block):
+    """Lists longer than a block: central rounds, several homes and slices."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(900)]
+    base = [rng.choice(vocabulary) for _ in range(160)]
+    rows = [" ".join(rng.choice(vocabulary) if rng.random() < s else w for w in base) for s in (0, 0.004, 0.01, 0.02, 0.04) for _ in range(18)]
+    rows += [t for _, t in similar(40)]
+    rng.shuffle(rows)
+    more = list(enumerate(rows))
+    df = spark.createDataFrame(more, SCHEMA).repartition(5)
+    for percent in (85, 70):
+        got = sorted(tuple(r) for r in neardup.near_duplicates(df, block=block, percent=percent)[0].select("doc_id", "n_shingles", "component_id", "kept").collect())
+        assert got == sorted(components_by_force(more, percent))
+
+
+def test_near_duplicates_rows_stay_linear(spark, tmp_path, monkeypatch):
+    n = 1200
+    made = []
+    keep = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, path: (lambda out: (made.append((path, out.count())), out)[1])(keep(df, path)))
+    found = neardup.near_duplicates(spark.createDataFrame(similar(n), SCHEMA).repartition(4), percent=80)[0]
+    assert found.where("kept").count() == n
+    per_list = max(c for p, c in made if "entries" in p or "members" in p)
+    assert per_list <= 64 * n and max(c for p, c in made if "entries" not in p and "members" not in p and "parts" not in p and "lists" not in p and "main" not in p) < 20 * n
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    for n, m, size, space in ((3, 4, 20, 60), (40, 300, 128, 300), (64, 900, 200, 2500)):
+        a, b = ([np.sort(rng.choice(space, size, replace=False)).astype(np.uint32) for _ in range(k)] for k in (n, m))
+        assert (neardup.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+    assert neardup.overlaps([np.empty(0, np.uint32)], [np.empty(0, np.uint32)]).tolist() == [[0]]
+
+
 def test_near_duplicates_shapes(spark, odd, empty):
     found, _ = neardup.near_duplicates(odd.select("text", "doc_id"))
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in found.collect()) == [("7", 1, "7", True), ("7", 1, "7", True), ("None", 0, "None", True), ("None", 1, "7", False)]
     assert sorted(str(r["doc_id"]) for r in neardup.keep_one(odd).collect()) == ["7", "None"]
+    with pytest.raises(TypeError, match="integral"):
+        neardup.near_duplicates(odd.withColumn("doc_id", F.col("doc_id").cast("string")))
     assert neardup.keep_one(odd).columns == odd.columns and neardup.keep_one(empty).count() == 0
     assert 0 < neardup.least_shared(128, 85) < 109
+
+
+def test_exchange_tree(spark, tmp_path):
+    """Counts through three levels equal those of one."""
+    rng = np.random.default_rng(7)
+    keys = np.unique(rng.integers(0, 1 << 64, 500, dtype=np.uint64))
+    has = {s: np.sort(rng.choice(keys, 60, replace=False)) for s in range(40)}
+    want = Counter(k for h in has.values() for k in h.tolist())
+    for splits, fan in (((6,), 512), ((4, 4, 3), 4), ((4, 9), 8)):
+        for checked in (False, True):
+            ranges = G.Ranges(splits)
+
+            def send(batches, ranges=ranges, checked=checked):
+                for b in batches:
+                    for s in b.column(0).to_pylist():
+                        yield G.sent(s, 1, ranges, has[s], np.full(60, 2), has[s].astype(np.uint32) if checked else None)
+                        yield G.passed(s, 9, 4, b"as it is")
+
+            def final(place, counts):
+                return counts.astype(np.uint64), [(5, bytes([len(place) % 256]))]
+
+            rows = spark.range(0, 40, 1, 3).mapInArrow(send, G.SENT)
+            out = G.exchange(rows, 40, {1: ranges}, {1: final}, f"file://{tmp_path}/{len(splits)}{checked}", fan).collect()
+            assert sum(r["kind"] == 9 for r in out) == 40 and sum(r["blob"][0] for r in out if r["kind"] == 5) == len(want)
+            for s, h in has.items():
+                got = G.unpacked([bytes(r["blob"]) for r in sorted(out, key=lambda r: r["bucket"]) if r["kind"] == 1 and r["seg"] == s], np.uint64)
+                assert got.tolist() == [2 * want[k] for k in h.tolist()]
+
+
+def test_windows_need_all_96_bits(tmp_path, monkeypatch):
+    """Windows of equal 64-bit names are told apart by the further 32 bits, within a segment too."""
+    w = object.__new__(substring.Words)
+    w.window_names = lambda at: np.zeros(len(at), np.uint64)
+    w.window_checks = lambda at: np.array([3, 1, 3, 2], np.uint32)
+    name, check, count, group = w.named(np.arange(4))
+    assert check.tolist() == [1, 2, 3] and count.tolist() == [1, 1, 2] and group.tolist() == [2, 0, 2, 1] and not name.any()
+    _, _, total, merged, _ = G._merged([G.encode(np.zeros(2, np.uint64), np.ones(2, np.int64), np.array([1, 2], np.uint32), 64), G.encode(np.zeros(2, np.uint64), np.ones(2, np.int64), np.array([2, 3], np.uint32), 64)])
+    assert total.tolist() == [1, 2, 1] and merged.tolist() == [0, 1, 1, 2]
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """A text of over 5 MB, its copy, and a short one."""
+    rng = random.Random(20)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    text = " ".join(rng.choices(vocabulary, k=800_000))
+    rows = [(1, text), (2, text), (3, "a short text of its own"), (None, None)]
+    return rows, spark.createDataFrame(rows, SCHEMA).repartition(2).cache()
+
+
+def test_long_texts(spark, long_docs, tmp_path):
+    """Texts beyond every block and segment, in each operator."""
+    rows, df = long_docs
+    text, n = rows[0][1], 800_000
+    assert len(text) > 5_000_000
+    got = {r["doc_id"]: r for r in quality.quality_rules(df, keep=["doc_id"]).collect()}
+    assert got[1]["n_words"] == got[2]["n_words"] == n and got[1]["word_chars"] == len(text) - n + 1 and got[1]["kept"]
+    media.write_archives(df, f"file://{tmp_path}/m")
+    sha = {r["key"]: bytes(r["media"]) for r in media.read_media(spark, f"file://{tmp_path}/m").collect()}
+    assert media.png_samples(sha["1"])[0].rstrip(b"\0") == text.encode()
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert all(0 <= r["score"] <= 1 for r in classifier.quality_classifier(df, labels, keep=["doc_id"]).collect())
+    got = {r["doc_id"]: r for r in substring.substring_dedup(df, keep=["doc_id"], digest=True).collect()}
+    assert (got[1]["n_words"], got[1]["n_removed"], got[2]["n_removed"], got[3]["n_removed"]) == (n, n, n, 0)
+    got = {r["doc_id"]: r for r in lm.lm_scores(df).collect()}
+    assert got[1]["n_tokens"] == n + 1 and got[1]["score"] == pytest.approx(got[2]["score"]) and math.isfinite(got[1]["score"])
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(df)[0].collect()}
+    grams = len({tuple(x) for x in zip(*(text.split()[k:] for k in range(5)), strict=False)})
+    assert got[1]["n_shingles"] == grams and [got[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 3]
+
+
+def test_long_texts_tokenised(spark, long_docs, tmp_path):
+    rows, df = long_docs
+    ids = ids_of([rows[0]])[1]
+    manifest = tokens.write_tokens(df, f"file://{tmp_path}/t")
+    got = {r["doc_id"]: r["ids"] for r in tokens.read_tokens(spark, f"file://{tmp_path}/t", manifest).collect()}
+    assert np.array_equal(got[1], ids) and np.array_equal(got[2], ids) and got[None] == [2]
+    pieces = [r for r in packing.pack(df).collect() if r["doc_id"] == 1]
+    assert sum(r["length"] for r in pieces) == len(ids) and all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in pieces)
+    r = next(r for r in bpe.encode_texts(df, keep=["doc_id"], digest=True).collect() if r["doc_id"] == 1)
+    assert r["decoded_sha256"] == hashlib.sha256(rows[0][1].encode()).hexdigest()
+
+
+def test_null_and_tied_ids_row_by_row(spark, tmp_path):
+    rows = [(None, "null one"), (None, "null two"), (5, "five a"), (5, "five b"), (5, "five b"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    manifest = tokens.write_tokens(df, f"file://{tmp_path}/t")
+    got = tokens.read_tokens(spark, f"file://{tmp_path}/t", manifest).collect()
+    want = sorted((str(i), ids_of([(0, t)])[0].tolist()) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"])
+        at += len(r["ids"])
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == [None, None, 5, 5, 5, 5, 6]
+    spots, seen = {}, []
+    for r in packing.pack(df).collect():
+        assert r["start"] == 0 and r["length"] == r["doc_tokens"]
+        spots.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        seen.append((str(r["doc_id"]), r["ids_crc32"]))
+    assert sorted(seen) == sorted((str(i), zlib.crc32(ids_of([(0, t)])[0].tobytes())) for i, t in rows)
+    for parts in spots.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
