@@ -101,6 +101,11 @@ def json_items(df: DataFrame, include_internal: bool = False) -> DataFrame:
     return df.select(F.col(order_key(df)).alias("_key"), F.to_json(F.struct(*keep)).alias("item"))
 
 
+def write_json(df: DataFrame, path: str, include_internal: bool = False) -> None:
+    """JSON lines in a folder, written where the rows are."""
+    json_items(df, include_internal).select("item").write.mode("overwrite").text(path)
+
+
 def to_json(df: DataFrame, path: str | None = None, *, envelope: bool = True, ensure_ascii: bool = False, extra_meta: dict | None = None, generated_at: dt.datetime | None = None, include_internal: bool = False, indent: int | None = 2) -> str:
     items = [json.loads(x) for x in _collected(json_items(df, include_internal), "_key", F.col("item"))]
     kind = "clusters" if is_clusters(df) else "articles"
@@ -173,6 +178,11 @@ def jsonld_items(df: DataFrame) -> DataFrame:
     return df.select(F.col(order_key(df)).alias("_key"), item.alias("item"))
 
 
+def write_jsonld(df: DataFrame, path: str) -> None:
+    """NewsArticle lines in a folder, written where the rows are."""
+    jsonld_items(df).select("item").write.mode("overwrite").text(path)
+
+
 def to_jsonld(df: DataFrame, path: str | None = None, *, indent: int | None = 2) -> str:
     items = _collected(jsonld_items(df), "_key", F.col("item"))
     elements = [{"@type": "ListItem", "position": i, "item": json.loads(x)} for i, x in enumerate(items, 1)]

@@ -19,6 +19,7 @@ from typing import Any, Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.graph import work_dir, written
 from newsloom.schema import PROFILE
 
 PROFILE_NAMESPACE = "user_profile"
@@ -131,8 +132,14 @@ class EncryptedCache:
                 return self.spark.createDataFrame([], _TABLE)
             raise
 
-    def _newest(self) -> DataFrame:
+    def _newest(self, namespace: str | None = None, digest: str | None = None) -> DataFrame:
+        """The newest row of each key; of one namespace or key only where given, so that
+        the filter reaches the scan and nothing else is aggregated."""
         t = self._table()
+        if namespace is not None:
+            t = t.where(F.col("namespace") == namespace)
+        if digest is not None:
+            t = t.where(F.col("cache_key") == digest)
         last = t.groupBy("namespace", "cache_key").agg(F.max_by(F.struct("value", "expires_at", "created_at"), "version").alias("r"))
         return last.select("namespace", "cache_key", "r.*").where("value IS NOT NULL")
 
@@ -148,7 +155,7 @@ class EncryptedCache:
 
     def get(self, namespace: str, key: str, default=None):
         digest = self.opaque(namespace, key)
-        mine = self._newest().where((F.col("namespace") == namespace) & (F.col("cache_key") == digest))
+        mine = self._newest(namespace, digest)
         row = mine.select("expires_at", F.try_aes_decrypt("value", F.lit(self._aes)).cast("string").alias("text")).first()
         if row is None:
             return default
@@ -169,15 +176,22 @@ class EncryptedCache:
         self._append(namespace, self.opaque(namespace, key), None, None)
         return had
 
-    def _drop(self, condition) -> int:
-        rows = self._newest().where(condition).select("namespace", "cache_key")
+    def compact(self, files: int = 1) -> None:
+        """Rewrite the table with the newest rows alone, in few files, sorted so that row
+        groups can be skipped.  No other writer may be at work."""
+        newest = self._newest().withColumn("version", F.lit(time.time_ns())).select(*(f.split()[0] for f in _TABLE.split(", ")))
+        aside = written(newest.repartitionByRange(files, "namespace", "cache_key").sortWithinPartitions("namespace", "cache_key"), work_dir(self.spark, "cache"))
+        aside.repartitionByRange(files, "namespace", "cache_key").sortWithinPartitions("namespace", "cache_key").write.mode("overwrite").parquet(self.path)
+
+    def _drop(self, condition, namespace: str | None = None) -> int:
+        rows = self._newest(namespace).where(condition).select("namespace", "cache_key")
         n = rows.count()
         if n:
             rows.select("namespace", "cache_key", F.lit(None).cast("binary").alias("value"), F.lit(None).cast("double").alias("expires_at"), F.lit(time.time()).alias("created_at"), F.lit(time.time_ns()).alias("version")).write.mode("append").parquet(self.path)
         return n
 
     def clear_namespace(self, namespace: str) -> int:
-        return self._drop(F.col("namespace") == namespace)
+        return self._drop(F.lit(True), namespace)
 
     def purge_expired(self) -> int:
         return self._drop(F.col("expires_at") <= time.time())

@@ -322,7 +322,16 @@ def rfc822(spark, sf):
     return e.select("event_id", D.date_text(D.parse_rfc822(F.concat(F.lit("Mon, "), text))).alias("published"))
 
 
-@query("html_title")
+def _unescaped(c: str) -> str:
+    for name, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("#x27", "''"), ("amp", "&")):
+        c = f"regexp_replace({c}, '&{name};?', '{char}', 'g')"
+    return f"trim({c})"
+
+
+_PAGE_TITLE = _unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+
+
+@query("html_title", f"SELECT page_id, {_PAGE_TITLE} AS title FROM pages")
 def html_title(spark, sf):
     return extract_articles(_pages(spark, sf)).select("page_id", "title")
 
@@ -339,9 +348,13 @@ def html_text(spark, sf):
 
 @query("crawl")
 def crawl(spark, sf):
+    """A site whose page n links to the pages 4n + 1 to 4n + 4."""
     pages = _pages(spark, sf)
+    to = pages.select(F.col("page_id").alias("_to"), F.concat(F.lit('<a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">next</a>')).alias("_a"))
+    linked = pages.join(to, F.floor((F.col("_to") - 1) / 4) == F.col("page_id"), "left").groupBy(*pages.columns).agg(F.array_join(F.array_sort(F.collect_list("_a")), " ").alias("_links"))
+    site = linked.withColumn("html", F.concat(F.col("html"), F.col("_links"))).drop("_links")
     start = pages.orderBy("page_id").first()["url"]
-    return crawl_site(pages, start, same_domain_only=False).select("url", "depth", "title")
+    return crawl_site(site, start, same_domain_only=False).select("url", "depth", "title")
 
 
 _STORIES = f"{_CLUSTERS}, st AS (SELECT rep AS ord, size, last_seen, sources FROM g)"
@@ -410,7 +423,16 @@ def export_csv_rows(spark, sf):
     return export.csv_rows(_article(spark, sf)).select("title", "url", "text", "language", "source")
 
 
-@query("export_jsonld_rows")
+def _json_field(name: str, value: str) -> str:
+    return f"""CASE WHEN coalesce(trim({value}), '') = '' THEN '' ELSE ',"{name}":' || to_json({value})::VARCHAR END"""
+
+
+@query(
+    "export_jsonld_rows",
+    f"""WITH {_ART} SELECT ord AS doc_id, '{{"@type":"NewsArticle"' || {_json_field('headline', 'title')} || {_json_field('url', 'url')} || {_json_field('articleBody', 'text')}
+  || {_json_field('datePublished', 'published')} || {_json_field('@id', 'url')} || CASE WHEN url IS NULL THEN '' ELSE ',"mainEntityOfPage":{{"@type":"WebPage"' || {_json_field('@id', 'url')} || '}}' END
+  || {_json_field('inLanguage', 'language')} || CASE WHEN coalesce(trim(source), '') = '' THEN '' ELSE ',"publisher":{{"@type":"Organization"' || {_json_field('name', 'source')} || '}}' END || '}}' AS item FROM art""",
+)
 def export_jsonld_rows(spark, sf):
     return export.jsonld_items(_article(spark, sf)).select(F.col("_key").alias("doc_id"), "item")
 
@@ -423,13 +445,19 @@ def cache_stats_query(spark, sf):
     return cache_stats(rows, now).select("entries", "expired", F.array_join("namespaces", ",").alias("namespaces"))
 
 
-@query("enrich_pages")
+@query(
+    "enrich_pages",
+    f"""WITH p AS (SELECT page_id, html, url, {_KEY} AS key, {_PATH} IN ('', '/') AND NOT regexp_matches(url, '[?&](p|page_id|article|story|newsid|nid|aid)=[^&]') AS hub, {_PAGE_TITLE} AS title FROM pages),
+st AS (SELECT key, title FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url, html) AS k FROM p) WHERE k = 1)
+SELECT page_id, CASE WHEN NOT hub THEN st.title END AS title, NOT hub AS _full_content, CASE WHEN hub THEN 'hub_or_listing_page' END AS _full_content_reason, NOT hub AS has_text
+FROM p LEFT JOIN st USING (key)""",
+)
 def enrich_pages(spark, sf):
     from newsloom.plans.pipeline import enrich
 
     p = _pages(spark, sf)
     rows = conform(p.select(F.col("page_id").alias("_ord"), F.concat(F.col("url"), F.lit("#x")).alias("url")))
-    return enrich(rows, page_store(p)).select(F.col("_ord").alias("page_id"), "title", "_full_content", "_full_content_reason", F.length("text").alias("chars"))
+    return enrich(rows, page_store(p)).select(F.col("_ord").alias("page_id"), "title", "_full_content", "_full_content_reason", F.coalesce(F.col("text") != "", F.lit(False)).alias("has_text"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

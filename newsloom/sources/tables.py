@@ -26,6 +26,8 @@ def articles_from_documents(docs: DataFrame) -> DataFrame:
 
 
 def page_store(pages: DataFrame) -> DataFrame:
-    """Extracted articles of a page table, one per normalised URL."""
-    one = pages.withColumn("_key", U.normalize_url(F.col("url"))).dropDuplicates(["_key"]).drop("_key")
+    """Extracted articles of a page table, one per normalised URL: that of the least URL,
+    of equal URLs that of the least HTML."""
+    keyed = pages.withColumn("_key", U.normalize_url(F.col("url")))
+    one = keyed.groupBy("_key").agg(F.min_by(F.struct(*pages.columns), F.struct("url", "html")).alias("_p")).select("_p.*")
     return extract_articles(one)

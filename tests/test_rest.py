@@ -306,3 +306,70 @@ def test_newsroom_cli_and_tools(spark, tmp_path, capsys):
     assert named["cluster_news"]([{"title": "x", "url": "https://a.com/1"}])[0]["size"] == 1
     with pytest.raises(ValueError):
         Newsroom(spark).fetch(refresh_interval=10, async_=True)
+
+
+def test_tool_server(spark):
+    from newsloom import server
+
+    room = tools(Newsroom(spark))
+    assert set(server.TOOLS) == set(room) and len(room) == 11
+    ask = lambda n, method, **params: json.dumps({"jsonrpc": "2.0", "id": n, "method": method, "params": params})
+    lines = [
+        ask(1, "initialize"),
+        json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}),
+        ask(2, "tools/list"),
+        ask(3, "tools/call", name="summarize_text_content", arguments={"text": TEXT, "sentence_count": 1}),
+        ask(4, "tools/call", name="filter_news", arguments={"items": ITEMS, "query": "nothing of the kind"}),
+        ask(5, "tools/call", name="export_news", arguments={"items": ITEMS, "format": "no such"}),
+        ask(6, "tools/call", name="unknown"),
+        ask(7, "other"),
+        "{not json",
+        "[]",
+        "",
+    ]
+    out = io.StringIO()
+    server.serve(room, lines, out)
+    got = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
+    assert got[1]["result"]["capabilities"] == {"tools": {}}
+    assert {t["name"]: t["inputSchema"]["required"] for t in got[2]["result"]["tools"]}["rank_news"] == ["items", "query"]
+    assert got[3]["result"] == {"content": [{"type": "text", "text": "The central bank raised interest rates again today."}], "isError": False}
+    assert isinstance(json.loads(got[4]["result"]["content"][0]["text"]), list)
+    assert got[5]["result"]["isError"] and got[6]["error"]["code"] == -32602 and got[7]["error"]["code"] == -32601
+    assert len(out.getvalue().splitlines()) == 9
+
+
+def test_cache_compacts(spark, tmp_path):
+    cache = EncryptedCache(spark, f"{tmp_path}/c", b"k" * 16)
+    for i in range(3):
+        cache.set("a", "x", i)
+    cache.set("b", "y", "z", ttl=1000)
+    cache.set("a", "gone", 1)
+    cache.delete("a", "gone")
+    cache.compact()
+    assert spark.read.parquet(f"{tmp_path}/c").count() == 2
+    assert (cache.get("a", "x"), cache.get("b", "y"), cache.get("a", "gone")) == (2, "z", None)
+    cache.set("a", "x", 9)
+    assert cache.get("a", "x") == 9 and cache.clear_namespace("a") == 1 and cache.get("b", "y") == "z"
+
+
+def test_poll_plans_stay_small(spark, tmp_path):
+    """Polls repeat stories; only unseen ones come, and a plan never holds earlier polls."""
+    polls = iter([[1, 2], [2, 3], [3], [1, 4]])
+    frame = lambda ids: spark.createDataFrame([(i, f"T{i}", f"https://a.com/{i}") for i in ids], "_ord long, title string, url string")
+    room = Newsroom(spark)
+    fresh = room._poll(lambda: frame(next(polls)), 5, sleep=lambda s: None)
+    got, sizes = [], []
+    for _ in range(3):
+        df = next(fresh)
+        got.append([r["_ord"] for r in df.collect()])
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+    assert got == [[1, 2], [3], [4]] and max(sizes) < 2 * min(sizes)
+
+
+def test_folder_writers(spark, tmp_path):
+    df = frame_of(spark, ITEMS)
+    export.write_json(df, f"{tmp_path}/j")
+    export.write_jsonld(df, f"{tmp_path}/l")
+    assert sorted(str(r["url"]) for r in spark.read.json(f"{tmp_path}/j").collect()) == ["None", "https://a.com/1"]
+    lines = [json.loads(r[0]) for r in spark.read.text(f"{tmp_path}/l").collect()]
+    assert sorted(x.get("headline", "") for x in lines) == ["", 'A, "q"'] and {x["@type"] for x in lines} == {"NewsArticle"}
