@@ -36,8 +36,18 @@ SEGMENT_BYTES = 4 << 20
 RANGE_KEYS, FAN = 1_500_000, 512
 U = np.uint64
 _CODEC = pa.Codec("zstd", compression_level=1)
-MANIFEST = T.StructType([T.StructField("seg", T.LongType()), T.StructField("path", T.StringType()), T.StructField("docs", T.LongType()), T.StructField("words", T.LongType())])
-_SENT = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("seg", T.LongType()), T.StructField("blob", T.BinaryType())])
+MANIFEST = T.StructType(
+    [
+        T.StructField("seg", T.LongType()), T.StructField("path", T.StringType()),
+        T.StructField("docs", T.LongType()), T.StructField("words", T.LongType())
+    ]
+)
+_SENT = T.StructType(
+    [
+        T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()),
+        T.StructField("seg", T.LongType()), T.StructField("blob", T.BinaryType())
+    ]
+)
 
 
 @dataclass
@@ -74,7 +84,10 @@ def stage(docs: DataFrame, columns: list[str], text: str, name: str, segment_byt
         def close() -> pa.RecordBatch:
             to.close()
             sink.close()
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + n]), pa.array([f"{folder}/segments/{stem}-{n:06d}.arrow"]), pa.array([rows]), pa.array([words])], schema=manifest_schema)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 24) + n]), pa.array([f"{folder}/segments/{stem}-{n:06d}.arrow"]), pa.array([rows]), pa.array([words])],
+                schema=manifest_schema
+            )
 
         for batch in batches:
             for a, e in blocks(batch.column(0)):
@@ -105,7 +118,12 @@ def read(path: str) -> Iterator[pa.RecordBatch]:
         yield from stream
 
 
-def map_segments(segments: Segments, fn: Callable[[int, str, dict[int, list[bytes]]], Iterator[pa.RecordBatch]], schema: T.StructType, replies: dict[int, DataFrame] | None = None) -> DataFrame:
+def map_segments(
+    segments: Segments,
+    fn: Callable[[int, str, dict[int, list[bytes]]], Iterator[pa.RecordBatch]],
+    schema: T.StructType,
+    replies: dict[int, DataFrame] | None = None
+) -> DataFrame:
     """``fn(seg, path, replies)`` for each segment, one task group each.  ``replies`` by
     kind are those of exchanges, in bucket order."""
     columns = ["seg", "path", "kind", "bucket", "blob"]
@@ -187,7 +205,9 @@ def encode(place: np.ndarray, counts: np.ndarray, check: np.ndarray | None, bits
     most = int(counts.max(initial=0))
     wide = 0 if most == 1 and counts.min() == 1 else max(1, -(-most.bit_length() // 8))
     body = _planes(delta, width) + (_planes(counts, wide) if wide else b"") + (check.astype("<u4").tobytes() if check is not None else b"")
-    return struct.pack("<IBBB", len(place), width, wide, check is not None) + struct.pack("<BI", 64 - bits, len(body)) + _CODEC.compress(body, asbytes=True)
+    return struct.pack(
+        "<IBBB", len(place), width, wide, check is not None
+    ) + struct.pack("<BI", 64 - bits, len(body)) + _CODEC.compress(body, asbytes=True)
 
 
 def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +243,13 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 def _cut(kind: int, n: int, base: int, sender: int, place: np.ndarray, counts: np.ndarray, check: np.ndarray | None, bits: int) -> pa.RecordBatch:
     which, inner = range_of(place, n)
     ends = np.searchsorted(which, np.arange(n + 1)).tolist()
-    return _rows([(kind, base + k, sender, encode(inner[s:e], counts[s:e], None if check is None else check[s:e], bits)) for k, (s, e) in enumerate(zip(ends, ends[1:], strict=False)) if e > s])
+    return _rows(
+        [
+            (kind, base + k, sender, encode(inner[s:e], counts[s:e], None if check is None else check[s:e], bits))
+            for k, (s, e) in enumerate(zip(ends, ends[1:], strict=False))
+            if e > s
+        ]
+    )
 
 
 def sent(seg: int, kind: int, ranges: Ranges, hashes: np.ndarray, counts: np.ndarray, check: np.ndarray | None = None) -> pa.RecordBatch:
@@ -312,8 +338,14 @@ def _tree(rows: DataFrame, kind: int, senders: int, ranges: Ranges, final: Final
         return done
 
     asked = written(grouped_rows.groupBy("bucket", "grp").applyInArrow(up, _SENT), f"{folder}/up-{first}")
-    replies = written(_tree(asked, kind, groups, Ranges((first * second, *ranges.splits[2:]), ranges.bits), final, folder, fan), f"{folder}/down-{first}")
-    back = replies.where("seg >= 0").select("kind", F.expr(f"cast(bucket div {second} as int)").alias("bucket"), F.col("bucket").cast("long").alias("seg"), "blob", F.col("seg").alias("grp"), F.lit(True).alias("answer"))
+    replies = written(
+        _tree(asked, kind, groups, Ranges((first * second, *ranges.splits[2:]), ranges.bits), final, folder, fan),
+        f"{folder}/down-{first}"
+    )
+    back = replies.where("seg >= 0").select(
+        "kind", F.expr(f"cast(bucket div {second} as int)").alias("bucket"),
+        F.col("bucket").cast("long").alias("seg"), "blob", F.col("seg").alias("grp"), F.lit(True).alias("answer")
+    )
 
     def down(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -326,7 +358,9 @@ def _tree(rows: DataFrame, kind: int, senders: int, ranges: Ranges, final: Final
         size = blobs[at[0]].as_buffer().to_pybytes()[4]
         reply = unpacked([blobs[i].as_buffer().to_pybytes() for i in at], f"<u{size}")
         _, _, _, group, cut = _merged([blobs[i].as_buffer().to_pybytes() for i in mine])
-        done = pa.Table.from_batches([_rows([(kind, bucket, segs[i], packed(reply[group[a:e]])) for i, a, e in zip(mine, cut, cut[1:], strict=False)])])
+        done = pa.Table.from_batches(
+            [_rows([(kind, bucket, segs[i], packed(reply[group[a:e]])) for i, a, e in zip(mine, cut, cut[1:], strict=False)])]
+        )
         trim()
         return done
 

@@ -61,7 +61,15 @@ def word_spread(b: TextBlock) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(t[head], minlength=b.n), top
 
 
-def map_texts(docs: DataFrame, text: str, keep: list[str], new: T.StructType, fn: Callable[[TextBlock], dict[str, np.ndarray]], where: Callable[[dict], np.ndarray] | None = None, lower: bool = False) -> DataFrame:
+def map_texts(
+    docs: DataFrame,
+    text: str,
+    keep: list[str],
+    new: T.StructType,
+    fn: Callable[[TextBlock], dict[str, np.ndarray]],
+    where: Callable[[dict], np.ndarray] | None = None,
+    lower: bool = False
+) -> DataFrame:
     """Columns ``keep`` of ``docs`` and the columns ``new`` that ``fn`` computes
     from blocks of whole texts.  A new name that clashes with a kept one gets
     underscores.  ``where`` picks the rows to return."""

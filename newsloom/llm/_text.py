@@ -202,7 +202,9 @@ class TextBlock:
     def dup_lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Per text: lines with a word, and those equal to an earlier line."""
         inner = self.off[1:-1]
-        cut = np.unique(np.concatenate([np.flatnonzero(self.data == 10), inner - 1, [len(self.data) - 1]])) if len(self.data) else np.empty(0, np.int64)
+        cut = np.unique(
+            np.concatenate([np.flatnonzero(self.data == 10), inner - 1, [len(self.data) - 1]])
+        ) if len(self.data) else np.empty(0, np.int64)
         cut = cut[cut >= 0]
         ends = cut + 1
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends

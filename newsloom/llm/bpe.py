@@ -181,10 +181,19 @@ def encoder(path: str, pattern: str) -> ByteBPE:
     return _ENCODERS[path, pattern]
 
 
-SCHEMA = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-
-
-def encode_texts(docs: DataFrame, text: str = "text", keep: list[str] | None = None, ranks: str | None = None, pattern: str | None = None, digest: bool = False) -> DataFrame:
+SCHEMA = T.StructType(
+    [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+)
+
+
+def encode_texts(
+    docs: DataFrame,
+    text: str = "text",
+    keep: list[str] | None = None,
+    ranks: str | None = None,
+    pattern: str | None = None,
+    digest: bool = False
+) -> DataFrame:
     """``keep`` (default: all columns) with ``ids`` (array<int>), or with
     ``digest`` the digests of the ids and of the bytes they decode to."""
     path, pattern = ranks or default_file(), pattern or default_pattern()
@@ -196,7 +205,12 @@ def encode_texts(docs: DataFrame, text: str = "text", keep: list[str] | None = N
         if not digest:
             import pyarrow as pa
 
-            return {"ids": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.concatenate([*got, np.empty(0)]).astype(np.int32))}
+            return {
+                "ids": pa.ListArray.from_arrays(
+                    np.concatenate([[0], np.cumsum(n)]).astype(np.int32),
+                    np.concatenate([*got, np.empty(0)]).astype(np.int32)
+                )
+            }
         ids_sha, text_sha, digits = [], [], bpe.digits
         for x in got:
             ids = x.tolist()

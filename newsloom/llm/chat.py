@@ -47,7 +47,9 @@ def turns_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tu
     c = conversations
     one = F.struct(c[turn].alias("n"), F.coalesce(c[role], F.lit("unknown")).alias("role"), F.coalesce(c[text], F.lit("")).alias("text"))
     ordered = F.array_sort(F.collect_list("one"))
-    return c.select(c[conv_id].alias("conv_id"), one.alias("one")).groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"], t["text"])).cast(f"array<{_TURN}>").alias("turns"))
+    return c.select(c[conv_id].alias("conv_id"), one.alias("one")).groupBy("conv_id").agg(
+        F.transform(ordered, lambda t: F.struct(t["role"], t["text"])).cast(f"array<{_TURN}>").alias("turns")
+    )
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -135,14 +135,25 @@ def fit(rows: DataFrame, features_: str, label: str, shrinkage: float = SHRINKAG
                 s[0] += len(z)
                 s[1] += z.sum(axis=0)
                 s[2] += z.T @ z
-        yield pa.RecordBatch.from_pydict({"c": [*sums], "s": [[s[0], *s[1], *s[2].ravel()] for s in sums.values()]}, schema=pa.schema([("c", pa.int32()), ("s", pa.list_(pa.float64()))]))
+        yield pa.RecordBatch.from_pydict(
+            {"c": [*sums], "s": [[s[0], *s[1], *s[2].ravel()] for s in sums.values()]},
+            schema=pa.schema([("c", pa.int32()), ("s", pa.list_(pa.float64()))])
+        )
 
     parts = rows.where(F.col(label).isin(0, 1)).select(features_, F.col(label).cast("int").alias("c")).mapInArrow(partial, "c int, s array<double>")
     got = parts.groupBy("c").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(1 + size + size * size)]).collect()
     return Model.fit({r["c"]: (r[1], np.array(r[2 : 2 + size]), np.array(r[2 + size :]).reshape(size, size)) for r in got}, shrinkage)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def quality_classifier(
+    docs: DataFrame,
+    labels: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    label: str = "quality",
+    keep: list[str] | None = None,
+    threshold: float = THRESHOLD
+) -> DataFrame:
     """``keep`` (default: all columns) with held_out, score and predicted.
 
     Statistics are computed once and written to the shared folder without the

@@ -61,7 +61,11 @@ BITS, PROBES, NAME_BITS = 14, 6, 32
 BROADCAST_BYTES = 64 << 20
 #: Kinds of exchange rows: n for n-grams, totals; a shard's kind is 10 + n.
 TOTALS = 100
-SCHEMA = [T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
+SCHEMA = [
+    T.StructField("held_out", T.BooleanType()),
+    *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
+    T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())
+]
 
 
 class Tokens:
@@ -211,7 +215,14 @@ def _shard(place: np.ndarray, counts: np.ndarray, n: int, reply: bool, bits: int
     return table.probe(place, np.zeros(len(place), np.int64), np.full(len(place), len(shard))).astype(np.uint8), []
 
 
-def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES, exclude_self: bool = True, bits: int = BITS) -> DataFrame:
+def lm_scores(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    broadcast_bytes: int = BROADCAST_BYTES,
+    exclude_self: bool = True,
+    bits: int = BITS
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     base = docs.select(docs[text].alias("t"), docs[doc_id].alias("doc_id"))
@@ -277,7 +288,10 @@ def lm_scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broad
             history = np.concatenate([[0.0], c[:-1]])
         total = [np.add.reduceat(x, first) for x in (base, np.log10(p))]
         columns = [pa.chunked_array(ids).combine_chunks(), held_out, size, known, np.full(len(size), n_train), *total]
-        yield pa.RecordBatch.from_arrays([(c if isinstance(c, pa.Array) else pa.array(c)).cast(arrow.field(k).type) for k, c in enumerate(columns)], schema=arrow)
+        yield pa.RecordBatch.from_arrays(
+            [(c if isinstance(c, pa.Array) else pa.array(c)).cast(arrow.field(k).type) for k, c in enumerate(columns)],
+            schema=arrow
+        )
 
     return G.map_segments(segments, score, schema, {n: counted for n in ORDERS})
 

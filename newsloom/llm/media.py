@@ -57,7 +57,9 @@ def png(payload: bytes, n_bytes: int) -> bytes:
     raw = np.zeros((rows, UNIT + 1), np.uint8)
     raw[:, 1:] = np.frombuffer(payload, np.uint8).reshape(rows, UNIT)
     head = struct.pack(">IIBBBBB", UNIT, rows, 8, 0, 0, 0, 0)
-    return _SIGN + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"n_bytes\0%d" % n_bytes) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
+    return _SIGN + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"n_bytes\0%d" % n_bytes) + _chunk(
+        b"IDAT", zlib.compress(raw.tobytes(), LEVEL)
+    ) + _chunk(b"IEND", b"")
 
 
 def png_samples(data: bytes) -> tuple[bytes, int]:
@@ -122,7 +124,9 @@ def write_archives(docs: DataFrame, folder: str, text: str = "text", key: str =
         if made:
             yield pa.RecordBatch.from_pydict({"name": [m[0] for m in made], "size": [m[1] for m in made]}, schema=out)
 
-    rows = docs.select(docs[key].cast("string").alias("k"), docs[text].alias("t")).mapInArrow(run, "name string, size long").collect()  # a row for each archive
+    rows = docs.select(
+        docs[key].cast("string").alias("k"), docs[text].alias("t")
+    ).mapInArrow(run, "name string, size long").collect()  # a row for each archive
     fs, inner = open_fs(folder)
     fs.create_dir(inner, recursive=True)
     with fs.open_output_stream(f"{inner}/{_MANIFEST}") as f:
@@ -224,7 +228,15 @@ def histogram(samples: bytes) -> str:
 
 
 _L, _S = T.LongType(), T.StringType()
-DIGEST = T.StructType([T.StructField(c, t) for c, t in (("n_bytes", _L), ("payload_bytes", _L), ("payload_sha256", _S), ("tail_crc32", _L), ("media_bytes", _L), ("media_sha256", _S), ("feature", _S))])
+DIGEST = T.StructType(
+    [
+        T.StructField(c, t)
+        for c, t in (
+            ("n_bytes", _L), ("payload_bytes", _L), ("payload_sha256", _S), ("tail_crc32", _L), ("media_bytes", _L),
+            ("media_sha256", _S), ("feature", _S)
+        )
+    ]
+)
 
 
 def digest(media: pa.Array) -> pa.Array:
@@ -233,7 +245,12 @@ def digest(media: pa.Array) -> pa.Array:
     for m in media:
         data = m.as_buffer().to_pybytes()
         samples, n = png_samples(data)
-        rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), histogram(samples)))
+        rows.append(
+            (
+                n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(data),
+                hashlib.sha256(data).hexdigest(), histogram(samples)
+            )
+        )
     fields = to_arrow_schema(DIGEST)
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], [f.name for f in fields])
 
@@ -248,4 +265,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = run_dir(spark, "media")
     write_archives(docs, folder)
     figures = F.arrow_udf(digest, DIGEST)
-    return read_media(spark, folder).select(F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"), figures("media").alias("d")).select("doc_id", "d.*")
+    return read_media(spark, folder).select(
+        F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"), figures("media").alias("d")
+    ).select("doc_id", "d.*")

@@ -141,20 +141,31 @@ def _docs_of(exchanged: DataFrame) -> DataFrame:
         for batch in batches:
             for x in batch.column(0):
                 d = np.frombuffer(x.as_buffer(), _DOC)
-                yield pa.RecordBatch.from_arrays([pa.array(d["ref"]), pa.array(d["id"], mask=d["has"] == 0), pa.array(d["n"]), pa.array(d["s1"]), pa.array(d["s2"])], schema=arrow)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d["ref"]), pa.array(d["id"], mask=d["has"] == 0), pa.array(d["n"]), pa.array(d["s1"]), pa.array(d["s2"])],
+                    schema=arrow
+                )
 
     return exchanged.where(F.col("kind") == 2).select("blob").mapInArrow(run, schema)
 
 
 def _requests(refs: DataFrame, kind: int) -> DataFrame:
     """The rows asked of each segment, as a reply blob; refs are distinct."""
-    schema = T.StructType([T.StructField("seg", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    schema = T.StructType(
+        [
+            T.StructField("seg", T.LongType()), T.StructField("kind", T.IntegerType()),
+            T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())
+        ]
+    )
     arrow = to_arrow_schema(schema)
 
     def run(table: pa.Table) -> pa.Table:
         ref = np.sort(table.column("ref").to_numpy())
         rows = (ref & ((1 << _ROW_BITS) - 1)).astype(np.int32)
-        return pa.Table.from_arrays([pa.array([int(ref[0] >> _ROW_BITS)]), pa.array([kind], pa.int32()), pa.array([0], pa.int32()), pa.array([rows.tobytes()], pa.binary())], schema=arrow)
+        return pa.Table.from_arrays(
+            [pa.array([int(ref[0] >> _ROW_BITS)]), pa.array([kind], pa.int32()), pa.array([0], pa.int32()), pa.array([rows.tobytes()], pa.binary())],
+            schema=arrow
+        )
 
     return refs.select("ref", F.shiftright("ref", _ROW_BITS).alias("seg")).groupBy("seg").applyInArrow(run, schema)
 
@@ -196,7 +207,15 @@ def _level(place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list]:
     return np.minimum(255, np.floor(8 * np.log2(counts))).astype(np.uint8), []
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, k: int = K, block: int = BLOCK) -> tuple[DataFrame, G.Segments]:
+def near_duplicates(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    k: int = K,
+    block: int = BLOCK
+) -> tuple[DataFrame, G.Segments]:
     """A row per document: ref, doc_id, n_shingles, component_id, kept, first (one true
     per component, a true one always of the smallest id).  ``docs`` columns are in the
     segments, in ref order."""
@@ -274,7 +293,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 fs.create_dir(inner, recursive=True)
                 sink = fs.open_output_stream(f"{inner}/{file.rpartition('/')[2]}")
             sink.write(whole.tobytes())
-            out.append(((seg << _ROW_BITS) + r, int(n[r]), int(100 * level[s:e].mean()), short(whole).tobytes(), file, written_, value[s:e][use[s:e]].astype(np.int64)))
+            out.append(
+                (
+                    (seg << _ROW_BITS) + r, int(n[r]), int(100 * level[s:e].mean()), short(whole).tobytes(), file,
+                    written_, value[s:e][use[s:e]].astype(np.int64)
+                )
+            )
             written_ += len(whole)
         if sink is not None:
             sink.close()
@@ -286,14 +310,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     # back to documents: by class, then by component
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("component"))
-    placed = rows.join(of_class, ["s1", "s2", "n"], "left").select("ref", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "ref").alias("component"))
+    placed = rows.join(of_class, ["s1", "s2", "n"], "left").select(
+        "ref", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "ref").alias("component")
+    )
     best = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref")).alias("best"))
-    out = placed.join(best, "component").select("ref", "doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"), (F.col("ref") == F.col("best.ref")).alias("first"))
+    out = placed.join(best, "component").select(
+        "ref", "doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"),
+        F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"),
+        (F.col("ref") == F.col("best.ref")).alias("first")
+    )
     return out, segments
 
 
 #: A document in a block: its sketch, and where its whole set is.
-_NODE = [T.StructField("ref", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("file", T.StringType()), T.StructField("at", T.LongType())]
+_NODE = [
+    T.StructField("ref", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.LongType()),
+    T.StructField("sketch", T.BinaryType()), T.StructField("file", T.StringType()), T.StructField("at", T.LongType())
+]
 
 
 def short(values: np.ndarray) -> np.ndarray:
@@ -449,7 +482,10 @@ def _linked(spark: SparkSession, indexed: DataFrame, folder: str, percent: int,
     lists = parts.groupBy("v").agg(F.sum("k").alias("size")).where("size > 1")
     parts = written(parts.join(lists, "v").select("v", "s", "size"), f"{folder}/lists")
     entries = written(entries.join(parts, ["v", "s"]), f"{folder}/entries")
-    homes = entries.groupBy("ref").agg(F.max(F.struct("size", "v")).alias("top")).select("ref", F.xxhash64("top.v", F.pmod(F.xxhash64("ref", F.lit(2)), F.ceil(F.col("top.size") / block))).alias("home"))
+    homes = entries.groupBy("ref").agg(F.max(F.struct("size", "v")).alias("top")).select(
+        "ref",
+        F.xxhash64("top.v", F.pmod(F.xxhash64("ref", F.lit(2)), F.ceil(F.col("top.size") / block))).alias("home")
+    )
     nodes = written(indexed.drop("values").join(homes, "ref"), f"{folder}/nodes")
     homes = nodes.select("ref", "home")
     n_nodes, longest = nodes.count(), parts.agg(F.max("size")).first()[0] or 0
@@ -461,10 +497,14 @@ def _linked(spark: SparkSession, indexed: DataFrame, folder: str, percent: int,
         of = F.coalesce("label", "ref").alias("component")
         members = entries if last else entries.where(F.col("size") > block)
         members = written(members.join(homes, "ref").join(placed, "ref", "left").select("v", "s", "ref", "w", "home", of), f"{here}/members")
-        main = members.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("v", "main")
+        main = members.groupBy("v", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(
+            F.max(F.struct("k", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("several")
+        ).where("several > 1").select("v", "main")
         at = members.groupBy("v", "home").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         # lists with members in the same homes are one ``way``; should two ways' hashes meet, each has both's homes
-        ways = at.groupBy("v").agg(F.bit_xor(F.xxhash64("home", "low", "high")).alias("way"), F.count(F.lit(1)).alias("homes")).where(F.col("homes") > int(last)).select("v", "way")
+        ways = at.groupBy("v").agg(
+            F.bit_xor(F.xxhash64("home", "low", "high")).alias("way"), F.count(F.lit(1)).alias("homes")
+        ).where(F.col("homes") > int(last)).select("v", "way")
         at = at.join(ways, "v").select("way", "home", "low", "high").distinct()
         spread = written(parts.select("v", "s").join(main, "v").join(ways, "v"), f"{here}/main")
         outside = members.join(spread, ["v", "s"]).where("component != main") if last or step else members.join(spread, ["v", "s"])
@@ -474,14 +514,22 @@ def _linked(spark: SparkSession, indexed: DataFrame, folder: str, percent: int,
         outside = outside.select("way", "s", "ref", "component", F.col("home").alias("own")).distinct()
         meets = outside.join(spread.select("way", "s").distinct().join(at, "way"), ["way", "s"])
         other = (F.col("low") != F.col("component")) | (F.col("high") != F.col("component"))
-        ship = meets.where(other & (F.col("home") != F.col("own")) if last else other).select("ref", "component", F.col("home").alias("block")).distinct()
+        ship = meets.where(
+            other & (F.col("home") != F.col("own")) if last else other
+        ).select("ref", "component", F.col("home").alias("block")).distinct()
         ship = written(ship, f"{here}/ship")
         slices = written(ship.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("slices")), f"{here}/slices")
         home = nodes.withColumnRenamed("home", "block").join(slices, "block", "left" if last else "inner").join(placed, "ref", "left")
         node = [f.name for f in _NODE]
-        home = home.select("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)).alias("slice"), F.lit(False).alias("came"), of, *node)
+        home = home.select(
+            "block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)).alias("slice"),
+            F.lit(False).alias("came"), of, *node
+        )
         several = slices.where("slices > 1")
-        came = ship.join(several, "block", "left").select("ref", "component", "block", F.pmod(F.xxhash64("ref", F.lit(3)), F.coalesce(F.col("slices"), F.lit(1))).cast("int").alias("slice"))
+        came = ship.join(several, "block", "left").select(
+            "ref", "component", "block",
+            F.pmod(F.xxhash64("ref", F.lit(3)), F.coalesce(F.col("slices"), F.lit(1))).cast("int").alias("slice")
+        )
         came = came.join(nodes.drop("home"), "ref").select("block", "slice", F.lit(True).alias("came"), "component", *node)
         tasks = max(1, -(-n_nodes // 256))
         units = home.unionByName(came).withColumn("unit", F.pmod(F.xxhash64("block", "slice"), F.lit(tasks)))

@@ -182,7 +182,10 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer:
         return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in found], ["sequence_id", "offset", "padded_length"])
 
     placed = F.arrow_udf(place, "sequence_id long, offset long, padded_length long")
-    ranked = pieces.join(bases, ["length", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", placed("length", F.col("local") + F.col("base")).alias("p"))
+    ranked = pieces.join(bases, ["length", "part"]).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        placed("length", F.col("local") + F.col("base")).alias("p")
+    )
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "p.*")
 
 

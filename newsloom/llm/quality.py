@@ -63,11 +63,16 @@ RULES = (
     Rule("long_words", lambda b, base: base["word_chars"] > 20 * base["n_words"]),
 )
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in FIGURES] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
+SCHEMA = T.StructType(
+    [T.StructField(c, T.LongType()) for c in FIGURES] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
+)
 
 
 def base_figures(b: TextBlock) -> dict[str, np.ndarray]:
-    out = {"n_words": b.n_words, "word_chars": S.word_chars(b), "n_symbols": S.n_symbols(b), "n_dup_lines": b.dup_lines()[1], "n_repeat_words": b.repeated(WINDOW)}
+    out = {
+        "n_words": b.n_words, "word_chars": S.word_chars(b), "n_symbols": S.n_symbols(b),
+        "n_dup_lines": b.dup_lines()[1], "n_repeat_words": b.repeated(WINDOW)
+    }
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | _over(out["n_repeat_words"], out["n_words"], REPEAT_PERCENT)
     return out
 
@@ -81,7 +86,13 @@ def pick(b: TextBlock, rows: np.ndarray) -> TextBlock:
     return out
 
 
-def cascade(b: TextBlock, base: dict[str, np.ndarray], rules: tuple[Rule, ...], spent: dict | None = None, clock: Callable[[], float] = time.perf_counter) -> np.ndarray:
+def cascade(
+    b: TextBlock,
+    base: dict[str, np.ndarray],
+    rules: tuple[Rule, ...],
+    spent: dict | None = None,
+    clock: Callable[[], float] = time.perf_counter
+) -> np.ndarray:
     """Which documents no rule rejects.  A rule runs on the survivors alone.
     ``spent`` gathers (seconds, documents seen, rejected) by rule, and then every
     rule sees every document, so that the figures don't depend on an order."""
@@ -107,7 +118,14 @@ def cascade(b: TextBlock, base: dict[str, np.ndarray], rules: tuple[Rule, ...],
 _SPENT = T.StructType([T.StructField("rule", T.StringType()), T.StructField("seconds", T.DoubleType()), T.StructField("rejected", T.LongType())])
 
 
-def ordered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, clock: Callable[[], float] = time.perf_counter) -> tuple[Rule, ...]:
+def ordered(
+    docs: DataFrame,
+    text: str = "text",
+    rules: tuple[Rule, ...] = RULES,
+    sample_rows: int = SAMPLE_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
+    clock: Callable[[], float] = time.perf_counter
+) -> tuple[Rule, ...]:
     """The rules by rejections per second.  Only a row of figures for each rule and
     sampled partition comes to the driver."""
     column = docs.select(docs[text])
@@ -131,14 +149,23 @@ def ordered(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
                     break
             if rows <= 0 or size <= 0:
                 break
-        yield pa.RecordBatch.from_pydict({"rule": [*spent], "seconds": [float(s[0]) for s in spent.values()], "rejected": [s[2] for s in spent.values()]}, schema=to_arrow_schema(_SPENT))
+        yield pa.RecordBatch.from_pydict(
+            {"rule": [*spent], "seconds": [float(s[0]) for s in spent.values()], "rejected": [s[2] for s in spent.values()]},
+            schema=to_arrow_schema(_SPENT)
+        )
 
     found = column.mapInArrow(run, _SPENT).groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()
     gain = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-12) for r in found}
     return tuple(sorted(rules, key=lambda r: -gain.get(r.name, 0.0)))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rules: tuple[Rule, ...] | None = None, only_kept: bool = False) -> DataFrame:
+def quality_rules(
+    docs: DataFrame,
+    text: str = "text",
+    keep: list[str] | None = None,
+    rules: tuple[Rule, ...] | None = None,
+    only_kept: bool = False
+) -> DataFrame:
     """Base figures and verdict of each document, beside the columns ``keep``
     (default: all).  ``only_kept`` returns just the kept documents' ``keep``."""
     keep = docs.columns if keep is None else keep

@@ -38,14 +38,28 @@ BROADCAST_FILES = 100_000
 MANIFEST = "part int, file string, docs long, tokens long"
 
 
-def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, row_group_tokens: int = ROW_GROUP_TOKENS) -> DataFrame:
+def write_tokens(
+    docs: DataFrame,
+    folder: str,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    tokenizer: str | None = None,
+    row_group_tokens: int = ROW_GROUP_TOKENS
+) -> DataFrame:
     """Write the files below ``folder``/ids and the manifest; returns the manifest
     with each file's ``base``, the ids of all files before it."""
     spark = docs.sparkSession
     small_batches(spark)
     path = tokenizer or default_file()
     id_type = docs.schema[doc_id].dataType
-    arrow = to_arrow_schema(T.StructType([T.StructField("doc_id", id_type), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    arrow = to_arrow_schema(
+        T.StructType(
+            [
+                T.StructField("doc_id", id_type), T.StructField("start", T.LongType()),
+                T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))
+            ]
+        )
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter_stage()
@@ -55,7 +69,13 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.parquet"  # an attempt's own: only the manifest says which count
         total = docs_ = 0
         held: list[pa.RecordBatch] = []
-        with fs.open_output_stream(f"{inner}/{name}") as sink, pq.ParquetWriter(sink, arrow, compression="zstd", use_dictionary=["ids.list.element"], column_encoding={"doc_id": "DELTA_BINARY_PACKED", "start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"} if isinstance(id_type, (T.LongType, T.IntegerType)) else {"start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, data_page_size=PAGE_BYTES, write_page_index=True, store_schema=False) as to:
+        with fs.open_output_stream(f"{inner}/{name}") as sink, pq.ParquetWriter(
+            sink, arrow, compression="zstd", use_dictionary=["ids.list.element"],
+            column_encoding={
+                "doc_id": "DELTA_BINARY_PACKED", "start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"
+            } if isinstance(id_type, (T.LongType, T.IntegerType)) else {"start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"},
+            data_page_size=PAGE_BYTES, write_page_index=True, store_schema=False
+        ) as to:
             waiting = 0
 
             def flush() -> None:
@@ -75,14 +95,28 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
                         take = max(int(np.searchsorted(np.cumsum(sizes[first:]), room, side="right")), 0 if waiting else 1)
                         if take:
                             s = sizes[first : first + take]
-                            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(s)]).astype(np.int32)), pa.array(np.concatenate(ids[first : first + take]).astype(np.int32)))
-                            held.append(pa.RecordBatch.from_arrays([batch.column(0).slice(a + first, take), pa.array(total + np.cumsum(s) - s), pa.array(s), lists.cast(arrow.field(3).type)], schema=arrow))
+                            lists = pa.ListArray.from_arrays(
+                                pa.array(np.concatenate([[0], np.cumsum(s)]).astype(np.int32)),
+                                pa.array(np.concatenate(ids[first : first + take]).astype(np.int32))
+                            )
+                            held.append(
+                                pa.RecordBatch.from_arrays(
+                                    [
+                                        batch.column(0).slice(a + first, take), pa.array(total + np.cumsum(s) - s),
+                                        pa.array(s), lists.cast(arrow.field(3).type)
+                                    ],
+                                    schema=arrow
+                                )
+                            )
                             total, docs_, waiting, first = total + int(s.sum()), docs_ + take, waiting + int(s.sum()), first + take
                         if first < b.n or waiting >= row_group_tokens:
                             flush()
                             waiting = 0
             flush()
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [docs_], "tokens": [total]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+        yield pa.RecordBatch.from_pydict(
+            {"part": [part], "file": [name], "docs": [docs_], "tokens": [total]},
+            schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
+        )
 
     fs_, inner_ = open_fs(f"{folder}/ids")
     fs_.create_dir(inner_, recursive=True)  # an empty table has no task that makes it
@@ -96,7 +130,13 @@ def write_tokens(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
     return spark.createDataFrame(out, MANIFEST + ", base long")
 
 
-def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids"), id_type: str = "long") -> DataFrame:
+def read_tokens(
+    spark: SparkSession,
+    folder: str,
+    manifest: DataFrame,
+    columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "ids"),
+    id_type: str = "long"
+) -> DataFrame:
     """The rows of the manifest's files (not those of attempts that failed) with ``start``
     over all files; only ``columns`` are read."""
     files = spark.read.schema(f"doc_id {id_type}, start long, n_tokens long, ids array<int>").parquet(f"{folder}/ids")
@@ -123,4 +163,6 @@ def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> Dat
     folder = run_dir(spark, "tokens")
     manifest = write_tokens(docs, folder, tokenizer=tokenizer)
     crc = F.arrow_udf(ids_crc32, T.LongType())
-    return read_tokens(spark, folder, manifest, id_type=docs.schema["doc_id"].dataType.simpleString()).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
+    return read_tokens(
+        spark, folder, manifest, id_type=docs.schema["doc_id"].dataType.simpleString()
+    ).select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
