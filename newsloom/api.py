@@ -47,7 +47,11 @@ class Newsroom:
         return None if self.pages is None else page_store(self.pages)
 
     def _run(self, rows: DataFrame, r: Any, **more: Any) -> DataFrame:
-        return run_pipeline(rows, r.max_results, r.language, search_in=r.search_in, whitelist=r.whitelist, blacklist=r.blacklist, sort_by=r.sort_by, full_content=r.full_content, store=self._store, as_of=self.as_of, redirects=self.redirects, **more)
+        return run_pipeline(
+            rows, r.max_results, r.language, search_in=r.search_in, whitelist=r.whitelist, blacklist=r.blacklist,
+            sort_by=r.sort_by, full_content=r.full_content, store=self._store, as_of=self.as_of,
+            redirects=self.redirects, **more
+        )
 
     def fetch(self, *, async_: bool = False, **request: Any) -> Any:
         """Stories of a category or location; with ``refresh_interval`` an iterator of the
@@ -57,7 +61,10 @@ class Newsroom:
 
     def search(self, query: str, *, async_: bool = False, **request: Any) -> Any:
         r = SearchRequest(query=query, **request)
-        plan = lambda: self._run(feeds.search_raw(self.spark, r, self.transport, self.redirects), r, query=r.query, query_mode=r.query_mode, exclude_terms=r.exclude_terms)
+        plan = lambda: self._run(
+            feeds.search_raw(self.spark, r, self.transport, self.redirects), r, query=r.query,
+            query_mode=r.query_mode, exclude_terms=r.exclude_terms
+        )
         return self._dispatch(r, plan, async_)
 
     def _dispatch(self, r: Any, plan: Callable[[], DataFrame], async_: bool) -> Any:
@@ -83,10 +90,21 @@ class Newsroom:
     stream_fetch = fetch
     stream_search = search
 
-    def search_site(self, keyword: str, domain: str, limit: int = 10, query_mode: str = "any", language: str | None = None, full_content: bool = False) -> DataFrame:
+    def search_site(
+        self,
+        keyword: str,
+        domain: str,
+        limit: int = 10,
+        query_mode: str = "any",
+        language: str | None = None,
+        full_content: bool = False
+    ) -> DataFrame:
         wide = SearchRequest(query=keyword, max_results=limit * 2, query_mode=query_mode, language=language)
         rows = feeds.search_raw(self.spark, wide, self.transport, self.redirects, site=domain)
-        return run_pipeline(rows, limit, language, query=keyword, query_mode=query_mode, full_content=full_content, store=self._store, as_of=self.as_of)
+        return run_pipeline(
+            rows, limit, language, query=keyword, query_mode=query_mode, full_content=full_content, store=self._store,
+            as_of=self.as_of
+        )
 
     def from_rss(self, feed_url: str, limit: int = 20) -> DataFrame:
         return feeds.from_rss(self.spark, feed_url, self.transport, limit, self.redirects)
@@ -100,7 +118,16 @@ class Newsroom:
             raise ValueError("a crawl needs a page store")
         return crawl_site(self.pages, start_url, robots=self.robots, **how)
 
-    def discover_and_get(self, website_url: str, limit: int = 10, js: bool = False, max_pages: int | None = None, max_depth: int | None = None, prefer_rss: bool = True, full_content: bool = False) -> DataFrame:
+    def discover_and_get(
+        self,
+        website_url: str,
+        limit: int = 10,
+        js: bool = False,
+        max_pages: int | None = None,
+        max_depth: int | None = None,
+        prefer_rss: bool = True,
+        full_content: bool = False
+    ) -> DataFrame:
         """The site's feed if it has one with entries, else a crawl."""
         if prefer_rss and (feed := self.discover_rss_feed(website_url)):
             rows = self.from_rss(feed, limit * 3)
@@ -160,9 +187,13 @@ def tools(room: Newsroom) -> dict[str, Callable[..., Any]]:
         "search_site_news": lambda keyword, domain, **how: rows_of(room.search_site(keyword, domain, **how)),
         "discover_site_news": lambda url, **how: rows_of(room.discover_and_get(url, **how)),
         "summarize_articles": lambda urls, **how: rows_of(room.batch_summarize(urls, **how)),
-        "summarize_text_content": lambda text, sentence_count=3: S.summarize(spark.createDataFrame([(0, text)], "_ord long, text string"), sentence_count=sentence_count).first()["summary"],
+        "summarize_text_content": lambda text, sentence_count=3: S.summarize(
+            spark.createDataFrame([(0, text)], "_ord long, text string"), sentence_count=sentence_count
+        ).first()["summary"],
         "filter_news": lambda items, **how: rows_of(filter_articles(frame_of(spark, items), **how)),
         "rank_news": lambda items, query, **how: [r.asDict(True) for r in rank_articles(frame_of(spark, items), query, **how).collect()],
-        "cluster_news": lambda items, threshold=0.72, **how: rows_of(cluster_articles(frame_of(spark, items), threshold, as_of=room.as_of, **how), "id"),
+        "cluster_news": lambda items, threshold=0.72, **how: rows_of(
+            cluster_articles(frame_of(spark, items), threshold, as_of=room.as_of, **how), "id"
+        ),
         "export_news": lambda items, format="json", **how: EXPORTERS[format](frame_of(spark, items), **how),
     }

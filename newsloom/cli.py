@@ -102,7 +102,10 @@ def post_process(df: DataFrame, args: argparse.Namespace) -> DataFrame:
 
 def emit(df: DataFrame, args: argparse.Namespace, out: Any = None) -> None:
     out = out or sys.stdout
-    for kind, write in (("md", export.to_markdown), ("json", export.to_json), ("jsonld", export.to_jsonld), ("csv", export.to_csv), ("txt", export.to_text)):
+    for kind, write in (
+        ("md", export.to_markdown), ("json", export.to_json), ("jsonld", export.to_jsonld), ("csv", export.to_csv),
+        ("txt", export.to_text)
+    ):
         if path := getattr(args, f"export_{kind}"):
             write(df, path)
     rows = rows_of(df, export.order_key(df))
@@ -123,13 +126,20 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     room = Newsroom(spark, transport, spark.read.parquet(args.pages) if args.pages else None)
     cmd = args.command
     if cmd in ("fetch", "search"):
-        common = {"max_results": args.limit, "language": args.language, "sort_by": args.sort, "time_limit": args.time_limit, "full_content": args.full_content, "whitelist": listed(args.whitelist), "blacklist": listed(args.blacklist)}
+        common = {
+            "max_results": args.limit, "language": args.language, "sort_by": args.sort, "time_limit": args.time_limit,
+            "full_content": args.full_content, "whitelist": listed(args.whitelist),
+            "blacklist": listed(args.blacklist)
+        }
         if args.search_in:
             common["search_in"] = listed(args.search_in)
         if cmd == "fetch":
             df = room.fetch(category=args.category, location=args.location, **common)
         else:
-            more = {"query_mode": args.mode, "exclude_terms": listed(args.exclude), "start_date": args.start_date, "end_date": args.end_date, "country": args.country}
+            more = {
+                "query_mode": args.mode, "exclude_terms": listed(args.exclude), "start_date": args.start_date,
+                "end_date": args.end_date, "country": args.country
+            }
             if args.stream:
                 for fresh in room.search(args.query, refresh_interval=args.interval, **common, **more):
                     emit(post_process(fresh, args), args)
@@ -144,7 +154,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         df = room.search_site(args.keyword, args.domain, args.limit)
     elif cmd == "cluster":
         rows = _saved(spark, args.input) if args.input else room.search(args.query or "", max_results=args.limit)
-        df = cluster_articles(rows, args.threshold, drop_singletons=args.drop_singletons, rank_query=args.rank_query, topic=args.topic, topic_mode=args.topic_mode)
+        df = cluster_articles(
+            rows, args.threshold, drop_singletons=args.drop_singletons, rank_query=args.rank_query, topic=args.topic,
+            topic_mode=args.topic_mode
+        )
         emit(df, args)
         return 0
     elif cmd == "summarize":

@@ -24,7 +24,10 @@ CSV_COLUMNS = tuple(
     "cluster_id cluster_label cluster_size cluster_score cluster_first_seen cluster_last_seen title url description summary text publish_date category language source sources authors keywords top_image images videos meta similar_articles".split()
 )
 JSON_INTERNAL = frozenset("_cluster_size _full_content_reason _full_content _field_sources _aggregator_source _tier".split())
-_STORY = {"cluster_id": "id", "cluster_label": "label", "cluster_size": "size", "cluster_score": "score", "cluster_first_seen": "first_seen", "cluster_last_seen": "last_seen"}
+_STORY = {
+    "cluster_id": "id", "cluster_label": "label", "cluster_size": "size", "cluster_score": "score",
+    "cluster_first_seen": "first_seen", "cluster_last_seen": "last_seen"
+}
 
 
 def is_clusters(df: DataFrame) -> bool:
@@ -106,19 +109,35 @@ def write_json(df: DataFrame, path: str, include_internal: bool = False) -> None
     json_items(df, include_internal).select("item").write.mode("overwrite").text(path)
 
 
-def to_json(df: DataFrame, path: str | None = None, *, envelope: bool = True, ensure_ascii: bool = False, extra_meta: dict | None = None, generated_at: dt.datetime | None = None, include_internal: bool = False, indent: int | None = 2) -> str:
+def to_json(
+    df: DataFrame,
+    path: str | None = None,
+    *,
+    envelope: bool = True,
+    ensure_ascii: bool = False,
+    extra_meta: dict | None = None,
+    generated_at: dt.datetime | None = None,
+    include_internal: bool = False,
+    indent: int | None = 2
+) -> str:
     items = [json.loads(x) for x in _collected(json_items(df, include_internal), "_key", F.col("item"))]
     kind = "clusters" if is_clusters(df) else "articles"
     payload: Any = items
     if envelope:
-        payload = {"schema_version": SCHEMA_VERSION, "generated_at": (generated_at or dt.datetime.now(dt.UTC)).isoformat(), "count": len(items), "kind": kind, kind: items, **(extra_meta or {})}
+        payload = {
+            "schema_version": SCHEMA_VERSION, "generated_at": (generated_at or dt.datetime.now(dt.UTC)).isoformat(),
+            "count": len(items), "kind": kind, kind: items, **(extra_meta or {})
+        }
     return write_output(path, json.dumps(payload, indent=indent, ensure_ascii=ensure_ascii, default=str))
 
 
 def read_json_export(spark, path: str) -> DataFrame:
     """Rows of a JSON export, enveloped or bare."""
     df = spark.read.option("multiLine", True).json(path)
-    name = next((c for c in ("clusters", "articles") if c in df.columns and isinstance(df.schema[c].dataType, T.ArrayType) and "schema_version" in df.columns), None)
+    name = next(
+        (c for c in ("clusters", "articles") if c in df.columns and isinstance(df.schema[c].dataType, T.ArrayType) and "schema_version" in df.columns),
+        None
+    )
     return df.select(F.explode(name).alias("_i")).select("_i.*") if name else df
 
 
@@ -171,7 +190,11 @@ def jsonld_items(df: DataFrame) -> DataFrame:
     item = F.to_json(news_article(_item(df)))
     if is_clusters(df):
         prop = lambda n, v: F.to_json(F.struct(F.lit("PropertyValue").alias("@type"), F.lit(n).alias("name"), v.alias("value")))
-        props = [prop("clusterSize", F.col("size")), F.when(nullif_blank(F.col("label")).isNotNull(), prop("clusterLabel", F.col("label"))), F.when(F.size("sources") > 0, prop("sources", F.col("sources")))]
+        props = [
+            prop("clusterSize", F.col("size")),
+            F.when(nullif_blank(F.col("label")).isNotNull(), prop("clusterLabel", F.col("label"))),
+            F.when(F.size("sources") > 0, prop("sources", F.col("sources")))
+        ]
         props += [F.when(F.col(c).isNotNull(), prop(n, F.col(c))) for c, n in {"first_seen": "firstSeen", "last_seen": "lastSeen"}.items()]
         extra = F.concat(F.lit(',"additionalProperty":['), F.concat_ws(",", *props), F.lit("]}"))
         item = F.concat(F.substr(item, F.lit(1), F.length(item) - 1), extra)
@@ -221,28 +244,54 @@ def _markdown_block(a: _Item, heading: str, number: Column | None, options: dict
     if options["include_text"]:
         text = nullif_blank(stripped(a.text("text")))
         if limit := options["max_text_chars"]:
-            text = F.when(F.length(text) > limit, F.concat(F.regexp_replace(F.substring(text, 1, limit), rf"{SPACE}+$", ""), F.lit(" […]"))).otherwise(text)
+            text = F.when(
+                F.length(text) > limit,
+                F.concat(F.regexp_replace(F.substring(text, 1, limit), rf"{SPACE}+$", ""), F.lit(" […]"))
+            ).otherwise(text)
         parts.append(pair(text))
     parts.append(pair(F.concat(F.lit("[Read original]("), a.text("url"), F.lit(")"))))
     if similar is not None:
-        lines = F.transform(similar, lambda m: _linked(m, F.concat(F.lit(" — _"), F.coalesce(nullif_blank(m["source"]), F.lit("Unknown source")), F.lit("_"))))
+        lines = F.transform(
+            similar,
+            lambda m: _linked(m, F.concat(F.lit(" — _"), F.coalesce(nullif_blank(m["source"]), F.lit("Unknown source")), F.lit("_")))
+        )
         parts.append(F.when(F.size(similar) > 0, F.concat(F.lit("**Similar coverage:**\n\n"), F.array_join(lines, "\n"), F.lit("\n"))))
     return F.concat_ws("\n", *parts)
 
 
 def _linked(m: Column, suffix: Column) -> Column:
     title = F.coalesce(nullif_blank(m["title"]), F.lit("Untitled"))
-    return F.when(nullif_blank(m["url"]).isNotNull(), F.concat(F.lit("- ["), title, F.lit("]("), m["url"], F.lit(")"), suffix)).otherwise(F.concat(F.lit("- "), title, suffix))
-
-
-def to_markdown(df: DataFrame, path: str | None = None, *, generated_at: dt.datetime | None = None, include_all_members: bool = False, include_metadata: bool = True, include_summary: bool = True, include_text: bool = True, include_toc: bool = True, max_text_chars: int | None = 4000, title: str | None = None) -> str:
+    return F.when(
+        nullif_blank(m["url"]).isNotNull(), F.concat(F.lit("- ["), title, F.lit("]("), m["url"], F.lit(")"), suffix)
+    ).otherwise(F.concat(F.lit("- "), title, suffix))
+
+
+def to_markdown(
+    df: DataFrame,
+    path: str | None = None,
+    *,
+    generated_at: dt.datetime | None = None,
+    include_all_members: bool = False,
+    include_metadata: bool = True,
+    include_summary: bool = True,
+    include_text: bool = True,
+    include_toc: bool = True,
+    max_text_chars: int | None = 4000,
+    title: str | None = None
+) -> str:
     clusters = is_clusters(df)
-    options = {"include_text": include_text, "include_summary": include_summary, "include_metadata": include_metadata, "max_text_chars": max_text_chars}
+    options = {
+        "include_text": include_text, "include_summary": include_summary, "include_metadata": include_metadata,
+        "max_text_chars": max_text_chars
+    }
     key, a = order_key(df), _item(df)
     number = F.lit("\u0000")  # the position, filled in when the items come together
     similar = F.col("similar_articles") if "similar_articles" in df.columns and not clusters else None
     if clusters:
-        span = F.concat_ws(", ", F.concat(F.lit("first "), _shown_date(F.col("first_seen"))), F.concat(F.lit("latest "), _shown_date(F.col("last_seen"))))
+        span = F.concat_ws(
+            ", ", F.concat(F.lit("first "), _shown_date(F.col("first_seen"))),
+            F.concat(F.lit("latest "), _shown_date(F.col("last_seen")))
+        )
         parts = [
             F.concat(F.lit("## \u0000. "), F.coalesce(nullif_blank(F.col("label")), F.lit("Cluster \u0000")), F.lit("\n")),
             F.concat(F.lit("_Cluster of "), F.col("size").cast("string"), F.lit(" article(s)._\n")),
@@ -251,7 +300,10 @@ def to_markdown(df: DataFrame, path: str | None = None, *, generated_at: dt.date
             _markdown_block(a, "###", None, options, None),
         ]
         if include_all_members:
-            others = F.transform(F.slice("articles", 2, F.greatest(F.size("articles"), F.lit(1))), lambda m: _linked(m, F.coalesce(F.concat(F.lit(" — _"), nullif_blank(m["source"]), F.lit("_")), F.lit(""))))
+            others = F.transform(
+                F.slice("articles", 2, F.greatest(F.size("articles"), F.lit(1))),
+                lambda m: _linked(m, F.coalesce(F.concat(F.lit(" — _"), nullif_blank(m["source"]), F.lit("_")), F.lit("")))
+            )
             parts.append(F.when(F.col("size") > 1, F.concat(F.lit("### Other reports\n\n"), F.array_join(others, "\n"), F.lit("\n"))))
         block = F.concat_ws("\n", *parts, F.lit("---\n"))
         label = F.col("label")
@@ -259,10 +311,15 @@ def to_markdown(df: DataFrame, path: str | None = None, *, generated_at: dt.date
         block = F.concat(_markdown_block(a, "##", number, options, similar), F.lit("\n---\n"))
         label = a.text("title") if "title" in a.names else F.lit(None).cast("string")
     labels = F.coalesce(nullif_blank(label), F.lit("Item \u0000"))
-    rendered = df.select(F.col(key).alias("_key"), block.alias("b"), labels.alias("l"), slug(F.concat(F.lit("0. "), labels)).alias("s")).orderBy("_key").collect()
+    rendered = df.select(
+        F.col(key).alias("_key"), block.alias("b"), labels.alias("l"), slug(F.concat(F.lit("0. "), labels)).alias("s")
+    ).orderBy("_key").collect()
     now = generated_at or dt.datetime.now(dt.UTC)
     unit = "cluster(s)" if clusters else "article(s)"
-    out = [f"# {title or ('News Clusters' if clusters else 'News Export')}", "", f"_Generated: {now:%Y-%m-%d %H:%M} UTC — {len(rendered)} {unit}_", ""]
+    out = [
+        f"# {title or ('News Clusters' if clusters else 'News Export')}", "",
+        f"_Generated: {now:%Y-%m-%d %H:%M} UTC — {len(rendered)} {unit}_", ""
+    ]
     if not rendered:
         return write_output(path, "\n".join([*out, "_No items._"]))
     if include_toc and len(rendered) > 1:
@@ -278,14 +335,27 @@ def to_markdown(df: DataFrame, path: str | None = None, *, generated_at: dt.date
 
 def _text_block(a: _Item, include_text: bool, limit: int | None, similar: Column | None) -> Column:
     line = lambda label, v: F.concat(F.lit(label + ": "), v)
-    parts = [line("Title", F.coalesce(a.text("title"), F.lit("Untitled"))), line("URL", a.text("url")), line("Published", F.coalesce(a.text("publish_date"), a.text("published"))), line("Source", a.text("source")), line("Category", a.text("category"))]
+    parts = [
+        line("Title", F.coalesce(a.text("title"), F.lit("Untitled"))), line("URL", a.text("url")),
+        line("Published", F.coalesce(a.text("publish_date"), a.text("published"))), line("Source", a.text("source")),
+        line("Category", a.text("category"))
+    ]
     parts += [line(label, a.joined(c)) for label, c in (("Sources", "sources"), ("Authors", "authors"), ("Keywords", "keywords"))]
     parts.append(line("Description", a.text("description")))
     if include_text:
         body = stripped(a.text("text"))
         parts.append(F.concat(F.lit("Article text:\n"), body if limit is None else F.substring(body, 1, limit)))
     if similar is not None:
-        rows = F.transform(similar, lambda m: F.concat(F.lit("- "), F.concat_ws(" | ", F.coalesce(nullif_blank(m["title"]), F.lit("Untitled")), line("source", nullif_blank(m["source"])), line("url", nullif_blank(m["url"])))))
+        rows = F.transform(
+            similar,
+            lambda m: F.concat(
+                F.lit("- "),
+                F.concat_ws(
+                    " | ", F.coalesce(nullif_blank(m["title"]), F.lit("Untitled")),
+                    line("source", nullif_blank(m["source"])), line("url", nullif_blank(m["url"]))
+                )
+            )
+        )
         parts.append(F.when(F.size(similar) > 0, F.concat(F.lit("Related coverage:\n"), F.array_join(rows, "\n"))))
     return F.concat_ws("\n", *parts)
 

@@ -36,8 +36,14 @@ def parse_rfc822(c: Column) -> Column:
     zones = F.create_map(*[F.lit(x) for k, v in ZONES.items() for x in (k, v)])
     sign = F.when(F.substring(g(7), 1, 1) == "-", -1).otherwise(1)
     digits = F.regexp_extract(g(7), r"[+-](\d{2})(\d{2})", 1), F.regexp_extract(g(7), r"[+-](\d{2})(\d{2})", 2)
-    offset = F.when(digits[0] != "", sign * (F.try_to_number(digits[0], F.lit("99")) * 60 + F.try_to_number(digits[1], F.lit("99")))).otherwise(F.coalesce(F.try_element_at(zones, F.upper(g(7))), F.lit(0)))
-    text = F.format_string("%s-%02d-%s %s:%s:%s", g(3), month.cast("int"), F.lpad(g(1), 2, "0"), F.lpad(g(4), 2, "0"), g(5), F.when(g(6) == "", "00").otherwise(g(6)))
+    offset = F.when(
+        digits[0] != "",
+        sign * (F.try_to_number(digits[0], F.lit("99")) * 60 + F.try_to_number(digits[1], F.lit("99")))
+    ).otherwise(F.coalesce(F.try_element_at(zones, F.upper(g(7))), F.lit(0)))
+    text = F.format_string(
+        "%s-%02d-%s %s:%s:%s", g(3), month.cast("int"), F.lpad(g(1), 2, "0"), F.lpad(g(4), 2, "0"), g(5),
+        F.when(g(6) == "", "00").otherwise(g(6))
+    )
     local = F.when((g(1) != "") & (month > 0), F.try_to_timestamp(text))
     return F.timestamp_micros(F.unix_micros(local) - offset.cast("long") * 60_000_000)
 

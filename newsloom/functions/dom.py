@@ -9,9 +9,17 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_LINKS = {"a": "href", "link": "href", "area": "href", "img": "src", "iframe": "src", "video": "src", "source": "src", "script": "src", "form": "action"}
+_BLOCKS = frozenset(
+    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+)
+_CLOSES = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
+    "th": {"td", "th"}, "option": {"option"}
+}
+_LINKS = {
+    "a": "href", "link": "href", "area": "href", "img": "src", "iframe": "src", "video": "src", "source": "src",
+    "script": "src", "form": "action"
+}
 
 
 class Node:

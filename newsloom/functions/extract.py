@@ -32,8 +32,14 @@ EXTRACTED = T.StructType(
     + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("authors", "images", "videos")]
     + [T.StructField("meta", META), T.StructField("_field_sources", T.MapType(T.StringType(), T.StringType()))]
 )
-_JUNK = re.compile(r"^data:|[/](?:favicon)|sprite|1x1|avatar|placeholder|badge|social[-_]share|(?:icon|logo)[-_.]|(?:blank|pixel|spacer)\.(?:png|gif)", re.I)
-_ROLE = re.compile(r"\s*[-,|(]\s*(?:contributor|columnist|correspondent|editor|opinion|published.*|reporter|special to.*|staff writer|updated.*)\s*$", re.I)
+_JUNK = re.compile(
+    r"^data:|[/](?:favicon)|sprite|1x1|avatar|placeholder|badge|social[-_]share|(?:icon|logo)[-_.]|(?:blank|pixel|spacer)\.(?:png|gif)",
+    re.I
+)
+_ROLE = re.compile(
+    r"\s*[-,|(]\s*(?:contributor|columnist|correspondent|editor|opinion|published.*|reporter|special to.*|staff writer|updated.*)\s*$",
+    re.I
+)
 _VIDEO_HOSTS = ("youtube.com", "youtu.be", "vimeo.com", "dailymotion.com")
 
 
@@ -135,7 +141,11 @@ class StructuredData(Strategy):
         text = lambda k: ld[k].strip() if isinstance(ld.get(k), str) else ""
         images = unique(absolute(u, url) for u in _named(ld.get("image"), "url"))
         section, publisher, video = ld.get("articleSection"), ld.get("publisher"), ld.get("video")
-        videos = [next((v[k] for k in ("contentUrl", "embedUrl") if v.get(k)), None) for v in (video if isinstance(video, list) else [video]) if isinstance(v, dict)]
+        videos = [
+            next(
+                (v[k] for k in ("contentUrl", "embedUrl") if v.get(k)), None
+            ) for v in (video if isinstance(video, list) else [video]) if isinstance(v, dict)
+        ]
         dates = (parse_date(ld[k], True) for k in ("datePublished", "dateCreated", "dateModified") if ld.get(k))
         return {
             "title": text("headline") or text("name"),
@@ -230,7 +240,11 @@ class PageText(Strategy):
     def body(self, doc: Node, top: Node | None) -> tuple[str, Node | None]:
         if top is not None:
             least = 0.3 * self.score(top)
-            lead = [p for sib in top.before() for p in ([sib] if sib.tag == "p" else sib.below("p") if sib.tag in ("div", "section") else []) if self.score(p) > least]
+            lead = [
+                p for sib in top.before() for p in (
+                    [sib] if sib.tag == "p" else sib.below("p") if sib.tag in ("div", "section") else []
+                ) if self.score(p) > least
+            ]
             own = [n for n in top.walk(self.CHROME) if n.tag == "p"]
             parts = [p.text().strip() for p in lead] + [p.text(self.CHROME).strip() for p in own]
             text = " ".join(p for p in parts if p)
@@ -245,7 +259,10 @@ class PageText(Strategy):
     def extract(self, doc: Node, url: str | None, needed: set[str]) -> dict[str, Any]:
         best = self.best(doc)
         text, top = self.body(doc, best) if "text" in needed else ("", None)
-        out: dict[str, Any] = {"text": text, "title": self.title(doc), "authors": self.authors(doc), "publish_date": self.date(doc, url), "language": spoken(doc)[:2]}
+        out: dict[str, Any] = {
+            "text": text, "title": self.title(doc), "authors": self.authors(doc), "publish_date": self.date(doc, url),
+            "language": spoken(doc)[:2]
+        }
         paragraph = (top or best).first("p") if (top or best) else None
         lead = paragraph.text().strip() if paragraph else ""
         out["description"] = lead[:300] if len(lead) > 40 else ""

@@ -10,10 +10,16 @@ from newsloom.functions.text import title_case
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 #: Query parameters that say where a click came from, not which page it is.
-TRACKING = frozenset(("ref ref_src ito smid igshid gclid fbclid " + " ".join(f"utm_{x}" for x in ("content", "term", "campaign", "medium", "source"))).split())
+TRACKING = frozenset(
+    ("ref ref_src ito smid igshid gclid fbclid " + " ".join(f"utm_{x}" for x in ("content", "term", "campaign", "medium", "source"))).split()
+)
 _ID_KEYS = "aid nid newsid story article page_id p".split()
-AGGREGATOR_NAMES = frozenset(x.strip() for x in "smartnews|newsbreak|news break|flipboard|msn news|msn|yahoo news|reuters|associated press|ap news|google news".split("|"))
-AGGREGATOR_HOSTS = dict(x.split("=") for x in "smartnews.com=SmartNews|newsbreak.com=NewsBreak|flipboard.com=Flipboard|msn.com=MSN|news.yahoo.com=Yahoo News|reuters.com=Reuters|apnews.com=AP News|news.google.com=Google News".split("|"))
+AGGREGATOR_NAMES = frozenset(
+    x.strip() for x in "smartnews|newsbreak|news break|flipboard|msn news|msn|yahoo news|reuters|associated press|ap news|google news".split("|")
+)
+AGGREGATOR_HOSTS = dict(
+    x.split("=") for x in "smartnews.com=SmartNews|newsbreak.com=NewsBreak|flipboard.com=Flipboard|msn.com=MSN|news.yahoo.com=Yahoo News|reuters.com=Reuters|apnews.com=AP News|news.google.com=Google News".split("|")
+)
 _HUBS = {
     "flipboard.com": r"/topic/",
     "apnews.com": r"/(?:tag|hub)/",
@@ -47,7 +53,10 @@ def encoded(c: Column) -> Column:
 def query_params(query: Column) -> Column:
     """Array of (k, v), decoded; parameters without a value are left out."""
     pieces = F.filter(F.split(query, "&"), lambda p: F.instr(p, "=") > 0)
-    pairs = F.transform(pieces, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.substr(p, F.instr(p, "=") + 1)).alias("v")))
+    pairs = F.transform(
+        pieces,
+        lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.substr(p, F.instr(p, "=") + 1)).alias("v"))
+    )
     return F.filter(pairs, lambda p: p["v"] != "")
 
 
@@ -56,7 +65,9 @@ def normalize_url(url: Column) -> Column:
     trailing slash, fragment, or tracking; parameters sorted and re-encoded."""
     scheme, host = F.lower(part(url, "scheme")), F.lower(part(url, "netloc"))
     host = F.regexp_replace(host, r"^www\.", "")
-    host = F.when((scheme == "http") & host.endswith(":80"), F.regexp_replace(host, ":80$", "")).when((scheme == "https") & host.endswith(":443"), F.regexp_replace(host, ":443$", "")).otherwise(host)
+    host = F.when((scheme == "http") & host.endswith(":80"), F.regexp_replace(host, ":80$", "")).when(
+        (scheme == "https") & host.endswith(":443"), F.regexp_replace(host, ":443$", "")
+    ).otherwise(host)
     path = F.regexp_replace(part(url, "path"), "/+$", "")
     path = F.when(path == "", "/").otherwise(path)
     path = F.when(path.startswith("/") | (host == ""), path).otherwise(F.concat(F.lit("/"), path))

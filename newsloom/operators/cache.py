@@ -144,7 +144,10 @@ class EncryptedCache:
         return last.select("namespace", "cache_key", "r.*").where("value IS NOT NULL")
 
     def _append(self, namespace: str, digest: str, text: str | None, expires: float | None) -> None:
-        row = self.spark.createDataFrame([(namespace, digest, text, expires, time.time(), time.time_ns())], "namespace string, cache_key string, text string, expires_at double, created_at double, version long")
+        row = self.spark.createDataFrame(
+            [(namespace, digest, text, expires, time.time(), time.time_ns())],
+            "namespace string, cache_key string, text string, expires_at double, created_at double, version long"
+        )
         value = F.aes_encrypt(F.col("text"), F.lit(self._aes))
         row.select("namespace", "cache_key", value.alias("value"), "expires_at", "created_at", "version").write.mode("append").parquet(self.path)
 
@@ -180,14 +183,21 @@ class EncryptedCache:
         """Rewrite the table with the newest rows alone, in few files, sorted so that row
         groups can be skipped.  No other writer may be at work."""
         newest = self._newest().withColumn("version", F.lit(time.time_ns())).select(*(f.split()[0] for f in _TABLE.split(", ")))
-        aside = written(newest.repartitionByRange(files, "namespace", "cache_key").sortWithinPartitions("namespace", "cache_key"), work_dir(self.spark, "cache"))
+        aside = written(
+            newest.repartitionByRange(files, "namespace", "cache_key").sortWithinPartitions("namespace", "cache_key"),
+            work_dir(self.spark, "cache")
+        )
         aside.repartitionByRange(files, "namespace", "cache_key").sortWithinPartitions("namespace", "cache_key").write.mode("overwrite").parquet(self.path)
 
     def _drop(self, condition, namespace: str | None = None) -> int:
         rows = self._newest(namespace).where(condition).select("namespace", "cache_key")
         n = rows.count()
         if n:
-            rows.select("namespace", "cache_key", F.lit(None).cast("binary").alias("value"), F.lit(None).cast("double").alias("expires_at"), F.lit(time.time()).alias("created_at"), F.lit(time.time_ns()).alias("version")).write.mode("append").parquet(self.path)
+            rows.select(
+                "namespace", "cache_key", F.lit(None).cast("binary").alias("value"),
+                F.lit(None).cast("double").alias("expires_at"), F.lit(time.time()).alias("created_at"),
+                F.lit(time.time_ns()).alias("version")
+            ).write.mode("append").parquet(self.path)
         return n
 
     def clear_namespace(self, namespace: str) -> int:
@@ -203,4 +213,8 @@ class EncryptedCache:
 
 def cache_stats(rows: DataFrame, now) -> DataFrame:
     """entries, expired, and the sorted namespaces of live cache rows."""
-    return rows.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum((F.col("expires_at") <= now).cast("long")), F.lit(0)).alias("expired"), F.array_sort(F.collect_set("namespace")).alias("namespaces"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.coalesce(F.sum((F.col("expires_at") <= now).cast("long")), F.lit(0)).alias("expired"),
+        F.array_sort(F.collect_set("namespace")).alias("namespaces")
+    )

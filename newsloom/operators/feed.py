@@ -147,7 +147,9 @@ def strip_blocked(stories: DataFrame, blocked: list[str]) -> DataFrame:
         kept = stories.where(~own)
         return _without_blocked_sources(kept, blocked)
     allowed = F.filter(F.coalesce("similar_articles", empty), lambda m: ~_blocked(lambda c: m[c], related, blocked))
-    rows = stories.withColumns({"_own": own, "_kept": F.coalesce(allowed, F.array().cast(stories.schema["similar_articles"].dataType))}).where(~F.col("_own") | (F.size("_kept") > 0))
+    rows = stories.withColumns(
+        {"_own": own, "_kept": F.coalesce(allowed, F.array().cast(stories.schema["similar_articles"].dataType))}
+    ).where(~F.col("_own") | (F.size("_kept") > 0))
     new = {}
     inherits = frozenset("_ord cluster_id cluster_score first_seen last_seen".split())
     for f in stories.schema.fields:
@@ -174,7 +176,9 @@ def rank_personal(stories: DataFrame, profile: UserProfile, weights: Mapping[str
     wanted = {k: sorted({x.strip().lower() for x in getattr(profile, k) if x.strip()}) for k in _LISTS}
     rows = strip_blocked(stories, wanted["blocked_sources"])
     c = _Coverage(rows)
-    hit = lambda values, terms: F.when(F.arrays_overlap(values, F.array(*map(F.lit, terms))), 1.0).otherwise(0.0) if terms else F.lit(0.0)
+    hit = lambda values, terms: F.when(
+        F.arrays_overlap(values, F.array(*map(F.lit, terms))), 1.0
+    ).otherwise(0.0) if terms else F.lit(0.0)
     score = (
         overlap(c.tokens(), wanted["interests"]) * weights["interest"]
         + overlap(c.categories(), wanted["categories"]) * weights["category"]
@@ -192,7 +196,15 @@ class FeedEngine:
     def __init__(self, cache: FeedCache | None = None, config: FeedConfig = FeedConfig()):  # noqa: B008
         self.cache, self.config = cache, config
 
-    def build(self, articles: DataFrame, *, as_of: Column | None = None, limit: int | None = None, personalized: bool = False, user_id: str | None = None) -> DataFrame:
+    def build(
+        self,
+        articles: DataFrame,
+        *,
+        as_of: Column | None = None,
+        limit: int | None = None,
+        personalized: bool = False,
+        user_id: str | None = None
+    ) -> DataFrame:
         as_of = F.current_timestamp() if as_of is None else as_of
         profile = None
         if personalized:
@@ -203,7 +215,9 @@ class FeedEngine:
             profile = load_user_profile(self.cache, user_id)
             if profile is None:
                 raise FeedProfileRequiredError(f"there is no valid profile of {user_id!r}")
-        stories = cluster_to_article(cluster_articles(articles, self.config.cluster_threshold, sort_by="date", as_of=as_of, drop_singletons=self.config.drop_singletons))
+        stories = cluster_to_article(
+            cluster_articles(articles, self.config.cluster_threshold, sort_by="date", as_of=as_of, drop_singletons=self.config.drop_singletons)
+        )
         ranked = rank_generic(stories, as_of) if profile is None else rank_personal(stories, profile, self.config.weights, as_of)
         result = ranked.limit(max(self.config.max_items if limit is None else limit, 0))
         if profile is not None:

@@ -80,7 +80,15 @@ def matches_topic(df: DataFrame, topic: str | list[str] | None, mode: str = "any
     return (text == "") | _fold([X.has_term(text, t) for t in terms], mode)
 
 
-def filter_articles(df: DataFrame, query: str | None = None, query_mode: str = "any", exclude_terms: list[str] | None = None, search_in: list[str] | None = None, topic: str | list[str] | None = None, topic_mode: str = "any") -> DataFrame:
+def filter_articles(
+    df: DataFrame,
+    query: str | None = None,
+    query_mode: str = "any",
+    exclude_terms: list[str] | None = None,
+    search_in: list[str] | None = None,
+    topic: str | list[str] | None = None,
+    topic_mode: str = "any"
+) -> DataFrame:
     """Query and not excluded and topic."""
     keep = F.lit(True)
     if query:
@@ -117,7 +125,10 @@ def filter_by_domain(df: DataFrame, whitelist: list[str] | None = None, blacklis
 
 
 #: Codes that a detector may give for a language asked for.
-LANGUAGE_KIN = {"hi": "hi mr ne", "mr": "mr hi ne", "ne": "ne hi mr", "bn": "bn as", "as": "as bn", "no": "no nb nn da", "nb": "nb no nn da", "nn": "nn no nb", "ms": "ms id", "id": "id ms"}
+LANGUAGE_KIN = {
+    "hi": "hi mr ne", "mr": "mr hi ne", "ne": "ne hi mr", "bn": "bn as", "as": "as bn", "no": "no nb nn da",
+    "nb": "nb no nn da", "nn": "nn no nb", "ms": "ms id", "id": "id ms"
+}
 _STOP = {
     "de": "aber als auch auf aus bei das dem den der die durch ein eine einer er es für hat im in ist mit nach nicht noch oder sich sie sind um und von war wie wird zu zum zur",
     "en": "a an and are as at be but by for from has have he in is it its not of on or she that the they this to was were which will with",
@@ -153,7 +164,9 @@ _SCRIPTS = {
     "Georgian": {"ka": ""}, "Armenian": {"hy": ""}, "Sinhala": {"si": ""}, "Khmer": {"km": ""}, "Lao": {"lo": ""}, "Myanmar": {"my": ""}, "Ethiopic": {"am": ""},
 }
 #: Codes that the detector can give; asking for another keeps every row.
-LANGUAGES = frozenset(_STOP) | {code for by_code in _SCRIPTS.values() for code in by_code} | {k for k, v in LANGUAGE_KIN.items() if set(v.split()) & {"hi", "no", "id", "bn"}}
+LANGUAGES = frozenset(_STOP) | {code for by_code in _SCRIPTS.values() for code in by_code} | {
+    k for k, v in LANGUAGE_KIN.items() if set(v.split()) & {"hi", "no", "id", "bn"}
+}
 
 
 def detect_language(text: Column, minimum: int = 12) -> Column:

@@ -28,7 +28,10 @@ def _frequencies(df: DataFrame, text: str, key: list[str], stop: tuple[str, ...]
     """(key, freq map) by a partial and a final hash aggregate: linear in the words."""
     tokens = df.select(*key, F.posexplode(words(F.col(text))).alias("_p", "_w")).where((F.length("_w") > longer) & ~F.col("_w").isin(*stop))
     counted = tokens.groupBy(*key, "_w").agg(F.count(F.lit(1)).cast("int").alias("_n"), F.min("_p").alias("_p"))
-    return counted.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_n"))).alias("_freq"), F.collect_list(F.struct((-F.col("_n")).alias("m"), F.col("_p").alias("p"), F.col("_w").alias("w"))).alias("_words"))
+    return counted.groupBy(*key).agg(
+        F.map_from_entries(F.collect_list(F.struct("_w", "_n"))).alias("_freq"),
+        F.collect_list(F.struct((-F.col("_n")).alias("m"), F.col("_p").alias("p"), F.col("_w").alias("w"))).alias("_words")
+    )
 
 
 _BLANK = " \t\n\x0b\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -89,7 +92,14 @@ def summarize_with_keywords(df: DataFrame, text: str = "text", key: str = "_ord"
     return done.withColumn("coverage", F.round(share, 3))
 
 
-def batch_summarize(urls: DataFrame, pages: DataFrame, sentence_count: int = 3, include_full_text: bool = False, include_media: bool = False, dedupe: bool = True) -> DataFrame:
+def batch_summarize(
+    urls: DataFrame,
+    pages: DataFrame,
+    sentence_count: int = 3,
+    include_full_text: bool = False,
+    include_media: bool = False,
+    dedupe: bool = True
+) -> DataFrame:
     """Summaries of the articles behind ``urls`` (url, _ord); ``pages`` are extracted
     articles by url.  A page that is missing or has no text gives status ``failed``."""
     wanted = urls.withColumn("_key", U.normalize_url(F.col("url")))

@@ -87,12 +87,16 @@ def filter_all(spark, sf):
 
 @query("filter_phrase", _filter_sql(_has("of the", "text")))
 def filter_phrase(spark, sf):
-    return L.filter_articles(_article(spark, sf), query='"of the"', query_mode="exact_phrase", search_in=["body"]).select(F.col("_ord").alias("doc_id"))
+    return L.filter_articles(
+        _article(spark, sf), query='"of the"', query_mode="exact_phrase", search_in=["body"]
+    ).select(F.col("_ord").alias("doc_id"))
 
 
 @query("filter_exclude", _filter_sql(f"{_has('that', _TB)} AND NOT ({_has('loser', _TB)} OR {_has('clown', _TB)})"))
 def filter_exclude(spark, sf):
-    return L.filter_articles(_article(spark, sf), query="that", exclude_terms=["loser", "clown"], search_in=_WHOLE).select(F.col("_ord").alias("doc_id"))
+    return L.filter_articles(
+        _article(spark, sf), query="that", exclude_terms=["loser", "clown"], search_in=_WHOLE
+    ).select(F.col("_ord").alias("doc_id"))
 
 
 @query("filter_topic", _filter_sql(f"{_has('avec', 'text')} OR {_has('der', 'text')}"))
@@ -105,7 +109,10 @@ _HOST = r"replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), 'www.
 
 @query("domain_whitelist", f"WITH {_ART} SELECT ord AS doc_id FROM art WHERE {_HOST} IN ('src0.example.com', 'src3.example.com')")
 def domain_whitelist(spark, sf):
-    return L.filter_by_domain(_article(spark, sf), whitelist=["src0.example.com", "https://www.src3.example.com/"], blacklist=["example.com"]).select(F.col("_ord").alias("doc_id"))
+    return L.filter_by_domain(
+        _article(spark, sf), whitelist=["src0.example.com", "https://www.src3.example.com/"],
+        blacklist=["example.com"]
+    ).select(F.col("_ord").alias("doc_id"))
 
 
 @query("domain_blacklist", f"WITH {_ART} SELECT ord AS doc_id FROM art WHERE {_HOST} <> 'src0.example.com' AND {_HOST} NOT LIKE '%.src0.example.com'")
@@ -132,7 +139,10 @@ def language_detected(spark, sf):
 _PATH = r"regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
 
 
-@query("hub_urls", rf"SELECT page_id, {_PATH} IN ('', '/') AND NOT regexp_matches(url, '[?&](p|page_id|article|story|newsid|nid|aid)=[^&]') AS hub FROM pages")
+@query(
+    "hub_urls",
+    rf"SELECT page_id, {_PATH} IN ('', '/') AND NOT regexp_matches(url, '[?&](p|page_id|article|story|newsid|nid|aid)=[^&]') AS hub FROM pages"
+)
 def hub_urls(spark, sf):
     return _pages(spark, sf).select("page_id", U.is_hub_url(F.col("url")).alias("hub"))
 
@@ -145,7 +155,10 @@ def crawl_prefilter(spark, sf):
     return _pages(spark, sf).select("page_id", U.crawlable(F.col("url")).alias("crawlable"))
 
 
-@query("article_looking", rf"SELECT page_id, regexp_matches({_PATH}, '(?i)/[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}/|/[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}-|(-[a-z0-9]+){{4}}|/[0-9]{{5,}}(/|-|$)') AS looks FROM pages")
+@query(
+    "article_looking",
+    rf"SELECT page_id, regexp_matches({_PATH}, '(?i)/[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}/|/[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}-|(-[a-z0-9]+){{4}}|/[0-9]{{5,}}(/|-|$)') AS looks FROM pages"
+)
 def article_looking(spark, sf):
     return _pages(spark, sf).select("page_id", U.looks_like_article(F.col("url")).alias("looks"))
 
@@ -162,7 +175,12 @@ def normalize_url(spark, sf):
 def _twice(spark: SparkSession, sf: str) -> DataFrame:
     """Articles and, for every fourth, a second record of the same URL."""
     a = _article(spark, sf).select("_ord", "title", "url", "source", F.col("text").alias("description"))
-    again = a.where("_ord % 4 = 0").select((F.col("_ord") + 1_000_000_000).alias("_ord"), F.lit("").alias("title"), F.replace(F.replace(F.col("url"), F.lit("https://www."), F.lit("http://")), F.lit("?utm_source=feed"), F.lit("/?ref=x")).alias("url"), F.when(F.col("_ord") % 8 == 0, "Reuters").otherwise("Wire").alias("source"), F.concat(F.lit("extra "), F.col("description")).alias("description"))
+    again = a.where("_ord % 4 = 0").select(
+        (F.col("_ord") + 1_000_000_000).alias("_ord"), F.lit("").alias("title"),
+        F.replace(F.replace(F.col("url"), F.lit("https://www."), F.lit("http://")), F.lit("?utm_source=feed"), F.lit("/?ref=x")).alias("url"),
+        F.when(F.col("_ord") % 8 == 0, "Reuters").otherwise("Wire").alias("source"),
+        F.concat(F.lit("extra "), F.col("description")).alias("description")
+    )
     return a.unionByName(again)
 
 
@@ -174,7 +192,10 @@ def _twice(spark: SparkSession, sf: str) -> DataFrame:
 )
 def dedupe_merge(spark, sf):
     out = dedupe_articles(_twice(spark, sf))
-    return out.select(F.col("_ord").alias("doc_id"), "title", "description", "source", F.coalesce(F.array_join("sources", "|"), F.lit("")).alias("sources"))
+    return out.select(
+        F.col("_ord").alias("doc_id"), "title", "description", "source",
+        F.coalesce(F.array_join("sources", "|"), F.lit("")).alias("sources")
+    )
 
 
 _TITLE = r"regexp_replace(regexp_replace(trim(lower(title)), '[^\p{L}\p{N}\p{M}_\s]', '', 'g'), '\s+', ' ', 'g')"
@@ -189,10 +210,16 @@ _TOKENS = r"list_transform(list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_
 _RTEXT = "(title || ' ' || text)"
 
 
-@query("rank_tokens", f"WITH {_ART}, t AS (SELECT ord, {_TOKENS.format(t='text')} AS k FROM art) SELECT ord AS doc_id, len(k)::BIGINT AS n_tokens, len(list_distinct(k))::BIGINT AS n_distinct FROM t")
+@query(
+    "rank_tokens",
+    f"WITH {_ART}, t AS (SELECT ord, {_TOKENS.format(t='text')} AS k FROM art) SELECT ord AS doc_id, len(k)::BIGINT AS n_tokens, len(list_distinct(k))::BIGINT AS n_distinct FROM t"
+)
 def rank_tokens(spark, sf):
     k = X.rank_tokens(F.col("text"))
-    return _article(spark, sf).select(F.col("_ord").alias("doc_id"), F.size(k).cast("long").alias("n_tokens"), F.size(F.array_distinct(k)).cast("long").alias("n_distinct"))
+    return _article(spark, sf).select(
+        F.col("_ord").alias("doc_id"), F.size(k).cast("long").alias("n_tokens"),
+        F.size(F.array_distinct(k)).cast("long").alias("n_distinct")
+    )
 
 
 _Q = ("the", "that", "avec", "schen")
@@ -204,19 +231,27 @@ def rank_basic(spark, sf):
     return R.rank_articles(_article(spark, sf), RANK_QUERY, "basic").select(F.col("_ord").alias("doc_id"), F.col("_rank_score").alias("score"))
 
 
-@query("rank_tfidf", f"{_RANKED} SELECT ord AS doc_id, round({' + '.join(f'c.f{i} / greatest(c.n, 1) * (ln((1.0 + s.n) / (1.0 + s.d{i})) + 1)' for i in range(4))}, 6) AS score FROM c, s")
+@query(
+    "rank_tfidf",
+    f"{_RANKED} SELECT ord AS doc_id, round({' + '.join(f'c.f{i} / greatest(c.n, 1) * (ln((1.0 + s.n) / (1.0 + s.d{i})) + 1)' for i in range(4))}, 6) AS score FROM c, s"
+)
 def rank_tfidf(spark, sf):
     return R.rank_articles(_article(spark, sf), RANK_QUERY, "tfidf").select(F.col("_ord").alias("doc_id"), F.round("_rank_score", 6).alias("score"))
 
 
-@query("rank_bm25", f"{_RANKED} SELECT ord AS doc_id, round({' + '.join(f'ln(1 + (s.n - s.d{i} + 0.5) / (s.d{i} + 0.5)) * c.f{i} * 2.5 / (c.f{i} + 0.375 + 1.125 * c.n / s.mean)' for i in range(4))}, 6) AS score FROM c, s")
+@query(
+    "rank_bm25",
+    f"{_RANKED} SELECT ord AS doc_id, round({' + '.join(f'ln(1 + (s.n - s.d{i} + 0.5) / (s.d{i} + 0.5)) * c.f{i} * 2.5 / (c.f{i} + 0.375 + 1.125 * c.n / s.mean)' for i in range(4))}, 6) AS score FROM c, s"
+)
 def rank_bm25(spark, sf):
     return R.rank_articles(_article(spark, sf), RANK_QUERY, "bm25").select(F.col("_ord").alias("doc_id"), F.round("_rank_score", 6).alias("score"))
 
 
 @query("rank_top_k", f"{_RANKED} SELECT ord AS doc_id, (f0 + f1 + f2 + f3)::DOUBLE AS score FROM c ORDER BY score DESC, ord LIMIT 20")
 def rank_top_k(spark, sf):
-    return R.rank_articles(_article(spark, sf), RANK_QUERY, "basic", top_k=20).select(F.col("_ord").alias("doc_id"), F.col("_rank_score").alias("score"))
+    return R.rank_articles(_article(spark, sf), RANK_QUERY, "basic", top_k=20).select(
+        F.col("_ord").alias("doc_id"), F.col("_rank_score").alias("score")
+    )
 
 
 def _places(df: DataFrame, sort_by: str, *columns: str) -> DataFrame:
@@ -230,7 +265,10 @@ def sort_date(spark, sf):
     return _places(_article(spark, sf), "date", "published")
 
 
-@query("sort_popularity", f"WITH {_ART} SELECT ord AS doc_id, row_number() OVER (ORDER BY CASE WHEN ord % 4 = 0 THEN 2 ELSE 1 END DESC, ord) AS position FROM art")
+@query(
+    "sort_popularity",
+    f"WITH {_ART} SELECT ord AS doc_id, row_number() OVER (ORDER BY CASE WHEN ord % 4 = 0 THEN 2 ELSE 1 END DESC, ord) AS position FROM art"
+)
 def sort_popularity(spark, sf):
     merged = dedupe_articles(_twice(spark, sf)).select("_ord", "sources")
     return _places(written(merged, work_dir(spark, "popularity")), "popularity")
@@ -240,13 +278,22 @@ _CLUSTERS = f"""{_ART}, k AS (SELECT *, CASE WHEN {_TITLE} = '' THEN '#' || ord
 g AS (SELECT key, count(*) AS size, max(published) AS last_seen, min(published) AS first_seen, arg_max(ord, published) AS rep, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM k GROUP BY key)"""
 
 
-@query("cluster_exact_title", f"WITH {_CLUSTERS} SELECT rep, size::BIGINT AS size, sources, replace(first_seen, 'Z', '+00:00') AS first_seen, replace(last_seen, 'Z', '+00:00') AS last_seen FROM g")
+@query(
+    "cluster_exact_title",
+    f"WITH {_CLUSTERS} SELECT rep, size::BIGINT AS size, sources, replace(first_seen, 'Z', '+00:00') AS first_seen, replace(last_seen, 'Z', '+00:00') AS last_seen FROM g"
+)
 def cluster_exact_title(spark, sf):
     c = cluster_articles(_article(spark, sf), threshold=1.0, as_of=_as_of())
-    return c.select(F.col("representative._ord").alias("rep"), F.col("size").cast("long").alias("size"), F.array_join("sources", "|").alias("sources"), "first_seen", "last_seen")
+    return c.select(
+        F.col("representative._ord").alias("rep"), F.col("size").cast("long").alias("size"),
+        F.array_join("sources", "|").alias("sources"), "first_seen", "last_seen"
+    )
 
 
-@query("cluster_score", f"WITH {_CLUSTERS} SELECT rep, round(ln(1 + size) * (0.5 + 0.5 / (1 + date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 24)), 6) AS score FROM g")
+@query(
+    "cluster_score",
+    f"WITH {_CLUSTERS} SELECT rep, round(ln(1 + size) * (0.5 + 0.5 / (1 + date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 24)), 6) AS score FROM g"
+)
 def cluster_score_query(spark, sf):
     c = cluster_articles(_article(spark, sf), threshold=1.0, as_of=_as_of())
     return c.select(F.col("representative._ord").alias("rep"), F.round("score", 6).alias("score"))
@@ -261,12 +308,21 @@ def cluster_fuzzy(spark, sf):
 @query("story_pipeline")
 def story_pipeline(spark, sf):
     s = run_pipeline(_article(spark, sf), 20, query="that avec der", sort_by="relevance", as_of=_as_of())
-    return s.select("cluster_id", "title", "url", "cluster_size", F.round("_rank_score", 6).alias("rank_score"), F.size("similar_articles").alias("related"))
+    return s.select(
+        "cluster_id", "title", "url", "cluster_size", F.round("_rank_score", 6).alias("rank_score"),
+        F.size("similar_articles").alias("related")
+    )
 
 
-@query("freshness", f"WITH {_ART} SELECT ord AS doc_id, round(exp(-greatest(date_diff('second', strptime(published, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0, 0) / 48), 9) AS freshness FROM art")
+@query(
+    "freshness",
+    f"WITH {_ART} SELECT ord AS doc_id, round(exp(-greatest(date_diff('second', strptime(published, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0, 0) / 48), 9) AS freshness FROM art"
+)
 def freshness(spark, sf):
-    return _article(spark, sf).select(F.col("_ord").alias("doc_id"), F.round(D.freshness(D.parse_ts(F.col("published")), _as_of()), 9).alias("freshness"))
+    return _article(spark, sf).select(
+        F.col("_ord").alias("doc_id"),
+        F.round(D.freshness(D.parse_ts(F.col("published")), _as_of()), 9).alias("freshness")
+    )
 
 
 def _sql_list(words) -> str:
@@ -308,7 +364,10 @@ def summary(spark, sf):
     return S.summarize(_article(spark, sf)).select(F.col("_ord").alias("doc_id"), "summary")
 
 
-@query("relative_date", f"SELECT event_id, strftime(TIMESTAMP '{AS_OF}' - to_hours((event_id % 50)::INT), '%Y-%m-%dT%H:%M:%S+00:00') AS published FROM events")
+@query(
+    "relative_date",
+    f"SELECT event_id, strftime(TIMESTAMP '{AS_OF}' - to_hours((event_id % 50)::INT), '%Y-%m-%dT%H:%M:%S+00:00') AS published FROM events"
+)
 def relative_date(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     phrase = F.concat((F.col("event_id") % 50).cast("string"), F.lit(" hours ago"))
@@ -336,7 +395,10 @@ def html_title(spark, sf):
     return extract_articles(_pages(spark, sf)).select("page_id", "title")
 
 
-@query("html_links", r"""SELECT page_id, len(list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1), lambda h: h <> '' AND h[1] <> '#' AND NOT regexp_matches(h, '(?i)^(mailto|tel|javascript|ftp):')))::BIGINT AS n_links FROM pages""")
+@query(
+    "html_links",
+    r"""SELECT page_id, len(list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1), lambda h: h <> '' AND h[1] <> '#' AND NOT regexp_matches(h, '(?i)^(mailto|tel|javascript|ftp):')))::BIGINT AS n_links FROM pages"""
+)
 def html_links(spark, sf):
     return _pages(spark, sf).select("page_id", F.size(page_links(F.col("html"), F.col("url"))).cast("long").alias("n_links"))
 
@@ -350,8 +412,13 @@ def html_text(spark, sf):
 def crawl(spark, sf):
     """A site whose page n links to the pages 4n + 1 to 4n + 4."""
     pages = _pages(spark, sf)
-    to = pages.select(F.col("page_id").alias("_to"), F.concat(F.lit('<a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">next</a>')).alias("_a"))
-    linked = pages.join(to, F.floor((F.col("_to") - 1) / 4) == F.col("page_id"), "left").groupBy(*pages.columns).agg(F.array_join(F.array_sort(F.collect_list("_a")), " ").alias("_links"))
+    to = pages.select(
+        F.col("page_id").alias("_to"),
+        F.concat(F.lit('<a href="'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('">next</a>')).alias("_a")
+    )
+    linked = pages.join(to, F.floor((F.col("_to") - 1) / 4) == F.col("page_id"), "left").groupBy(*pages.columns).agg(
+        F.array_join(F.array_sort(F.collect_list("_a")), " ").alias("_links")
+    )
     site = linked.withColumn("html", F.concat(F.col("html"), F.col("_links"))).drop("_links")
     start = pages.orderBy("page_id").first()["url"]
     return crawl_site(site, start, same_domain_only=False).select("url", "depth", "title")
@@ -362,10 +429,15 @@ _STORIES = f"{_CLUSTERS}, st AS (SELECT rep AS ord, size, last_seen, sources FRO
 
 def _exact_stories(spark: SparkSession, sf: str, articles: DataFrame | None = None) -> DataFrame:
     a = _article(spark, sf) if articles is None else articles
-    return cluster_to_article(cluster_articles(a, threshold=1.0, sort_by="date", as_of=_as_of())).withColumn("rep", F.regexp_extract("url", r"/story/(\d+)", 1).cast("long"))
+    return cluster_to_article(
+        cluster_articles(a, threshold=1.0, sort_by="date", as_of=_as_of())
+    ).withColumn("rep", F.regexp_extract("url", r"/story/(\d+)", 1).cast("long"))
 
 
-@query("feed_generic", f"WITH {_STORIES} SELECT ord AS rep, round(exp(-date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 48), 9) AS feed_score FROM st")
+@query(
+    "feed_generic",
+    f"WITH {_STORIES} SELECT ord AS rep, round(exp(-date_diff('second', strptime(last_seen, '%Y-%m-%dT%H:%M:%SZ'), TIMESTAMP '{AS_OF}') / 3600.0 / 48), 9) AS feed_score FROM st"
+)
 def feed_generic(spark, sf):
     return P.rank_generic(_exact_stories(spark, sf), _as_of()).select("rep", F.round("_feed_score", 9).alias("feed_score"))
 
@@ -382,14 +454,25 @@ def feed_personalized(spark, sf):
     return P.rank_personal(_exact_stories(spark, sf, whole), PROFILE, P.WEIGHTS, _as_of()).select("rep", F.col("_feed_score").alias("feed_score"))
 
 
-@query("feed_blocked", f"WITH {_CLUSTERS}, m AS (SELECT g.rep, k.ord, k.published, k.source FROM k JOIN g USING (key)) SELECT rep AS story, count(*) FILTER (source <> 'src0')::BIGINT AS kept FROM m GROUP BY rep HAVING count(*) FILTER (source <> 'src0') > 0")
+@query(
+    "feed_blocked",
+    f"WITH {_CLUSTERS}, m AS (SELECT g.rep, k.ord, k.published, k.source FROM k JOIN g USING (key)) SELECT rep AS story, count(*) FILTER (source <> 'src0')::BIGINT AS kept FROM m GROUP BY rep HAVING count(*) FILTER (source <> 'src0') > 0"
+)
 def feed_blocked(spark, sf):
     stories = _exact_stories(spark, sf).withColumn("cluster_id", F.col("rep"))
     left = P.strip_blocked(stories, ["src0"])
-    return left.select(F.col("cluster_id").alias("story"), (1 + F.coalesce(F.size("similar_articles"), F.lit(0)).cast("long") * F.when(F.col("similar_articles").isNull(), 0).otherwise(1)).cast("long").alias("kept"))
+    return left.select(
+        F.col("cluster_id").alias("story"),
+        (
+            1 + F.coalesce(F.size("similar_articles"), F.lit(0)).cast("long") * F.when(F.col("similar_articles").isNull(), 0).otherwise(1)
+        ).cast("long").alias("kept")
+    )
 
 
-@query("body_quota", f"WITH {_ART}, h AS (SELECT ord, row_number() OVER (ORDER BY ord) AS rn, {_has('avec', 'text')} AS hit FROM art), w AS (SELECT floor((rn - 1) / 30) AS w, count(*) FILTER (hit) AS n FROM h GROUP BY 1), o AS (SELECT w FROM (SELECT w, coalesce(sum(n) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w) WHERE b < 10) SELECT ord AS doc_id FROM h WHERE hit AND floor((rn - 1) / 30) IN (SELECT w FROM o)")
+@query(
+    "body_quota",
+    f"WITH {_ART}, h AS (SELECT ord, row_number() OVER (ORDER BY ord) AS rn, {_has('avec', 'text')} AS hit FROM art), w AS (SELECT floor((rn - 1) / 30) AS w, count(*) FILTER (hit) AS n FROM h GROUP BY 1), o AS (SELECT w FROM (SELECT w, coalesce(sum(n) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w) WHERE b < 10) SELECT ord AS doc_id FROM h WHERE hit AND floor((rn - 1) / 30) IN (SELECT w FROM o)"
+)
 def body_quota(spark, sf):
     a = _article(spark, sf)
     store = a.select("url", "text", "_ord")
@@ -414,7 +497,9 @@ def summary_join(spark, sf):
 def unseen_replay(spark, sf):
     """A second poll that repeats the first half of each ten."""
     a = _article(spark, sf)
-    seen = a.where("_ord % 10 < 5").select(F.lit("url").alias("kind"), U.normalize_url(F.col("url")).alias("key"), F.lit(0).cast("long").alias("batch"))
+    seen = a.where("_ord % 10 < 5").select(
+        F.lit("url").alias("kind"), U.normalize_url(F.col("url")).alias("key"), F.lit(0).cast("long").alias("batch")
+    )
     return only_unseen(a, seen.select(*SEEN.names)).select(F.col("_ord").alias("doc_id"))
 
 
@@ -437,10 +522,16 @@ def export_jsonld_rows(spark, sf):
     return export.jsonld_items(_article(spark, sf)).select(F.col("_key").alias("doc_id"), "item")
 
 
-@query("cache_stats", f"SELECT count(*)::BIGINT AS entries, count(*) FILTER (ts <= TIMESTAMP '2024-01-15 00:00:00')::BIGINT AS expired, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS namespaces FROM events")
+@query(
+    "cache_stats",
+    f"SELECT count(*)::BIGINT AS entries, count(*) FILTER (ts <= TIMESTAMP '2024-01-15 00:00:00')::BIGINT AS expired, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS namespaces FROM events"
+)
 def cache_stats_query(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    rows = e.select(F.col("event_type").alias("namespace"), F.col("event_id").alias("cache_key"), F.unix_timestamp("ts").cast("double").alias("expires_at"))
+    rows = e.select(
+        F.col("event_type").alias("namespace"), F.col("event_id").alias("cache_key"),
+        F.unix_timestamp("ts").cast("double").alias("expires_at")
+    )
     now = F.unix_timestamp(F.lit("2024-01-15 00:00:00").cast("timestamp")).cast("double")
     return cache_stats(rows, now).select("entries", "expired", F.array_join("namespaces", ",").alias("namespaces"))
 
@@ -457,13 +548,18 @@ def enrich_pages(spark, sf):
 
     p = _pages(spark, sf)
     rows = conform(p.select(F.col("page_id").alias("_ord"), F.concat(F.col("url"), F.lit("#x")).alias("url")))
-    return enrich(rows, page_store(p)).select(F.col("_ord").alias("page_id"), "title", "_full_content", "_full_content_reason", F.coalesce(F.col("text") != "", F.lit(False)).alias("has_text"))
+    return enrich(rows, page_store(p)).select(
+        F.col("_ord").alias("page_id"), "title", "_full_content", "_full_content_reason",
+        F.coalesce(F.col("text") != "", F.lit(False)).alias("has_text")
+    )
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Filter, merge, rank: the ten best documents for a query."""
     rows = L.filter_articles(_article(spark, sf), query=RANK_QUERY, search_in=["title", "description"])
-    return R.rank_articles(dedupe_articles(rows), RANK_QUERY, "tfidf", top_k=10).select("_ord", "title", "url", "source", F.round("_rank_score", 6).alias("score"))
+    return R.rank_articles(dedupe_articles(rows), RANK_QUERY, "tfidf", top_k=10).select(
+        "_ord", "title", "url", "source", F.round("_rank_score", 6).alias("score")
+    )
 
 
 __all__ = ["ORACLES", "QUERIES", "cluster_score", "flagship"]

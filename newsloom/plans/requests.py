@@ -18,7 +18,9 @@ MODES = frozenset(("all", "any", "exact_phrase"))
 FETCH_SORTS = frozenset(("date", "popularity", "relevance"))
 SEARCH_SORTS = frozenset(("date", "relevance"))
 MIN_INTERVAL = 5
-REGIONS = dict(x.split("=") for x in "au=Australia|bd=Bangladesh|ca=Canada|gb=UK|uk=UK|in=India|lk=Sri Lanka|nz=New Zealand|pk=Pakistan|us=US".split("|"))
+REGIONS = dict(
+    x.split("=") for x in "au=Australia|bd=Bangladesh|ca=Canada|gb=UK|uk=UK|in=India|lk=Sri Lanka|nz=New Zealand|pk=Pakistan|us=US".split("|")
+)
 _SUBJECT = {"general": "breaking", "tech": "technology"}
 
 

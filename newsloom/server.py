@@ -14,7 +14,10 @@ PROTOCOL = "2024-11-05"
 _TYPES = {"s": "string", "i": "integer", "n": "number", "b": "boolean", "l": "array", "o": "object"}
 #: By tool: what it does, and its parameters as name:type, required ones first and marked.
 TOOLS = {
-    "search_news": ("Stories that match a query", "query:s! country:s language:s max_results:i query_mode:s exclude_terms:l time_limit:s sort_by:s full_content:b"),
+    "search_news": (
+        "Stories that match a query",
+        "query:s! country:s language:s max_results:i query_mode:s exclude_terms:l time_limit:s sort_by:s full_content:b"
+    ),
     "fetch_news": ("Stories of a category or place", "category:s location:s max_results:i time_limit:s sort_by:s full_content:b"),
     "get_article": ("One page as an article", "url:s!"),
     "search_site_news": ("Stories of one site", "keyword:s! domain:s! limit:i query_mode:s language:s full_content:b"),
@@ -34,7 +37,12 @@ def listing() -> list[dict[str, Any]]:
     for name, (what, parameters) in TOOLS.items():
         named = [p.rstrip("!").split(":") for p in parameters.split()]
         required = [p.split(":")[0] for p in parameters.split() if p.endswith("!")]
-        out.append({"name": name, "description": what, "inputSchema": {"type": "object", "properties": {n: {"type": _TYPES[t]} for n, t in named}, "required": required}})
+        out.append(
+            {
+                "name": name, "description": what,
+                "inputSchema": {"type": "object", "properties": {n: {"type": _TYPES[t]} for n, t in named}, "required": required}
+            }
+        )
     return out
 
 

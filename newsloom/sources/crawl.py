@@ -53,7 +53,16 @@ def allowed(urls: DataFrame, robots: DataFrame | None) -> DataFrame:
     return joined.where(F.arrow_udf(run, T.BooleanType())("url", "_body")).drop("_origin", "_body")
 
 
-def crawl(pages: DataFrame, start_url: str, max_pages: int = 40, max_depth: int = 2, concurrency: int = 10, min_text_length: int = 200, same_domain_only: bool = True, robots: DataFrame | None = None) -> DataFrame:
+def crawl(
+    pages: DataFrame,
+    start_url: str,
+    max_pages: int = 40,
+    max_depth: int = 2,
+    concurrency: int = 10,
+    min_text_length: int = 200,
+    same_domain_only: bool = True,
+    robots: DataFrame | None = None
+) -> DataFrame:
     """Articles of a site: (_ord, url, depth and the article fields).  The budget counts
     fetched pages and is tested per round, so a round can overshoot it."""
     spark = pages.sparkSession
@@ -70,16 +79,29 @@ def crawl(pages: DataFrame, start_url: str, max_pages: int = 40, max_depth: int
         if batch.isEmpty():
             break
         able = allowed(batch.where(U.crawlable(F.col("url"))), robots)
-        got = able.join(store, "_key").select("_key", "url", "depth", "_rn", page_links(F.col("html"), F.col("url")).alias("links"), extracted(F.col("html"), F.col("url")).alias("a"))
+        got = able.join(store, "_key").select(
+            "_key", "url", "depth", "_rn", page_links(F.col("html"), F.col("url")).alias("links"),
+            extracted(F.col("html"), F.col("url")).alias("a")
+        )
         got = written(got, f"{folder}/{step}-pages")
         fetched += got.count()
-        articles = got.where(F.length("a.text") >= min_text_length).select((F.lit(step) * (1 << 20) + F.col("_rn")).cast("long").alias("_ord"), "url", "depth", "a.*")
+        articles = got.where(F.length("a.text") >= min_text_length).select(
+            (F.lit(step) * (1 << 20) + F.col("_rn")).cast("long").alias("_ord"), "url", "depth", "a.*"
+        )
         found = articles if found is None else found.unionByName(articles)
         out = got.where(F.col("depth") < max_depth).select("depth", "_rn", F.posexplode("links").alias("_p", "url"))
         if same_domain_only:
             out = out.where(U.part(F.col("url"), "netloc") == site)
-        new = out.withColumn("_key", U.normalize_url(F.col("url"))).groupBy("_key").agg(F.min(F.struct("_rn", "_p", "url", "depth")).alias("r")).join(seen, "_key", "left_anti")
-        new = written(new.select("_key", "r.url", (F.col("r.depth") + 1).alias("depth"), (F.lit(step + 1) * (1 << 40) + F.col("r._rn") * (1 << 20) + F.col("r._p")).alias("n")), f"{folder}/{step}-new")
+        new = out.withColumn("_key", U.normalize_url(F.col("url"))).groupBy("_key").agg(
+            F.min(F.struct("_rn", "_p", "url", "depth")).alias("r")
+        ).join(seen, "_key", "left_anti")
+        new = written(
+            new.select(
+                "_key", "r.url", (F.col("r.depth") + 1).alias("depth"),
+                (F.lit(step + 1) * (1 << 40) + F.col("r._rn") * (1 << 20) + F.col("r._p")).alias("n")
+            ),
+            f"{folder}/{step}-new"
+        )
         seen = written(seen.union(new.select("_key")), f"{folder}/{step}-seen")
         rest = ranked.where(F.col("_rn") > concurrency).select("url", "depth", "n", "_key")
         frontier, step = rest.unionByName(new.select("url", "depth", "n", "_key")), step + 1

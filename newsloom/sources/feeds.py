@@ -85,7 +85,13 @@ def rss_items(xml: str, limit: int | None = None) -> list[dict[str, str]]:
             if name == "source" and not text:
                 title = next((x for x in child if x.tag.endswith("title")), None)
                 row["source"] = (title.text or "").strip() if title is not None else ""
-        out.append({"title": row.get("title", ""), "link": row.get("link", ""), "published": row.get("pubdate") or row.get("published") or row.get("updated", ""), "summary": row.get("description") or row.get("summary", ""), "source": row.get("source", "")})
+        out.append(
+            {
+                "title": row.get("title", ""), "link": row.get("link", ""),
+                "published": row.get("pubdate") or row.get("published") or row.get("updated", ""),
+                "summary": row.get("description") or row.get("summary", ""), "source": row.get("source", "")
+            }
+        )
         if limit and len(out) >= limit:
             break
     return out
@@ -99,7 +105,9 @@ def parse_search_feed(xml: str, now: dt.datetime) -> list[dict[str, str]]:
             continue
         tail = e["title"].rpartition(" - ")
         source = e["source"] or (tail[2] if tail[1] else "") or host(e["link"]).partition(".")[0].title()
-        rows.append({"title": e["title"] or "No title", "url": e["link"], "source": source, "published": e["published"], "description": e["summary"][:CUT]})
+        rows.append(
+            {"title": e["title"] or "No title", "url": e["link"], "source": source, "published": e["published"], "description": e["summary"][:CUT]}
+        )
     return rows
 
 
@@ -107,11 +115,21 @@ def parse_plain_feed(xml: str, now: dt.datetime) -> list[dict[str, str]]:
     """Any RSS or Atom feed: the feed's own title names the source."""
     m = re.search(r"<(?:channel|feed)[^>]*>.*?<title[^>]*>(.*?)</title>", xml, re.S)
     title = plain(re.sub(r"<!\[CDATA\[|\]\]>", "", m[1])) if m else ""
-    return [{"title": e["title"] or "No title", "url": e["link"], "source": title or "Unknown RSS", "published": e["published"], "description": plain(e["summary"])[:CUT]} for e in rss_items(xml) if e["link"]]
+    return [
+        {
+            "title": e["title"] or "No title", "url": e["link"], "source": title or "Unknown RSS",
+            "published": e["published"], "description": plain(e["summary"])[:CUT]
+        } for e in rss_items(xml) if e["link"]
+    ]
 
 
 def parse_news_feed(xml: str, now: dt.datetime) -> list[dict[str, str]]:
-    return [{"title": e["title"], "url": e["link"], "source": e["source"] or host(e["link"]), "published": rfc822(e["published"]), "description": plain(e["summary"])[:CUT]} for e in rss_items(xml) if e["title"] and e["link"]]
+    return [
+        {
+            "title": e["title"], "url": e["link"], "source": e["source"] or host(e["link"]),
+            "published": rfc822(e["published"]), "description": plain(e["summary"])[:CUT]
+        } for e in rss_items(xml) if e["title"] and e["link"]
+    ]
 
 
 def _said(node, *tags: str, has: str = "") -> str:
@@ -127,7 +145,9 @@ def parse_card_page(html: str, now: dt.datetime) -> list[dict[str, str]]:
         if title and url:
             label = next((s.get("aria-label") for s in card.below("span") if "aria-label" in s.attrs), "")
             snippet = " ".join(t.strip() for n in card.below("div", where=lambda n: n.get("class") == "snippet") for t in n.texts() if t.strip())
-            rows.append({"title": title, "url": url, "source": card.get("data-author").strip(), "published": ago(label, now), "description": snippet[:CUT]})
+            rows.append(
+                {"title": title, "url": url, "source": card.get("data-author").strip(), "published": ago(label, now), "description": snippet[:CUT]}
+            )
     return rows
 
 
@@ -144,7 +164,12 @@ def parse_list_page(html: str, now: dt.datetime) -> list[dict[str, str]]:
             link = unquote_plus(re.search(r"/RU=(.*?)(?:/RK=|[?]|$)", link)[1])
         when = next((t for n in item.below("span", where=lambda n: "time" in n.get("class")) for t in n.texts()), "")
         source = next((t.strip() for n in item.below("span", where=lambda n: "source" in n.get("class")) for t in n.texts()), "")
-        rows.append({"title": title, "url": link, "source": re.sub(r"\s·  via Yahoo.*", "", source).strip(), "published": ago(when, now), "description": _said(item, "p")[:CUT]})
+        rows.append(
+            {
+                "title": title, "url": link, "source": re.sub(r"\s·  via Yahoo.*", "", source).strip(),
+                "published": ago(when, now), "description": _said(item, "p")[:CUT]
+            }
+        )
     return rows
 
 
@@ -172,7 +197,12 @@ def parse_api(payload: str, now: dt.datetime) -> list[dict[str, str]]:
         found = json.loads(payload)
     except ValueError:
         return []
-    return [{"title": str(x.get("title") or ""), "url": str(x.get("url") or ""), "source": str(x.get("source") or ""), "published": str(x.get("date") or ""), "description": str(x.get("body") or "")[:CUT]} for x in found if isinstance(x, dict) and x.get("url")]
+    return [
+        {
+            "title": str(x.get("title") or ""), "url": str(x.get("url") or ""), "source": str(x.get("source") or ""),
+            "published": str(x.get("date") or ""), "description": str(x.get("body") or "")[:CUT]
+        } for x in found if isinstance(x, dict) and x.get("url")
+    ]
 
 
 @dataclass(frozen=True)
@@ -204,12 +234,28 @@ def _span(limit: str) -> str:
 
 
 TIERS = (
-    Tier("ddgs", 1, lambda r: f"ddgs://news?q={quote_plus(subject_query(r.category, r.location))}&region={region_code(r.location)}&t={r.time_limit}", parse_api),
+    Tier(
+        "ddgs", 1,
+        lambda r: f"ddgs://news?q={quote_plus(subject_query(r.category, r.location))}&region={region_code(r.location)}&t={r.time_limit}",
+        parse_api
+    ),
     Tier("google_news", 2, _topic_feed, parse_search_feed, finalise=False),
-    Tier("bing", 3, lambda r: f"https://www.bing.com/news/infinitescrollajax?q={quote_plus(subject_query(r.category, r.location))}&qft={_span(r.time_limit)}&cc={country_language(r.location)[0]}", parse_card_page),
-    Tier("bing_rss", 3, lambda r: f"https://www.bing.com/news/search?format=RSS&q={quote_plus(subject_query(r.category, r.location))}&qft={_span(r.time_limit)}", parse_news_feed),
+    Tier(
+        "bing", 3,
+        lambda r: f"https://www.bing.com/news/infinitescrollajax?q={quote_plus(subject_query(r.category, r.location))}&qft={_span(r.time_limit)}&cc={country_language(r.location)[0]}",
+        parse_card_page
+    ),
+    Tier(
+        "bing_rss", 3,
+        lambda r: f"https://www.bing.com/news/search?format=RSS&q={quote_plus(subject_query(r.category, r.location))}&qft={_span(r.time_limit)}",
+        parse_news_feed
+    ),
     Tier("yahoo", 4, lambda r: f"https://news.search.yahoo.com/search?p={quote_plus(subject_query(r.category, r.location))}", parse_list_page),
-    Tier("ddg_html", 5, lambda r: f"POST https://html.duckduckgo.com/html/?q={quote_plus(subject_query(r.category, r.location))}&kl={region_code(r.location)}", parse_plain_page),
+    Tier(
+        "ddg_html", 5,
+        lambda r: f"POST https://html.duckduckgo.com/html/?q={quote_plus(subject_query(r.category, r.location))}&kl={region_code(r.location)}",
+        parse_plain_page
+    ),
 )
 
 
@@ -219,7 +265,10 @@ def request_of(url: str, attempt: int = 0) -> urllib.request.Request:
     if not url.startswith("POST "):
         return urllib.request.Request(url, headers={"User-Agent": agent})
     where, _, form = url.removeprefix("POST ").partition("?")
-    return urllib.request.Request(where, data=form.encode(), method="POST", headers={"User-Agent": agent, "Content-Type": "application/x-www-form-urlencoded"})
+    return urllib.request.Request(
+        where, data=form.encode(), method="POST",
+        headers={"User-Agent": agent, "Content-Type": "application/x-www-form-urlencoded"}
+    )
 
 
 @dataclass
@@ -293,7 +342,9 @@ def parsed(payloads: DataFrame, parser: Callable[[str, dt.datetime], list[dict[s
                 out.append([])
         return pa.array(out, kind)
 
-    rows = payloads.withColumn("_rows", F.arrow_udf(run, T.ArrayType(ROW))("payload")).select(*[c for c in payloads.columns if c not in ("payload", "url")], F.posexplode("_rows").alias("_pos", "_r"))
+    rows = payloads.withColumn("_rows", F.arrow_udf(run, T.ArrayType(ROW))("payload")).select(
+        *[c for c in payloads.columns if c not in ("payload", "url")], F.posexplode("_rows").alias("_pos", "_r")
+    )
     return rows.select(*[c for c in rows.columns if c != "_r"], "_r.*")
 
 
@@ -309,7 +360,10 @@ def finalised(rows: DataFrame, redirects: DataFrame | None = None, drop_hubs: bo
 
 def _of_tier(spark: SparkSession, r: FetchRequest, t: Tier, transport: Transport, redirects: DataFrame | None, now: dt.datetime | None) -> DataFrame:
     rows = finalised(parsed(transport(spark, [t.request(r)]), t.parser, now), redirects, t.finalise)
-    return rows.select("_pos", F.lit(TIERS.index(t)).alias("_tier_rank"), F.lit(t.name).alias("_tier"), "title", "url", "source", "published", "description", "_aggregator_source")
+    return rows.select(
+        "_pos", F.lit(TIERS.index(t)).alias("_tier_rank"), F.lit(t.name).alias("_tier"), "title", "url", "source",
+        "published", "description", "_aggregator_source"
+    )
 
 
 def _first(rows: DataFrame, r: FetchRequest) -> DataFrame:
@@ -325,7 +379,14 @@ def enabled_tiers(enabled: tuple[str, ...] | None = None) -> list[Tier]:
     return [t for t in TIERS if os.environ.get(f"NEWSLOOM_TIER_{t.name.upper()}", "1").strip().lower() not in off]
 
 
-def fetch_raw(spark: SparkSession, r: FetchRequest, transport: Transport, redirects: DataFrame | None = None, enabled: tuple[str, ...] | None = None, now: dt.datetime | None = None) -> DataFrame:
+def fetch_raw(
+    spark: SparkSession,
+    r: FetchRequest,
+    transport: Transport,
+    redirects: DataFrame | None = None,
+    enabled: tuple[str, ...] | None = None,
+    now: dt.datetime | None = None
+) -> DataFrame:
     """Rows of the first tier that has any, at most twice ``max_results``, as one plan
     over a payload table: all tiers' rows carry their rank and only the least is kept.
     A live transport is asked tier by tier instead, see ``fetch_lazy``."""
@@ -340,7 +401,14 @@ def fetch_raw(spark: SparkSession, r: FetchRequest, transport: Transport, redire
     return _first(kept, r)
 
 
-def fetch_lazy(spark: SparkSession, r: FetchRequest, transport: Transport, redirects: DataFrame | None = None, enabled: tuple[str, ...] | None = None, now: dt.datetime | None = None) -> DataFrame:
+def fetch_lazy(
+    spark: SparkSession,
+    r: FetchRequest,
+    transport: Transport,
+    redirects: DataFrame | None = None,
+    enabled: tuple[str, ...] | None = None,
+    now: dt.datetime | None = None
+) -> DataFrame:
     """The same result, asking a tier only when those before it gave nothing, and once:
     an answer (one page) is written before it is looked at."""
     for t in enabled_tiers(enabled):
@@ -396,4 +464,7 @@ def rss_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE").schema(fields).load(path)
 
 
-__all__ = ["TIERS", "HttpSource", "discover_feeds", "fetch_lazy", "fetch_raw", "finalised", "from_http", "from_rss", "from_store", "parsed", "search_raw"]
+__all__ = [
+    "TIERS", "HttpSource", "discover_feeds", "fetch_lazy", "fetch_raw", "finalised", "from_http", "from_rss",
+    "from_store", "parsed", "search_raw"
+]

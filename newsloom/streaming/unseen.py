@@ -26,7 +26,11 @@ def story_keys(stories: DataFrame) -> DataFrame:
     urls = F.array("url")
     if "similar_articles" in stories.columns:
         urls = F.concat(urls, F.coalesce(F.transform("similar_articles", lambda m: m["url"]), F.array().cast("array<string>")))
-    rows = stories.select("_ord", F.array_distinct(F.transform(F.filter(urls, lambda u: u.isNotNull() & (u != "")), U.normalize_url)).alias("u"), normalised_title(F.col("title")).alias("t"))
+    rows = stories.select(
+        "_ord",
+        F.array_distinct(F.transform(F.filter(urls, lambda u: u.isNotNull() & (u != "")), U.normalize_url)).alias("u"),
+        normalised_title(F.col("title")).alias("t")
+    )
     by_url = rows.select("_ord", F.lit("url").alias("kind"), F.explode("u").alias("key"))
     by_title = rows.where("t != ''").select("_ord", F.lit("title").alias("kind"), F.col("t").alias("key"))
     return by_url.union(by_title)
@@ -39,7 +43,11 @@ def only_unseen(stories: DataFrame, seen: DataFrame) -> DataFrame:
     first = keys.withColumn("_first", F.min("_ord").over(Window.partitionBy("kind", "key")))
     known = seen.select("kind", "key").distinct().withColumn("_known", F.lit(True))
     marked = first.join(known, ["kind", "key"], "left").withColumn("_new", F.col("_known").isNull() & (F.col("_first") == F.col("_ord")))
-    judged = marked.groupBy("_ord").agg(F.max(F.col("kind") == "url").alias("has_url"), F.max((F.col("kind") == "url") & F.col("_new")).alias("url_new"), F.max((F.col("kind") == "title") & F.col("_new")).alias("title_new"))
+    judged = marked.groupBy("_ord").agg(
+        F.max(F.col("kind") == "url").alias("has_url"),
+        F.max((F.col("kind") == "url") & F.col("_new")).alias("url_new"),
+        F.max((F.col("kind") == "title") & F.col("_new")).alias("title_new")
+    )
     fresh = judged.where(F.when(F.col("has_url"), F.col("url_new")).otherwise(F.col("title_new"))).select("_ord")
     return stories.join(fresh, "_ord", "left_semi").orderBy("_ord")
 
@@ -71,7 +79,15 @@ def emit_batch(stories: DataFrame, batch: int, seen_path: str, sink: Callable[[D
         fresh.unpersist()
 
 
-def stream_unseen(raw: DataFrame, pipeline: Callable[[DataFrame], DataFrame], seen_path: str, checkpoint: str, sink: Callable[[DataFrame, int], None], seconds: int | None = None, horizon: int | None = None) -> StreamingQuery:
+def stream_unseen(
+    raw: DataFrame,
+    pipeline: Callable[[DataFrame], DataFrame],
+    seen_path: str,
+    checkpoint: str,
+    sink: Callable[[DataFrame, int], None],
+    seconds: int | None = None,
+    horizon: int | None = None
+) -> StreamingQuery:
     """Run ``pipeline`` on each micro-batch of polled rows and emit what is unseen.  With
     ``seconds`` the query polls at that pace (5 at least), else it takes what is there."""
 
@@ -85,4 +101,6 @@ def stream_unseen(raw: DataFrame, pipeline: Callable[[DataFrame], DataFrame], se
 
 def deduplicated(stream: DataFrame, time: str, delay: str, key: Column | None = None) -> DataFrame:
     """Bounded alternative for single-URL rows: drops keys repeated within a watermark."""
-    return stream.withColumn("_key", U.normalize_url(F.col("url")) if key is None else key).withWatermark(time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    return stream.withColumn(
+        "_key", U.normalize_url(F.col("url")) if key is None else key
+    ).withWatermark(time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
