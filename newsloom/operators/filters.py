@@ -129,7 +129,7 @@ LANGUAGE_KIN = {
     "hi": "hi mr ne", "mr": "mr hi ne", "ne": "ne hi mr", "bn": "bn as", "as": "as bn", "no": "no nb nn da",
     "nb": "nb no nn da", "nn": "nn no nb", "ms": "ms id", "id": "id ms"
 }
-_STOP = {
+STOP = {
     "de": "aber als auch auf aus bei das dem den der die durch ein eine einer er es für hat im in ist mit nach nicht noch oder sich sie sind um und von war wie wird zu zum zur",
     "en": "a an and are as at be but by for from has have he in is it its not of on or she that the they this to was were which will with",
     "es": "al como con cuando de del donde el ella en entre es esta este fue ha hay la las lo los más muy no o para pero por que se ser sin sobre su sus también un una y ya",
@@ -140,7 +140,7 @@ _STOP = {
 }
 
 
-_STOP_MORE = {
+_MORE = {
     "cs": "ale až bude byl být co do ho i jak jako je jeho jen ji jsem jsou k která který na nebo po pro před při se si tak to ve však za že",
     "da": "af at blev da de den der det efter eller en er et for fra ham han har hun i ikke jeg kan man med men meget nu og om på sig skal som til var ved vi",
     "fi": "ei että he hän hänen ja jos joka kanssa kuin kun me mitä mutta myös ne niin nyt oli olla on ovat se sekä sen tai tämä vain",
@@ -153,9 +153,9 @@ _STOP_MORE = {
     "tr": "ama bir bu çok da daha de değil diye en gibi her için ile ise kadar ki mi ne o olan olarak oldu sonra var ve veya ya",
     "vi": "bị các cho chỉ có của cũng đã để đến được không là một này như những nhưng rằng sẽ tại theo thì trong từ và vào về với",
 }
-_STOP |= _STOP_MORE
+STOP |= _MORE
 #: Scripts with the words that tell their languages apart; where there is one language, no words.
-_SCRIPTS = {
+SCRIPTS = {
     "Cyrillic": {"ru": "без был была были в во все для до его если за и из или их к как ко когда на не но о об он она они от по при с так то у что это", "uk": "або але був була в він для до з за й і їх їхній ко мав на не після при про та так те у це що як які", "bg": "без бе беше в във е за и или им как като ли на не но от по при с са се ще това той тя"},
     "Arabic": {"ar": "أن أو إلى التي الذي إن بعد بين على عن في كان كانت لا لم ما مع من هذا هذه هو هي و", "fa": "آن از است این با برای بر به تا شد شده که را در می نیز و یک های", "ur": "اس ان اور ایک پر تھا تھی سے کا کو کی کے گیا میں نے ہے ہیں"},
     "Devanagari": {"hi": "और इस एक का कि की के को था थी ने पर भी में यह से है हैं हो", "mr": "आणि आहे आहेत एक का की च ते त्या नाही मध्ये या व हा ही होते होता", "ne": "एक गरेको छ छन् त थियो न पनि भएको मा यो र रहेको लागि ले लाई हो"},
@@ -164,33 +164,48 @@ _SCRIPTS = {
     "Georgian": {"ka": ""}, "Armenian": {"hy": ""}, "Sinhala": {"si": ""}, "Khmer": {"km": ""}, "Lao": {"lo": ""}, "Myanmar": {"my": ""}, "Ethiopic": {"am": ""},
 }
 #: Codes that the detector can give; asking for another keeps every row.
-LANGUAGES = frozenset(_STOP) | {code for by_code in _SCRIPTS.values() for code in by_code} | {
+LANGUAGES = frozenset(STOP) | {code for by_code in SCRIPTS.values() for code in by_code} | {
     k for k, v in LANGUAGE_KIN.items() if set(v.split()) & {"hi", "no", "id", "bn"}
 }
 
 
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` names it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def detect_language(text: Column, minimum: int = 12) -> Column:
     """Language code by script and by function words, null when undecided or too short.
     A native stand-in for a trained detector; ``filter_by_language`` takes any other."""
+
+    def of_script(letters: Column) -> Column:
+        shares = [F.struct(F.regexp_count(letters, F.lit(rf"\p{{Is{k}}}")).alias("n"), F.lit(k).alias("name")) for k in SCRIPTS]
+        every = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+        top = _bound(F.sort_array(F.array(*shares), asc=False)[0], lambda t: F.when((t["n"] > 0) & (10 * t["n"] >= 3 * every), t["name"]))
+        return F.when(letters != "", top)
+
     letters = F.regexp_replace(text, r"[\p{IsLatin}\P{L}]+", "")  # of other scripts; next to nothing in Latin texts
-    shares = [F.struct(F.regexp_count(letters, F.lit(rf"\p{{Is{name}}}")).alias("n"), F.lit(name).alias("name")) for name in _SCRIPTS]
-    top = F.sort_array(F.array(*shares), asc=False)[0]
-    script = F.when((top["n"] > 0) & (10 * top["n"] >= 3 * F.length(F.regexp_replace(text, r"\P{L}+", ""))), top["name"])
-    kana = F.regexp_count(letters, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]")) > 0
-    found = F.when(script.isNull(), _by_words(text, _STOP))
-    for name, by_code in _SCRIPTS.items():
-        only = next(iter(by_code))
-        one = _by_words(text, by_code) if len(by_code) > 1 else F.when(kana, "ja").otherwise("zh") if name == "Han" else F.lit(only)
-        found = found.when(script == name, one)
-    return F.when(F.length(text) >= minimum, found)
+    kana = text.rlike(r"[\p{IsHiragana}\p{IsKatakana}]")
+
+    def of_language(script: Column) -> Column:
+        found = F.when(script.isNull(), _by_words(text, STOP))
+        for name, by_code in SCRIPTS.items():
+            only = F.when(kana, "ja").otherwise("zh") if name == "Han" else F.lit(next(iter(by_code)))
+            found = found.when(script == name, _by_words(text, by_code) if len(by_code) > 1 else only)
+        return found
+
+    return F.when(F.length(text) >= minimum, _bound(_bound(letters, of_script), of_language))
 
 
 def _by_words(text: Column, lists: dict[str, str]) -> Column:
     """The list with the most hits, where it has two at least and no equal."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{M}]+")
-    scores = [F.struct(F.size(_hits(words, v)).alias("n"), F.lit(k).alias("code")) for k, v in sorted(lists.items())]
-    best = F.sort_array(F.array(*scores), asc=False)
-    return F.when((best[0]["n"] >= 2) & (best[0]["n"] > best[1]["n"]), best[0]["code"])
+
+    def best_of(words: Column) -> Column:
+        scores = [F.struct(F.size(_hits(words, v)).alias("n"), F.lit(k).alias("code")) for k, v in sorted(lists.items())]
+        clear = lambda b: F.when((b[0]["n"] >= 2) & (b[0]["n"] > b[1]["n"]), b[0]["code"])
+        return _bound(F.sort_array(F.array(*scores), asc=False), clear)
+
+    return _bound(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), best_of)
 
 
 def _hits(words: Column, stop: str) -> Column:

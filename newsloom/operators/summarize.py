@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -44,7 +45,29 @@ def _plain_words(text: str) -> list[str]:
     return [w for w in _RUN.findall(text.lower()) if len(w) > 1 and w.isascii() and w.isalpha()]
 
 
-def summary_of(text: str | None, sentence_count: int = 3) -> str | None:
+def _by_frequency(text: str, tokens: list[list[str]]) -> list[float]:
+    """A sentence's score: the frequencies of its words in the text."""
+    counts = Counter(w for w in _plain_words(text) if len(w) > 3 and w not in _STOPPED)
+    top = max(counts.values(), default=1)
+    return [sum((counts[w] / top for w in ws if w in counts), 0.0) for ws in tokens] if counts else []
+
+
+def _by_latent_terms(text: str, tokens: list[list[str]]) -> list[float]:
+    """Latent semantic analysis (Steinberger and Jezek 2004) with all its dimensions.  The
+    score sqrt(sum over k of (s_k v_kj)^2) is then the length of the sentence's own column
+    of term weights, as U is orthonormal: no decomposition is needed."""
+    scores = []
+    for ws in tokens:
+        counts = Counter(w for w in ws if w not in _STOPPED)
+        top = max(counts.values(), default=1)
+        scores.append(math.sqrt(sum((0.4 + 0.6 * n / top) ** 2 for n in counts.values())))
+    return scores
+
+
+METHODS = {"frequency": _by_frequency, "lsa": _by_latent_terms}
+
+
+def summary_of(text: str | None, sentence_count: int = 3, method: str = "frequency") -> str | None:
     """The summary of one text; see ``summarize``."""
     if text is None:
         return None
@@ -55,24 +78,26 @@ def summary_of(text: str | None, sentence_count: int = 3) -> str | None:
     if len(parts) <= sentence_count:
         return " ".join(parts)
     tokens = [_plain_words(p) for p in parts]
-    counts = Counter(w for w in _plain_words(text) if len(w) > 3 and w not in _STOPPED)
-    if not counts:
+    scores = METHODS[method](text, tokens)
+    if not scores:
         return " ".join(parts[:sentence_count])
-    top = max(counts.values())
-    scores = [-sum((counts[w] / top for w in ws if w in counts), 0.0) for ws in tokens]
-    best = sorted(sorted(range(len(parts)), key=lambda i: (scores[i], i))[:sentence_count])
+    best = sorted(sorted(range(len(parts)), key=lambda i: (-scores[i], i))[:sentence_count])
     return " ".join(parts[i] for i in best)
 
 
-def summarize(df: DataFrame, text: str = "text", key: str = "_ord", sentence_count: int = 3, out: str = "summary") -> DataFrame:
+def summarize(df: DataFrame, text: str = "text", key: str = "_ord", sentence_count: int = 3, out: str = "summary", method: str = "frequency") -> DataFrame:
     """Adds ``out``: texts under 100 characters keep their first 300; else the sentences
-    whose words are the most frequent, in text order.  Null stays null.
+    that ``method`` scores best, in text order: ``frequency`` (of their words in the text)
+    or ``lsa`` (their weight in the text's latent term space).  Null stays null.
 
     A summary needs its own row alone, so this is one Arrow pass without a shuffle; as
     array expressions each word is a linear search in the row's map of counts."""
 
+    if method not in METHODS:
+        raise ValueError(f"method is one of {', '.join(METHODS)}")
+
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([summary_of(x.as_py(), sentence_count) for x in column], pa.string())
+        return pa.array([summary_of(x.as_py(), sentence_count, method) for x in column], pa.string())
 
     return df.withColumn(out, F.arrow_udf(run, T.StringType())(F.col(text)))
 

@@ -62,6 +62,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _sql_list(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 def _has(term: str, column: str) -> str:
     edge = r"[^\p{L}\p{N}\p{M}_]"
     return f"regexp_matches({column}, '(?i)(?:^|{edge}){term.replace(' ', chr(92) + 's+')}(?:$|{edge})')"
@@ -130,7 +134,30 @@ def language_column(spark, sf):
     return L.filter_by_language(_article(spark, sf), "fr-FR", detected="language").select(F.col("_ord").alias("doc_id"))
 
 
-@query("language_detected")
+def _by_words_sql(lists: dict[str, str]) -> str:
+    return "(" + ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({_sql_list(v.split())}))), 'code': '{k}'}}" for k, v in sorted(lists.items())) + ")"
+
+
+def _detected_sql() -> str:
+    """The detector's rules, generated from its tables."""
+    best = lambda lists: f"list_sort(list_value{_by_words_sql(lists)}, 'DESC')"
+    clear = lambda lists: f"(SELECT CASE WHEN b[1].n >= 2 AND b[1].n > b[2].n THEN b[1].code END FROM (SELECT {best(lists)} AS b))"
+    shares = ", ".join(f"{{'n': length(regexp_replace(o, '\\P{{{k}}}+', '', 'g')), 'name': '{k}'}}" for k in L.SCRIPTS)
+    cases = ""
+    for name, by_code in L.SCRIPTS.items():
+        only = next(iter(by_code))
+        one = clear(by_code) if len(by_code) > 1 else f"'{only}'"
+        if name == "Han":
+            one = r"CASE WHEN regexp_matches(o, '[\p{Hiragana}\p{Katakana}]') THEN 'ja' ELSE 'zh' END"
+        cases += f" WHEN script = '{name}' THEN {one}"
+    return rf"""WITH d AS (SELECT doc_id, text, string_split_regex(lower(text), '[^\p{{L}}\p{{M}}]+') AS w,
+  regexp_replace(text, '[\p{{Latin}}\P{{L}}]+', '', 'g') AS o, length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS letters FROM documents),
+t AS (SELECT *, list_sort([{shares}], 'DESC')[1] AS top FROM d),
+s AS (SELECT *, CASE WHEN top.n > 0 AND 10 * top.n >= 3 * letters THEN top.name END AS script FROM t)
+SELECT doc_id, CASE WHEN length(text) >= 12 THEN CASE WHEN script IS NULL THEN {clear(L.STOP)}{cases} END END AS detected FROM s"""
+
+
+@query("language_detected", _detected_sql())
 def language_detected(spark, sf):
     a = _article(spark, sf)
     return a.select(F.col("_ord").alias("doc_id"), L.detect_language(F.col("text")).alias("detected"))
@@ -325,10 +352,6 @@ def freshness(spark, sf):
     )
 
 
-def _sql_list(words) -> str:
-    return ", ".join(f"'{w}'" for w in words)
-
-
 # RE2 has no look-around: words are runs of word characters that are all in [a-z]{2,}
 _WORDS = r"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{2,}}'))"
 

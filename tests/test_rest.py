@@ -308,6 +308,28 @@ def test_newsroom_cli_and_tools(spark, tmp_path, capsys):
         Newsroom(spark).fetch(refresh_interval=10, async_=True)
 
 
+def test_latent_term_summaries(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vocabulary = [f"{a}{b}{c}word" for a in "abcd" for b in "efgh" for c in "ijk"]
+    parts = [" ".join(rng.choice(vocabulary, rng.integers(4, 15))).capitalize() + "." for _ in range(12)]
+    terms = sorted({w for p in parts for w in p[:-1].lower().split()})
+    matrix = np.zeros((len(terms), len(parts)))
+    for j, p in enumerate(parts):
+        ws = p[:-1].lower().split()
+        top = max(map(ws.count, ws))
+        for w in ws:
+            matrix[terms.index(w), j] = 0.4 + 0.6 * ws.count(w) / top
+    _, s, v = np.linalg.svd(matrix, full_matrices=False)
+    rank = np.sqrt(((s[:, None] * v) ** 2).sum(axis=0))
+    best = sorted(sorted(range(12), key=lambda i: (-round(rank[i], 9), i))[:3])
+    df = spark.createDataFrame([(0, " ".join(parts))], "_ord long, text string")
+    assert S.summarize(df, method="lsa").first()["summary"] == " ".join(parts[i] for i in best)
+    with pytest.raises(ValueError):
+        S.summarize(df, method="other")
+
+
 def test_tool_server(spark):
     from newsloom import server
 
