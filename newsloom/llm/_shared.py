@@ -90,6 +90,18 @@ def dropped(folders: list[str]) -> None:
             fs.delete_dir(inner)
 
 
+@contextmanager
+def scratch():
+    """``with scratch():`` call an operator and write its result inside; the folders it
+    made in the shared one are deleted at the end."""
+    made: list[str] = []
+    try:
+        with recorded(made):
+            yield
+    finally:
+        dropped(made)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet to ``path`` and read it back: a lineage cut whose
     files outlive the executors."""

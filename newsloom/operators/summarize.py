@@ -49,7 +49,13 @@ def _by_frequency(text: str, tokens: list[list[str]]) -> list[float]:
     """A sentence's score: the frequencies of its words in the text."""
     counts = Counter(w for w in _plain_words(text) if len(w) > 3 and w not in _STOPPED)
     top = max(counts.values(), default=1)
-    return [sum((counts[w] / top for w in ws if w in counts), 0.0) for ws in tokens] if counts else []
+    scores = []
+    for ws in tokens:
+        score = 0.0
+        for w in ws:  # added up in text order, without the compensation of sum()
+            score += counts[w] / top if w in counts else 0.0
+        scores.append(score)
+    return scores if counts else []
 
 
 def _by_latent_terms(text: str, tokens: list[list[str]]) -> list[float]:
