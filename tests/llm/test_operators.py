@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -693,3 +694,15 @@ def test_null_and_tied_ids_row_by_row(spark, tmp_path):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
+
+
+def test_scratch_leaves_nothing(spark, docs, tmp_path):
+    from newsloom.llm._shared import run_dir, scratch, shared_dir
+
+    with scratch():
+        run_dir(spark, "unused")
+        substring.substring_dedup(docs, keep=["doc_id"], digest=True).write.parquet(f"{tmp_path}/out")
+        before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+        assert any(x.startswith("substring-") for x in before)
+    after = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    assert len(before - after) == 2 and spark.read.parquet(f"{tmp_path}/out").count() == docs.count()
