@@ -11,6 +11,8 @@ Each window picks, by its own words alone, the leftmost symbol of the highest le
 whose support it contains.  Equal windows pick equal symbols, so only windows whose
 symbol occurs twice in the corpus can repeat: the first exchange finds those symbols.
 The second verifies the windows that are left, by a 96-bit hash of their 35 words.
+What a pass over a segment has worked out goes to a file in the shared folder, whose
+name travels with the answers, so the next pass does not work it out again.
 
 Defined cases: a null text has no words; a text of fewer words than a window keeps
 them all; repeated rows and copies repeat each other, so all their windows go; null ids
@@ -20,17 +22,20 @@ stay; an empty table gives an empty result; further columns pass through.
 from __future__ import annotations
 
 import hashlib
+import struct
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from newsloom.llm import _segments as G
-from newsloom.llm._shared import free_name, run_dir
+from newsloom.llm._shared import free_name, open_fs, run_dir
 from newsloom.llm._text import SEEDS, TextBlock, join2, windows
 
 WINDOW = 35
@@ -43,18 +48,14 @@ _CLASS = [U(0x9E3779B97F4A7C15 * (1 + level) ** 9 & (1 << 64) - 1) | U(1) for le
 class Words:
     """The word hashes of a segment, its texts' limits, and its blocks."""
 
-    def __init__(self, path: str, window: int, texts: bool = False, check: bool = False):
-        hashes, second, sizes, self.blocks = [], [], [], []
+    def __init__(self, path: str, window: int):
+        hashes, sizes, self.blocks = [], [], []
         for batch in G.read(path):
             b = TextBlock(batch.column(0))
             hashes.append(b.words)
-            if check:
-                second.append(b.word_hash(1))
             sizes.append(b.n_words)
-            if texts:
-                self.blocks.append(batch)
+            self.blocks.append(b)
         self.hash = np.concatenate([*hashes, np.empty(0, U)])
-        self.second = np.concatenate([*second, np.empty(0, U)])
         self.n_words = np.concatenate([*sizes, np.empty(0, np.int64)])
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])
         ok = np.maximum(self.n_words - window + 1, 0)
@@ -89,7 +90,7 @@ class Words:
             run[first_of] = join2(run[first_of], paired, 2 * level + 102)
             tail[first_of] = tail[first_of + 1]
             p, q = head[kept], tail[kept]
-            merged, t = run[kept], text_of[head[kept]]
+            merged, t = run[kept], text_of[p]
             # support: up to the neighbours on both sides, or past the text's end
             before, after = low[np.maximum(p - 1, 0)], high[np.minimum(q + 1, len(name) - 1)]
             edge = np.ones(len(t), bool)
@@ -107,9 +108,9 @@ class Words:
         for level in range(len(levels) - 1, -1, -1):
             name, low, high = levels[level]
             start = self.starts[open_].astype(I)
-            j = np.searchsorted(low, start).astype(I)
-            inside = j < len(low)
-            inside[inside] = high[j[inside]] <= start[inside] + k
+            below = np.cumsum(np.bincount(low + 1, minlength=n + 2), dtype=I)  # supports that begin before a word
+            j = below[start]
+            inside = np.append(high, np.iinfo(I).max)[j] <= start + k
             mine = j[inside]  # ascending
             new = np.ones(len(mine), bool)
             new[1:] = mine[1:] != mine[:-1]
@@ -122,13 +123,6 @@ class Words:
                 break
         return chosen, np.concatenate([*names, np.empty(0, U)])
 
-    def candidates(self, replies: list[bytes]) -> np.ndarray:
-        """Starts of the windows whose symbol occurs twice in the corpus."""
-        chosen, names = self.picks()
-        _, group, _ = G.grouped(names)
-        twice = G.unpacked(replies, np.uint8).astype(bool)
-        return self.starts[twice[group][chosen]] if len(chosen) else self.starts
-
     def named(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The windows at ``at`` by 96 bits: distinct names and checks, how many windows
         have each, and the number of each window's."""
@@ -142,11 +136,55 @@ class Words:
 
     def window_names(self, at: np.ndarray) -> np.ndarray:
         """64 bits of hash for the windows at ``at``."""
-        return windows(self.hash, self.window)[at] if len(at) else np.empty(0, U)
+        inside, place = self._covered(at)
+        return windows(self.hash[inside], self.window)[place] if len(at) else np.empty(0, U)
 
     def window_checks(self, at: np.ndarray) -> np.ndarray:
         """32 bits of another hash for them."""
-        return (windows(self.second * SEEDS[1], self.window)[at] >> U(32)).astype(np.uint32) if len(at) else np.empty(0, np.uint32)
+        if not len(at):
+            return np.empty(0, np.uint32)
+        inside, place = self._covered(at)
+        second, first = [], 0
+        for b in self.blocks:
+            mine = inside[first : first + len(b.starts)]
+            second.append(b.span_hash(b.starts[mine], b.ends[mine], 1))
+            first += len(b.starts)
+        return (windows(np.concatenate(second) * SEEDS[1], self.window)[place] >> U(32)).astype(np.uint32)
+
+    def _covered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flags of the words that the windows at ``at`` cover, and where each window
+        starts among those words alone."""
+        inside = covered(at, self.window, len(self.hash))
+        return inside, (np.cumsum(inside) - 1)[at]
+
+
+def covered(at: np.ndarray, window: int, n: int) -> np.ndarray:
+    """Flags of ``n`` words: those within the windows that start at ``at`` (distinct)."""
+    step = np.zeros(n + 1, np.int32)
+    step[at] += 1
+    step[at + window] -= 1
+    return np.cumsum(step[:-1]) > 0
+
+
+def put(folder: str, seg: int, flags: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Write flags and numbers below 2^32 to a new file, which a failed attempt leaves
+    unnamed; the file's name."""
+    fs, inner = open_fs(folder)
+    fs.create_dir(inner, recursive=True)
+    name = f"{seg}-{uuid.uuid4().hex[:12]}.bin"
+    parts = G.packed(np.packbits(flags)), G.packed(numbers.astype(np.uint32))
+    with fs.open_output_stream(f"{inner}/{name}") as f:
+        f.write(struct.pack("<QQ", len(flags), len(parts[0])) + b"".join(parts))
+    return f"{folder}/{name}".encode()
+
+
+def got_back(name: bytes) -> tuple[np.ndarray, np.ndarray]:
+    fs, inner = open_fs(name.decode())
+    with fs.open_input_file(inner) as f:
+        raw = f.read()
+    n, size = struct.unpack_from("<QQ", raw)
+    flags = np.unpackbits(G.unpacked([raw[16 : 16 + size]], np.uint8), count=n).astype(bool)
+    return flags, G.unpacked([raw[16 + size :]], np.uint32)
 
 
 def repeats(segments: G.Segments, window: int, folder: str) -> dict[int, DataFrame]:
@@ -154,33 +192,35 @@ def repeats(segments: G.Segments, window: int, folder: str) -> dict[int, DataFra
     r1, r2 = G.Ranges.of(segments.words // 4, segments.n), G.Ranges.of(segments.words // 2, segments.n)
 
     def symbols(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
-        distinct, _, count = G.grouped(Words(path, window).picks()[1])
+        chosen, names = Words(path, window).picks()
+        distinct, group, count = G.grouped(names)
         yield G.sent(seg, 1, r1, distinct, count)
+        # of windows side by side that pick the same symbol, the first has its number
+        new = np.ones(len(chosen), bool)
+        new[1:] = chosen[1:] != chosen[:-1]
+        yield G.passed(seg, 4, r1.first, put(f"{folder}/picks", seg, new, group[chosen[new]]))
 
     def verify(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
-        w = Words(path, window, check=True)
-        at = w.candidates(got.get(1, []))
-        name, check, count, _ = w.named(at)
+        w = Words(path, window)
+        new, picked = got_back(got[4][0])
+        twice = G.unpacked(got.get(1, []), np.uint8).astype(bool)
+        at = w.starts[twice[picked][np.cumsum(new) - 1]] if len(new) else w.starts
+        name, check, count, group = w.named(at)
         yield G.sent(seg, 2, r2, name, count, check)
         flags = np.zeros(len(w.hash), bool)
         flags[at] = True
-        yield G.passed(seg, 3, r2.first, np.packbits(flags).tobytes())
+        yield G.passed(seg, 3, r2.first, put(f"{folder}/candidates", seg, flags, group))
 
     first = G.exchange(G.map_segments(segments, symbols, G.SENT), segments.n, {1: r1}, {1: G.twice}, f"{folder}/symbols")
-    second = G.exchange(G.map_segments(segments, verify, G.SENT, {1: first}), segments.n, {2: r2}, {2: G.twice}, f"{folder}/windows")
+    second = G.exchange(G.map_segments(segments, verify, G.SENT, {1: first, 4: first}), segments.n, {2: r2}, {2: G.twice}, f"{folder}/windows")
     return {2: second, 3: second}
 
 
-def removed(w: Words, got: dict[int, list[bytes]]) -> np.ndarray:
+def removed(got: dict[int, list[bytes]], window: int) -> np.ndarray:
     """Flags of the words that some repeated window covers."""
-    at = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(got.get(3, [])), np.uint8), count=len(w.hash)))
-    _, _, _, group = w.named(at)
+    flags, group = got_back(got[3][0])
     twice = G.unpacked(got.get(2, []), np.uint8).astype(bool)
-    step = np.zeros(len(w.hash) + 1, np.int32)
-    hit = at[twice[group]] if len(at) else at
-    step[hit] += 1
-    np.subtract.at(step, hit + w.window, 1)
-    return np.cumsum(step[:-1]) > 0
+    return covered(np.flatnonzero(flags)[twice[group]], window, len(flags))
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, digest: bool = False) -> DataFrame:
@@ -196,28 +236,26 @@ def substring_dedup(docs: DataFrame, text: str = "text", keep: list[str] | None
     arrow = to_arrow_schema(schema)
 
     def finish(seg: int, path: str, got: dict) -> Iterator[pa.RecordBatch]:
-        w = Words(path, window, texts=True, check=True)
-        gone = removed(w, got)
-        total = np.concatenate([[0], np.cumsum(gone)])
-        lost = total[w.first[1:]] - total[w.first[:-1]]
-        row = 0
-        for batch in w.blocks:
+        total = np.concatenate([[0], np.cumsum(removed(got, window))])
+        gone, word = np.diff(total).astype(bool), 0
+        for batch in G.read(path):
             b = TextBlock(batch.column(0))
+            first = word + b.first_word
+            lost = total[first[1:]] - total[first[:-1]]
+            new = np.ones(b.n, bool) if digest else lost > 0
             out = []
-            original = None if digest else batch.column(0).to_pylist()
-            for i in range(b.n):
-                if lost[row + i] == 0 and not digest:
-                    out.append(original[i])
-                    continue
+            for i in np.flatnonzero(new).tolist():
                 words = b.slice_bytes(i).split()
-                if lost[row + i]:
-                    s = w.first[row + i]
-                    words = list(compress(words, (~gone[s : s + len(words)]).tolist()))
+                if lost[i]:
+                    words = list(compress(words, (~gone[first[i] : first[i + 1]]).tolist()))
                 kept = b" ".join(words)
                 out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
-            columns = [*batch.columns[1:], pa.array(w.n_words[row : row + b.n]), pa.array(lost[row : row + b.n]), pa.array(out, pa.string())]
+            column = pa.array(out, pa.string())
+            if not digest:
+                column = pc.replace_with_mask(batch.column(0), pa.array(new), column.cast(batch.column(0).type))
+            columns = [*batch.columns[1:], pa.array(b.n_words), pa.array(lost), column]
             yield pa.RecordBatch.from_arrays([c.cast(arrow.field(k).type) for k, c in enumerate(columns)], schema=arrow)
-            row += b.n
+            word = first[-1]
 
     return G.map_segments(segments, finish, schema, replies)
 

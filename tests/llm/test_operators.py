@@ -414,6 +414,39 @@ def test_substring_runs_and_shapes(spark, odd, empty):
     assert substring.substring_dedup(empty).count() == 0
 
 
+def test_substring_passes_keep_their_work(spark, monkeypatch):
+    """The second pass over a segment picks no symbols anew and the last one hashes no words."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(40)] + [None]
+    corpus = list(enumerate(texts))
+    lists, gone = brute_repeats(corpus, 5)
+    made, passes, whole = [], [], G.stage
+    monkeypatch.setattr(G, "stage", lambda *a: made.append(whole(*a)) or made[0])
+    monkeypatch.setattr(G, "map_segments", lambda segments, fn, schema, replies=None: passes.append(fn))
+    monkeypatch.setattr(G, "exchange", lambda *a: None)
+    substring.substring_dedup(spark.createDataFrame(corpus, SCHEMA).coalesce(1), keep=["doc_id"], window=5, digest=True)
+    ((seg, path),) = made[0].manifest.select("seg", "path").collect()
+
+    def answered(rows, asked):
+        got = {}
+        for kind, blob in ((r["kind"], r["blob"]) for batch in rows for r in batch.to_pylist()):
+            if kind == asked:
+                place, _, total, group, _ = G._merged([blob])
+                blob = G.packed(G.twice(place, total)[0][group])
+            got.setdefault(kind, []).append(blob)
+        return got
+
+    def again(*a):
+        raise AssertionError("worked out again")
+
+    got = answered(passes[0](seg, path, {}), 1)
+    monkeypatch.setattr(substring.Words, "picks", again)
+    got = answered(passes[1](seg, path, got), 2)
+    monkeypatch.setattr(substring.TextBlock, "span_hash", again)
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"]) for batch in passes[2](seg, path, got) for r in batch.to_pylist()}
+    assert out == {i: (len(ws), len(g)) for (i, _), ws, g in zip(corpus, lists, gone, strict=True)} and any(gone)
+
+
 def lm_by_force(corpus, exclude_self=True):
     """score by exact counts passed through the filter's quantisation."""
     toks = {i: [*words(t, True), None] for i, t in corpus}
