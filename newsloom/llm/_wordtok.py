@@ -9,6 +9,7 @@ properties gets whole texts."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from newsloom.llm._shared import CACHES
@@ -18,24 +19,49 @@ END_ID = 2
 MEMO_WORDS = 500_000
 _MARK = "\x01"
 _CALL_WORDS = 1_500  # per call of the library; longer texts leave the processor's cache
+_GATHER_WORDS = 1 << 16  # whose ids are put in place together; a text may have any number
 _POINT = np.zeros(256, bool)
 _POINT[list(b".,!?;:")] = True
+_BLANK = bytes(np.flatnonzero(_SPACE).tolist())
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(97, 123)]] = True
 
 
-def spaced(b: TextBlock) -> tuple[bytes, np.ndarray]:
-    """The texts with ASCII letters in lower case and a space before a lone point or
-    comma that ends a word, and their offsets."""
-    d = _LOWER[b.data]
-    last = np.ones(len(d), bool)
-    last[:-1] = _SPACE[d[1:]]
-    last[b.off[1:][b.off[1:] > 0] - 1] = True
-    after = np.zeros(len(d), bool)
-    after[1:] = _ALNUM[d[:-1]]
-    after[b.off[:-1][b.off[:-1] < len(d)]] = False
-    at = np.flatnonzero(_POINT[d] & last & after)
-    return np.insert(d, at, 32).tobytes(), b.off + np.searchsorted(at, b.off)
+def split_words(b: TextBlock) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts with ASCII letters in lower case, a lone point or comma
+    that ends a word being one of its own, and the number of words before each text
+    (one more entry ends the last text)."""
+    raw = b.data.tobytes().translate(_LOWER.tobytes())
+    d = np.frombuffer(raw, np.uint8)
+    space = ((d - np.uint8(9)) < 5) | (d == 32)
+    first = np.zeros(len(d) + 1, bool)  # byte of a text; the last entry is no byte
+    first[b.off] = True
+    ends = first[1:].copy()
+    ends[:-1] |= space[1:]
+    point = np.flatnonzero(np.frombuffer(raw.translate(_POINT.tobytes()), bool))
+    point = point[ends[point] & ~first[point]]
+    point = point[_ALNUM[d[point - 1]]]
+    heads = first[:-1]
+    heads[1:] |= space[:-1]
+    heads[point], ends[point - 1] = True, True
+    solid = ~space
+    heads, ends = np.flatnonzero(heads & solid), np.flatnonzero(ends & solid)
+    off = np.zeros(len(heads) + 1, np.int64)
+    np.cumsum(ends + 1 - heads, out=off[1:])  # words touch once the spaces are gone
+    words = pa.Array.from_buffers(
+        pa.large_binary(), len(heads),
+        [None, pa.py_buffer(off), pa.py_buffer(raw.translate(None, _BLANK))]
+    )
+    return words, np.searchsorted(heads, b.off)
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """The values of a large binary array without an offset; ``to_pylist`` takes five times as long."""
+    if not len(words):
+        return []
+    off = np.frombuffer(words.buffers()[1], np.int64, count=len(words) + 1).tolist()
+    raw = words.buffers()[2].to_pybytes()
+    return [raw[s:e] for s, e in zip(off[:-1], off[1:], strict=True)]
 
 
 def default_file() -> str:
@@ -62,21 +88,21 @@ class WordEncoder:
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.by_word = self.mark >= 0 and one(f"Ab9,c\t{_MARK}\n d'é") == one("ab9,c") + mark + one("d'é") and one("Yes.") == one("yes") + one(".") and one("É") == one("é") and one(" ") == []
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)  # without offsets
 
     def _learn(self, words: list[bytes]) -> None:
         letters, plain = [], []
         for w in words:
             text = w.decode()
             if b"\x01" in w or b"<|" in w:
-                self.young[w] = self._ids(text)
+                self.young[w] = self._ids(text).tobytes()
             else:
                 (letters if text.isalpha() else plain).append(w)
         size = self.dtype.itemsize
         for a in range(0, len(letters), _CALL_WORDS):  # a word of letters ends with the one token that closes a word
             part = letters[a : a + _CALL_WORDS]
-            ids = np.array(self.tok.encode(" ".join(w.decode() for w in part), add_special_tokens=False).ids, self.dtype)
+            ids = self._ids(b" ".join(part).decode())
             cut = ((np.flatnonzero(self.closes[ids]) + 1) * size).tolist()
             if len(cut) != len(part):
                 plain += part
@@ -85,11 +111,11 @@ class WordEncoder:
             self.young.update(zip(part, [raw[s:e] for s, e in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
         for a in range(0, len(plain), _CALL_WORDS):
             part = plain[a : a + _CALL_WORDS]
-            ids = np.array(self.tok.encode(f" {_MARK} ".join(w.decode() for w in part), add_special_tokens=False).ids, self.dtype)
+            ids = self._ids(f" {_MARK} ".encode().join(part).decode())
             cut = np.flatnonzero(ids == self.mark)
             if len(cut) != len(part) - 1:  # some word has the marker's token
                 for w in part:
-                    self.young[w] = self._ids(w.decode())
+                    self.young[w] = self._ids(w.decode()).tobytes()
                 continue
             raw = ids.tobytes()
             starts, ends = [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)]
@@ -97,26 +123,40 @@ class WordEncoder:
 
     def encode(self, b: TextBlock) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
-        end = np.array([END_ID], self.dtype).tobytes()
+        end = np.array([END_ID], self.dtype)
         if not self.by_word:
-            return [np.frombuffer(self._ids(b.slice_bytes(i).decode()) + end, self.dtype) for i in range(b.n)]
-        data, off = spaced(b)
-        split = [data[s:e].split() for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        new, young, old = [], self.young, self.old
-        for w in set().union(*split):
-            if w not in young:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    young[w] = ids
+            return [np.concatenate([self._ids(b.slice_bytes(i).decode()), end]) for i in range(b.n)]
+        words, first = split_words(b)
+        found = words.dictionary_encode()
+        distinct, young, old = listed(found.dictionary), self.young, self.old
+        known = [*map(young.get, distinct)]
+        missed = [i for i, ids in enumerate(known) if ids is None]
+        new = []
+        for i in missed:
+            ids = old.get(distinct[i])
+            if ids is None:
+                new.append(distinct[i])
+            else:
+                young[distinct[i]] = ids
         if new:
             self._learn(new)
-        get = young.__getitem__
-        out = [np.frombuffer(b"".join([*map(get, ws), end]), self.dtype) for ws in split]
+        for i in missed:
+            known[i] = young[distinct[i]]
+        known.append(end.tobytes())
+        pool = np.frombuffer(b"".join(known), self.dtype)
+        count = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        at = np.insert(found.indices.to_numpy(zero_copy_only=False), first[1:], len(distinct))  # each text's end
+        start, n = np.cumsum(count) - count, count[at]
+        stop = np.cumsum(n)
+        ids = np.empty(int(n.sum()), self.dtype)
+        for a in range(0, len(at), _GATHER_WORDS):
+            size, to = n[a : a + _GATHER_WORDS], stop[a : a + _GATHER_WORDS]
+            lo, hi = to[0] - size[0], to[-1]
+            ids[lo:hi] = pool[np.repeat(start[at[a : a + _GATHER_WORDS]] - (to - size), size) + np.arange(lo, hi)]
+        cut = [0, *stop[first[1:] + np.arange(b.n)].tolist()]
         if len(young) > self.limit:
             self.old, self.young = young, {}
-        return out
+        return [ids[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

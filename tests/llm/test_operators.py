@@ -259,6 +259,44 @@ def test_token_files(spark, docs, corpus, odd, empty, tmp_path):
     assert tokens.read_tokens(spark, f"file://{tmp_path}/e", e).count() == 0
 
 
+def test_words_encoded_as_the_library_does():
+    """Blocks of odd texts, sliced and with nulls, and a memo that is cut all the time."""
+    rng = random.Random(11)
+    tok, enc = Tokenizer.from_file(_wordtok.default_file()), _wordtok.WordEncoder(_wordtok.default_file(), memo_words=40)
+    atoms = [*"aBz09.,!?;:'#-\x01\x1c\x1f\x7f\x85\xa0éÉßİǅ\u0301\u2028\u3000한中😀", "'s", "...", "word", "Word.", "<|endoftext|>", "e\u0301", "ﬁ"]
+    blanks = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "", ""]
+    say = lambda: "".join(rng.choice(atoms) + rng.choice(blanks) for _ in range(rng.randint(0, 30)))
+    for n in (0, 1, 7, 60):
+        texts = [rng.choice([None, "", " ", ".", " . ", say(), say(), say(), say()]) for _ in range(n + 2)]
+        got = enc.encode(TextBlock(pa.array(texts, pa.string()).slice(1, n)))
+        assert [x.tolist() for x in got] == [[*tok.encode(t or "", add_special_tokens=False).ids, _wordtok.END_ID] for t in texts[1 : n + 1]]
+
+
+def test_memo_asked_once_for_each_word_of_a_block():
+    asked = []
+
+    class Memo(dict):
+        def __contains__(self, w):
+            asked.append(w)
+            return super().__contains__(w)
+
+        def __getitem__(self, w):
+            asked.append(w)
+            return super().__getitem__(w)
+
+        def get(self, w, default=None):
+            asked.append(w)
+            return super().get(w, default)
+
+    enc = _wordtok.WordEncoder(_wordtok.default_file())
+    block = TextBlock(pa.array([" ".join(f"word{'abcde'[i % 5]}" for i in range(k, k + 500)) for k in range(4)]))
+    first = enc.encode(block)
+    enc.young = Memo(enc.young)
+    again = enc.encode(block)
+    assert Counter(asked) == {f"word{c}".encode(): 1 for c in "abcde"}
+    assert [x.tolist() for x in again] == [x.tolist() for x in first]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "user", "hi"), (1, 2, "assistant", "A"), (1, 3, "user", "bye"), (2, 0, "user", "only"), (3, 0, "assistant", None), (4, 0, None, "x"), (4, 0, None, "x")]
     out = {r["conv_id"]: r for r in chat.preference_pairs(chat.derived_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
