@@ -4,6 +4,7 @@ expressions; only ``parse_any`` takes the free-form parser, over Arrow."""
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -108,7 +109,21 @@ def age_hours(c: Column, as_of: Column, signed: bool = False) -> Column:
 
 def freshness(c: Column, as_of: Column, half: float = 48.0, signed: bool = False) -> Column:
     """exp(-age in hours / 48): 0 without a date; 1 for a future one, more where ``signed``."""
-    return F.coalesce(F.exp(-age_hours(c, as_of, signed) / half), F.lit(0.0))
+    power = -age_hours(c, as_of, signed) / half
+    return F.coalesce(F.arrow_udf(_exp, T.DoubleType())(power) if signed else F.exp(power), F.lit(0.0))
+
+
+def _exp(powers: pa.Array) -> pa.Array:
+    """By the C library.  Where a value is large all its digits show, and the JVM's last
+    one is often another."""
+
+    def one(x: float | None) -> float | None:
+        try:
+            return None if x is None else math.exp(x)
+        except OverflowError:
+            return math.inf
+
+    return pa.array([one(x) for x in powers.to_pylist()], pa.float64())
 
 
 def display(c: Column) -> Column:

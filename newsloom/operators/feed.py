@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -64,6 +65,15 @@ def overlap(values: Column, wanted: list[str]) -> Column:
     return F.least(F.size(F.array_intersect(values, F.array(*map(F.lit, wanted)))) / F.lit(float(len(wanted))), F.lit(1.0)) if wanted else F.lit(0.0)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """``c`` in units of the last digit, rounded half away from 0, and back: as SQL engines
+    do, in the last binary digit too, which ``round`` of the JVM keeps for large values."""
+    unit = F.lit(10.0**digits)
+    units = c * unit
+    whole = F.when(F.abs(units) < 2.0**52, F.signum(units) * F.floor(F.abs(units) + 0.5)).otherwise(units) / unit
+    return F.when(F.abs(whole) == math.inf, c).otherwise(whole)
+
+
 def story_ts(df: DataFrame) -> Column:
     return D.parse_iso(_story_date(df))
 
@@ -73,8 +83,8 @@ def _story_date(df: DataFrame) -> Column:
     return F.coalesce(*parts) if parts else F.lit(None).cast("string")
 
 
-def rank_generic(stories: DataFrame, as_of: Column) -> DataFrame:
-    scored = stories.withColumn("_feed_score", D.freshness(story_ts(stories), as_of))
+def rank_generic(stories: DataFrame, as_of: Column, signed_age: bool = False) -> DataFrame:
+    scored = stories.withColumn("_feed_score", D.freshness(story_ts(stories), as_of, signed=signed_age))
     return scored.orderBy(F.col("_feed_score").desc(), "_ord")
 
 
