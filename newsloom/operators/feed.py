@@ -182,7 +182,13 @@ def _without_blocked_sources(df: DataFrame, blocked: list[str]) -> DataFrame:
     return df.withColumn("sources", F.when(F.size(left) > 0, left))
 
 
-def rank_personal(stories: DataFrame, profile: UserProfile, weights: Mapping[str, float], as_of: Column) -> DataFrame:
+def rank_personal(
+    stories: DataFrame,
+    profile: UserProfile,
+    weights: Mapping[str, float],
+    as_of: Column,
+    signed_age: bool = False
+) -> DataFrame:
     wanted = {k: sorted({x.strip().lower() for x in getattr(profile, k) if x.strip()}) for k in _LISTS}
     rows = strip_blocked(stories, wanted["blocked_sources"])
     c = _Coverage(rows)
@@ -194,9 +200,9 @@ def rank_personal(stories: DataFrame, profile: UserProfile, weights: Mapping[str
         + overlap(c.categories(), wanted["categories"]) * weights["category"]
         + hit(c.languages(), wanted["languages"]) * weights["language"]
         + hit(c.sources(), wanted["preferred_sources"]) * weights["source"]
-        + D.freshness(story_ts(rows), as_of) * weights["freshness"]
+        + D.freshness(story_ts(rows), as_of, signed=signed_age) * weights["freshness"]
     )
-    scored = rows.withColumn("_feed_score", F.round(score, 6))
+    scored = rows.withColumn("_feed_score", rounded(score, 6))
     return scored.orderBy(F.col("_feed_score").desc(), F.coalesce(_story_date(rows), F.lit("")).desc(), "_ord")
 
 
