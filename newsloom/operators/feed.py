@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -88,6 +88,10 @@ def rank_generic(stories: DataFrame, as_of: Column, signed_age: bool = False) ->
     return scored.orderBy(F.col("_feed_score").desc(), "_ord")
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[\s\p{Z}]+")
+
+
 class _Coverage:
     """Expressions over a story and its related articles."""
 
@@ -132,7 +136,7 @@ class _Coverage:
 
     def tokens(self) -> Column:
         parts = F.concat(*[self.scalars(c) for c in ("title", "description", "summary")])
-        return F.array_distinct(F.filter(F.split(F.lower(F.array_join(parts, " ")), r"[\s\p{Z}]+"), lambda x: x != ""))
+        return F.array_distinct(F.filter(_words(F.array_join(parts, " ")), lambda x: x != ""))
 
 
 def _blocked(get, names: list[str], blocked: list[str]) -> Column:
@@ -182,6 +186,13 @@ def _without_blocked_sources(df: DataFrame, blocked: list[str]) -> DataFrame:
     return df.withColumn("sources", F.when(F.size(left) > 0, left))
 
 
+def interest_words(text: Column, interests: Iterable[str]) -> Column:
+    """The interests among a text's words, each once: all that a personal score sees of
+    it.  Gathered in place of the texts, a story's coverage stays small."""
+    wanted = sorted({x.strip().lower() for x in interests if x.strip()})
+    return F.array_join(F.array_intersect(_words(text), F.array(*map(F.lit, wanted)).cast("array<string>")), " ")
+
+
 def rank_personal(
     stories: DataFrame,
     profile: UserProfile,
