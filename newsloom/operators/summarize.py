@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,23 +18,7 @@ _NOT_FOR_KEYWORDS = set("as by from he if it not she they we you".split())
 STOP = tuple(_KEYWORD_STOP.split())
 _STOPPED = frozenset(STOP)
 KEYWORD_STOP = tuple(w for w in STOP if w not in _NOT_FOR_KEYWORDS)
-_WORD = r"(?<![\p{L}\p{N}_])([a-z]{2,})(?![\p{L}\p{N}_])"
-
-
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(1))
-
-
-def _frequencies(df: DataFrame, text: str, key: list[str], stop: tuple[str, ...], longer: int) -> DataFrame:
-    """(key, freq map) by a partial and a final hash aggregate: linear in the words."""
-    tokens = df.select(*key, F.posexplode(words(F.col(text))).alias("_p", "_w")).where((F.length("_w") > longer) & ~F.col("_w").isin(*stop))
-    counted = tokens.groupBy(*key, "_w").agg(F.count(F.lit(1)).cast("int").alias("_n"), F.min("_p").alias("_p"))
-    return counted.groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("_w", "_n"))).alias("_freq"),
-        F.collect_list(F.struct((-F.col("_n")).alias("m"), F.col("_p").alias("p"), F.col("_w").alias("w"))).alias("_words")
-    )
-
-
+_KEYWORD_STOPPED = frozenset(KEYWORD_STOP)
 _BLANK = " \t\n\x0b\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ENDS = re.compile(f"^[{_BLANK}]+|[{_BLANK}]+$")
 _BETWEEN = re.compile(f"(?<=[.!?])[{_BLANK}]+")
@@ -108,12 +92,22 @@ def summarize(df: DataFrame, text: str = "text", key: str = "_ord", sentence_cou
     return df.withColumn(out, F.arrow_udf(run, T.StringType())(F.col(text)))
 
 
+def keywords_of(text: str | None, top_words: int = 5) -> list[str]:
+    """The keywords of one text; see ``keywords``."""
+    counts = Counter(w for w in _plain_words(text or "") if len(w) > 4 and w not in _KEYWORD_STOPPED)
+    return [w for w, _ in counts.most_common(top_words)]  # of equal counts the first met comes first
+
+
 def keywords(df: DataFrame, text: str = "text", key: str = "_ord", top_words: int = 5, out: str = "keywords") -> DataFrame:
-    """Adds ``out``: the most frequent words of five letters or more, ties by first use."""
-    freq = _frequencies(df.where(F.col(text).isNotNull()), text, [key], KEYWORD_STOP, 4)
-    best = freq.select(F.col(key).alias("_k"), F.transform(F.slice(F.array_sort("_words"), 1, top_words), lambda x: x["w"]).alias("_best"))
-    joined = df.join(best, df[key] == best["_k"], "left")
-    return joined.withColumn(out, F.coalesce("_best", F.array().cast("array<string>"))).drop("_k", "_best")
+    """Adds ``out``: the most frequent words of five letters or more, ties by first use.
+
+    As for ``summarize``, one Arrow pass: rows of single words would all be held and dealt
+    out by a key that their text has already brought together."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([keywords_of(x.as_py(), top_words) for x in column], pa.list_(pa.string()))
+
+    return df.withColumn(out, F.arrow_udf(run, T.ArrayType(T.StringType()))(F.col(text)))
 
 
 def summarize_with_keywords(df: DataFrame, text: str = "text", key: str = "_ord", sentence_count: int = 3, top_words: int = 5) -> DataFrame:
